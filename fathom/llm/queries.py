@@ -6,16 +6,74 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from fathom.llm.near_copies import near_copies, near_copy_pairs
+from fathom.llm.neighbours import graph_search, neighbour_graph, similar_pairs
+from fathom.llm.pack import pack_corpus
+from fathom.llm.split import oversized, split_oversized
 from fathom.llm.tokenize import encode_corpus
 from fathom.tables import read
 
 
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "artifacts").filter(F.col("kind").endswith("-implementation"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copy_pairs(_bodies(spark, sf_dir))
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per id the least id with the same tokens, and the number of near-equal other texts that one has."""
+    members, pairs = near_copies(_bodies(spark, sf_dir))
+    ends = pairs.select(F.col("rep_a").alias("rep")).unionByName(pairs.select(F.col("rep_b").alias("rep")))
+    links = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    return members.join(links, "rep", "left").select("id", "rep", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(read(spark, sf_dir, "artifacts"))
+
+
+def p6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every vec_id divisible by 50, its ten most similar others among all rows."""
+    vectors, edges = neighbour_graph(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
+    queries = vectors.filter(F.col("id") % 50 == 0).select(F.col("v").alias("q"), "x")
+    hits = graph_search(queries, vectors, edges, 64, k=11).filter("q <> v")
+    names = vectors.select("v", "id")
+    return (
+        hits.join(names.select(F.col("v").alias("q"), F.col("id").alias("query_id")), "q")
+        .join(names.select("v", F.col("id").alias("vec_id")), "v")
+        .select("query_id", "vec_id", F.round("s", 4).alias("similarity"))
+    )
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oversized(read(spark, sf_dir, "artifacts"))
+
+
+def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_oversized(read(spark, sf_dir, "artifacts")).dropDuplicates(["id", "piece"])
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(read(spark, sf_dir, "documents"))
 
 
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_corpus(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": p5_found,
+    "p5_classes": p5_classes,
+    "p6_found": p6_found,
+    "p6_search": p6_search,
+    "p7_found": p7_found,
+    "p7_pieces": p7_pieces,
     "p8_ids": p8_ids,
+    "p9_containers": p9_containers,
 }
 
 ORACLE_SQL: dict[str, str] = {}
