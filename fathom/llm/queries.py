@@ -11,11 +11,20 @@ from pyspark.sql import functions as F
 from fathom.llm.near_copies import near_copies, near_copy_pairs
 from fathom.llm.neighbours import graph_search, neighbour_graph, similar_pairs
 from fathom.llm.pack import pack_corpus
+from fathom.llm.secrets import find_secrets, redact
 from fathom.llm.split import oversized, split_oversized
 from fathom.llm.tokenize import encode_corpus
 from fathom.tables import read
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(read(spark, sf_dir, "artifacts"))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact(read(spark, sf_dir, "artifacts"))
+
+
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "artifacts").filter(F.col("kind").endswith("-implementation"))
 
@@ -66,6 +75,8 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": p4_found,
+    "p4_redacted": p4_redacted,
     "p5_found": p5_found,
     "p5_classes": p5_classes,
     "p6_found": p6_found,
