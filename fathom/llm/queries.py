@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 from fathom.llm.near_copies import near_copies, near_copy_pairs
 from fathom.llm.neighbours import graph_search, neighbour_graph, similar_pairs
 from fathom.llm.pack import pack_corpus
+from fathom.llm.pairs import defective_pairs
 from fathom.llm.secrets import find_secrets, redact
 from fathom.llm.split import oversized, split_oversized
 from fathom.llm.tokenize import encode_corpus
 from fathom.tables import read
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return defective_pairs(read(spark, sf_dir, "user_history"), read(spark, sf_dir, "harness_traces"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(read(spark, sf_dir, "artifacts"))
 
@@ -75,6 +80,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
     "p5_found": p5_found,
