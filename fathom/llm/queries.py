@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from fathom.llm.cut_texts import cut_rates, cut_texts
 from fathom.llm.near_copies import near_copies, near_copy_pairs
 from fathom.llm.neighbours import graph_search, neighbour_graph, similar_pairs
 from fathom.llm.pack import pack_corpus
@@ -79,6 +80,14 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_corpus(read(spark, sf_dir, "documents"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_texts(read(spark, sf_dir, "documents"))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_rates(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
@@ -91,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_pieces": p7_pieces,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
