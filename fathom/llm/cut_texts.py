@@ -17,12 +17,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fathom.llm.pairs import is_empty
 from fathom.llm.prose import CUT_MARK, ALL_FUNCTION_WORDS, has_function_words, last_line, odd_marks, tail
 from fathom.session import write_table
 
+#: A length is a source's limit if so many open-ended texts have it, and so many times the mean of the lengths around.
+SPIKE_ROWS, SPIKE_TIMES, SPIKE_AROUND = 6, 8, 10
+
 #: Words per shingle, least similarity of near copies, bands, hashes per band. Misses a pair of 0.8 with p = 0.0003.
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 14, 4
 
@@ -33,7 +36,7 @@ _ENTRY = re.compile(r"\s*(?:[-*+•]|\d+[.)])\s+")
 _PATH = re.compile(r"(?:^|[\s(`])[\w.\-]+/[\w./\-]*\w\.[A-Za-z]\w{0,5}`?\Z")
 _URL = re.compile(r"https?://\S+\Z")
 _ARGUMENT = re.compile(r"\s+\w+ \([^()]*\): \w+ \w+ \w+\Z")
-_SIGNED = re.compile(r"\s*(?:--|—) ?\w+(?: \w+){0,4}\Z|\s*[\w\-]+(?:-by|-of)?: \S.*[\w>]\Z", re.I)
+_SIGNED = re.compile(r"\s*(?:--|—) ?\w+(?: \w+){0,4}\Z", re.I)
 _TRAILER = re.compile(r"[A-Z][\w\-]+: (?:[A-Z]+[-/]\d+|#\d+|\S+@\S+|[\w.\- ]+ <[^>]+>)\Z")
 _FRAME = re.compile(r"\s+File \"|\s+at \S+\(")
 _ERROR = re.compile(r"[A-Z]\w*(?:Error|Exception|Warning|Fault)(?:: .*)?\Z")
@@ -79,8 +82,8 @@ def judge(text: str) -> tuple[bool | None, str | None]:
     words = _WORD.findall(body)
     if _ARGUMENT.match(line):
         return None, words[-1].lower()
-    if _SIGNED.match(line) and words[-1].lower() not in ALL_FUNCTION_WORDS:
-        return None, words[-1].lower()
+    if _SIGNED.match(line):
+        return words[-1].lower() in ALL_FUNCTION_WORDS, None
     if line.startswith(("# ", "## ", "### ")):
         return None, words[-1].lower()
     rest = tail(body)
@@ -181,10 +184,26 @@ def _open(column: str) -> F.Column:
     return ~F.rtrim(column).rlike(r"([.!?。？！]['\"”’»)\]*_]*|```)$")
 
 
-def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def at_limits(rows: DataFrame) -> DataFrame:
+    """(content) of the open-ended texts of ``rows(content, source, text)`` whose length is a limit of their source."""
+    ended = rows.filter(_open("text")).select("content", "source", F.length("text").alias("n_chars")).distinct()
+    counts = ended.groupBy("source", "n_chars").agg(F.count(F.lit(1)).alias("n"))
+    band = F.floor(F.col("n_chars") / 4096)
+    around = Window.partitionBy("source", band).orderBy("n_chars").rangeBetween(-SPIKE_AROUND, SPIKE_AROUND)
+    mean = (F.sum("n").over(around) - F.col("n")) / (2 * SPIKE_AROUND)
+    limits = counts.withColumn("mean", mean).filter(
+        (F.col("n") >= SPIKE_ROWS) & (F.col("n") > SPIKE_TIMES * F.col("mean")) & (F.col("n_chars") >= 100)
+    )
+    return ended.join(limits.select("source", "n_chars"), ["source", "n_chars"], "left_semi").select("content")
+
+
+def cut_texts(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
     """(doc_id) of the documents whose text ends before its content does."""
     rows = docs.filter(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text")
+        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text"),
+        F.coalesce(F.col(source_col), F.lit("")).alias("source"),
     )
     texts = write_table(rows.groupBy("content").agg(F.min("text").alias("text")), "texts")
     judged = write_table(
@@ -216,7 +235,8 @@ def cut_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
     early = candidates.mapInArrow(_verify, "content long").join(open_texts, "content", "left_semi")
     cut = (
-        judged.filter("cut").select("content").unionByName(fragments).unionByName(early).distinct()
+        judged.filter("cut").select("content").unionByName(fragments).unionByName(early)
+        .unionByName(at_limits(rows)).distinct()
     )
     return rows.select("doc_id", "content").join(cut, "content", "left_semi").select("doc_id").distinct()
 
