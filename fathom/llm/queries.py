@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm.cut_texts import cut_rates, cut_texts
+from fathom.llm.foreign_files import foreign_files
 from fathom.llm.near_copies import near_copies, near_copy_pairs
 from fathom.llm.neighbours import graph_search, neighbour_graph, similar_pairs
 from fathom.llm.pack import pack_corpus
@@ -19,6 +20,16 @@ from fathom.llm.tokenize import encode_corpus
 from fathom.tables import read
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = foreign_files(read(spark, sf_dir, "artifacts"), read(spark, sf_dir, "upstream_files"))
+    return found.select("repository", "file_path")
+
+
+def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = foreign_files(read(spark, sf_dir, "artifacts"), read(spark, sf_dir, "upstream_files"))
+    return found.groupBy("repository", "reason").agg(F.count(F.lit(1)).alias("files"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defective_pairs(read(spark, sf_dir, "user_history"), read(spark, sf_dir, "harness_traces"))
 
@@ -89,6 +100,8 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_reasons": p1_reasons,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
