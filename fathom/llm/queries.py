@@ -14,6 +14,7 @@ from fathom.llm.near_copies import near_copies, near_copy_pairs
 from fathom.llm.neighbours import graph_search, neighbour_graph, similar_pairs
 from fathom.llm.pack import pack_corpus
 from fathom.llm.pairs import defective_pairs
+from fathom.llm.parsing import invalid_files, invalid_rates
 from fathom.llm.secrets import find_secrets, redact
 from fathom.llm.split import oversized, split_oversized
 from fathom.llm.tokenize import encode_corpus
@@ -30,6 +31,14 @@ def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("repository", "reason").agg(F.count(F.lit(1)).alias("files"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invalid_files(read(spark, sf_dir, "artifacts"))
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invalid_rates(read(spark, sf_dir, "artifacts"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defective_pairs(read(spark, sf_dir, "user_history"), read(spark, sf_dir, "harness_traces"))
 
@@ -102,6 +111,8 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_reasons": p1_reasons,
+    "p2_found": p2_found,
+    "p2_rates": p2_rates,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
