@@ -1,11 +1,506 @@
-"""Registered queries of the core and their SQL."""
+"""Registered queries of the core and the SQL that checks them.
+
+Requests are the rows of user_history whose id is divisible by 50 and whose query isn't null, each id once; they are
+held against all artifacts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from fathom.functions import access, text as T
+from fathom.operators import answers, graph, search, tables, vectors
+from fathom.plans.oracle import ORACLE_SQL as ORACLE_SQL
+from fathom.session import shared_dir, write_table
+from fathom.sources import files, symbols
+from fathom.streaming import requests as stream
+from fathom.tables import read
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def registered(query: Query) -> Query:
+    QUERIES[query.__name__] = query
+    return query
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "user_history").filter((F.col("id") % 50 == 0) & F.col("query").isNotNull())
+    once = rows.groupBy(F.col("id").alias("qid")).agg(F.min(F.struct("query", "user_id", "repo_scope")).alias("r"))
+    users = once.select("qid", "r.query", "r.user_id", "r.repo_scope")
+    return access.user_tiers(users, read(spark, d, "access_matrix"))
+
+
+def _artifacts(spark: SparkSession, d: str) -> DataFrame:
+    return search.latest(read(spark, d, "artifacts"))
+
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return search.entries(_artifacts(spark, d).filter("kind <> 'chunk'"))
+
+
+# --- scans, predicates, functions ---
+
+
+@registered
+def scoped_scan(spark, d):
+    """Rows of tier 2 or below in the repositories that some group may see."""
+    seen = access.visible(read(spark, d, "artifacts"), 2, None)
+    scopes = read(spark, d, "group_scopes").select("repository").distinct()
+    rows = seen.join(scopes, "repository", "left_semi")
+    return rows.groupBy("repository", "tier").agg(F.countDistinct("id").alias("artifacts"), F.min("file_path").alias("first_path"))
+
+
+@registered
+def empty_scope(spark, d):
+    """An empty scope is nothing, whatever the tier."""
+    return access.visible(read(spark, d, "artifacts"), 3, []).select("id", "repository")
+
+
+@registered
+def index_decisions(spark, d):
+    """How many artifacts of each language are indexed, or left out for which reason."""
+    reasons = files.index_decisions(_artifacts(spark, d))
+    kinds = _artifacts(spark, d).select("id", "language")
+    return reasons.join(kinds, "id").groupBy("language", "reason").agg(F.count(F.lit(1)).alias("files"))
+
+
+@registered
+def file_languages(spark, d):
+    """Language by file name, and what the rows say."""
+    rows = read(spark, d, "artifacts").select(files.language_of(F.col("file_path")).alias("detected"), "language", "id").distinct()
+    return rows.groupBy("detected", "language").agg(F.count(F.lit(1)).alias("artifacts"))
+
+
+@registered
+def token_stats(spark, d):
+    """Every token's number of texts."""
+    words = _artifacts(spark, d).select("id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
+    return words.groupBy("token").agg(F.count(F.lit(1)).alias("texts"))
+
+
+@registered
+def identifier_parts(spark, d):
+    """Parts, normal form and stem of every symbol name."""
+    names = read(spark, d, "artifacts").filter("symbol_name is not null").select("symbol_name").distinct()
+    name = F.col("symbol_name")
+    return names.select(
+        "symbol_name", F.array_join(T.index_tokens(name), " ").alias("parts"), T.normalise_identifier(name).alias("normal"),
+        T.light_stem(F.lower(name)).alias("stem"), T.light_stem_rerank(F.lower(name)).alias("rerank_stem"),
+    )
+
+
+@registered
+def related_words(spark, d):
+    """Words of a query that are related to words of a path, by stems: counts per query."""
+    words = _requests(spark, d).select("qid", F.explode(T.query_terms(F.col("query"))).alias("term")).distinct()
+    pieces = read(spark, d, "artifacts").select(F.explode(F.split(F.lower("file_path"), "[^a-z0-9]+")).alias("piece")).distinct()
+    key = lambda c: F.left(T.light_stem(F.col(c)), F.lit(5))
+    pairs = words.withColumn("k", key("term")).join(pieces.withColumn("k", key("piece")), "k")
+    return pairs.filter(T.related(F.col("term"), F.col("piece"))).groupBy("qid").agg(F.count(F.lit(1)).alias("related"))
+
+
+@registered
+def query_terms(spark, d):
+    """Terms, literals and path-like terms of every distinct query of the history."""
+    q = read(spark, d, "user_history").filter("query is not null").select("query").distinct()
+    join = lambda c: F.array_join(c, "|")
+    return q.select(
+        "query", join(T.query_terms(F.col("query"))).alias("terms"), join(T.query_literals(F.col("query"))).alias("literals"),
+        join(T.path_like_terms(F.col("query"))).alias("paths"), T.squeeze(F.col("query")).alias("squeezed"),
+    )
+
+
+@registered
+def joined_terms(spark, d):
+    """Each user's distinct engines as a phrase."""
+    rows = read(spark, d, "user_history").filter("inference_engine_used is not null")
+    engines = rows.groupBy("user_id").agg(F.array_sort(F.collect_set("inference_engine_used")).alias("engines"))
+    return engines.select("user_id", T.join_terms(F.col("engines")).alias("phrase"))
+
+
+@registered
+def sliding_chunks(spark, d):
+    """Overlapping chunks of the texts of documents: numbers and a digest per document."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    chunks = files.sliding_chunks(docs)
+    return chunks.groupBy("id").agg(
+        F.count(F.lit(1)).alias("chunks"), F.max("start").alias("last_start"), F.max(F.md5(F.col("chunk").cast("binary"))).alias("digest")
+    )
+
+
+@registered
+def json_leaves(spark, d):
+    """Keys and values of the events' properties."""
+    rows = read(spark, d, "events").select(F.col("event_id").alias("id"), "props")
+    return files.json_leaves(rows, "props").groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("long")).alias("total")
+    )
+
+
+@registered
+def markdown_cells(spark, d):
+    """Cells of the pipe tables within artifacts."""
+    rows = _artifacts(spark, d).filter("text is not null").select("id", "text")
+    return files.markdown_cells(rows).groupBy("id").agg(F.count(F.lit(1)).alias("cells"), F.min("cell").alias("first_cell"))
+
+
+@registered
+def symbol_definitions(spark, d):
+    """Definitions of source files by kind, found by patterns."""
+    rows = _artifacts(spark, d).filter("kind in ('module', 'chunk') and text is not null").select("id", "language", "text")
+    found = symbols.definitions(rows).join(rows.select("id", "language"), "id")
+    return found.groupBy("language", "kind").agg(F.count(F.lit(1)).alias("definitions"), F.countDistinct("name").alias("names"))
+
+
+# --- tables ---
+
+
+@registered
+def upsert_latest(spark, d):
+    """The artifacts after their late deliveries: per repository the rows and the sum of the times."""
+    rows = read(spark, d, "artifacts").select("id", "repository", "updated_at")
+    empty = rows.limit(0)
+    return tables.upsert(empty, rows, "id", "updated_at").groupBy("repository").agg(
+        F.count(F.lit(1)).alias("artifacts"), F.round(F.sum("updated_at"), 0).alias("total_time")
+    )
+
+
+@registered
+def delete_repository(spark, d):
+    """What is left of the graph without its largest repository's artifacts."""
+    rows = read(spark, d, "artifacts").select("id", "repository").distinct()
+    sizes = rows.groupBy("repository").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.orderBy(F.desc("n"), "repository").first()["repository"]
+    kept, links = tables.delete_repository(rows, graph.clean_edges(read(spark, d, "edges")), largest)
+    left = kept.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit("artifacts").alias("what"), "n")
+    return left.unionByName(links.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit("edges").alias("what"), "n"))
+
+
+@registered
+def index_stats(spark, d):
+    return tables.index_stats(read(spark, d, "artifacts"))
+
+
+@registered
+def repository_fingerprints(spark, d):
+    return tables.fingerprints(_artifacts(spark, d))
+
+
+@registered
+def schema_migration(spark, d):
+    """The history under its old column name, with the new column filled where it was null."""
+    old = read(spark, d, "user_history").withColumnRenamed("inference_engine_used", "engine")
+    new = old.withColumn("inference_engine_used", F.coalesce("engine", F.lit("unknown"))).drop("engine")
+    return new.groupBy("inference_engine_used").agg(F.countDistinct("id").alias("answers"))
+
+
+# --- access, audit, history ---
+
+
+@registered
+def user_tiers(spark, d):
+    """Requests per tier; unknown users have the lowest."""
+    users = read(spark, d, "harness_traces").select("user_id", "trace_id").distinct()
+    return access.user_tiers(users, read(spark, d, "access_matrix")).groupBy("user_tier").agg(F.count(F.lit(1)).alias("requests"))
+
+
+@registered
+def allowed_scopes(spark, d):
+    """The repositories each group may see."""
+    groups = read(spark, d, "group_scopes")
+    members = groups.select(F.col("group_name").alias("subject"), "group_name").distinct()
+    return access.allowed_scopes(members, groups).select("subject", F.array_join("scopes", ",").alias("scopes"))
+
+
+@registered
+def last_turns(spark, d):
+    """The last four answers of each user, the newest first."""
+    rows = read(spark, d, "user_history").select("id", "user_id").distinct()
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("id")))
+    return rows.withColumn("turn", n).filter("turn <= 4").select("user_id", "id", "turn")
+
+
+@registered
+def audit_rollup(spark, d):
+    """Requests, hits and latency by day and tier, with totals."""
+    rows = read(spark, d, "audit_log").dropDuplicates(["id"]).withColumn("day", F.date_format(F.timestamp_seconds(F.floor("created_at")), "yyyy-MM-dd"))
+    tier = F.coalesce("access_tier", F.lit("none")).alias("tier")
+    return rows.select("day", tier, "cache_hit", "latency_ms").rollup("day", "tier").agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if("cache_hit").alias("hits"), F.sum(F.round(F.col("latency_ms") * 1000).cast("long")).alias("total_us")
+    )
+
+
+@registered
+def latency_percentiles(spark, d):
+    """Exact latency percentiles per engine."""
+    rows = read(spark, d, "audit_log").dropDuplicates(["id"]).filter("latency_ms is not null")
+    p = lambda q: F.round(F.percentile("latency_ms", F.lit(q)), 4)
+    return rows.groupBy(F.coalesce("inference_engine_used", F.lit("none")).alias("engine")).agg(
+        p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.sum(F.round(F.col("latency_ms") * 1000).cast("long")).alias("total_us")
+    )
+
+
+@registered
+def cache_keys(spark, d):
+    """The cache key of every trace, and how many traces share it."""
+    rows = read(spark, d, "harness_traces").filter("query is not null").dropDuplicates(["trace_id"])
+    key = answers.cache_key("v1", F.col("query"), F.coalesce("access_tier", F.lit("T-1")), F.coalesce("repo_scopes", F.array().cast("array<string>")), "answer", F.col("model_id"), F.lit("index"))
+    return rows.select("trace_id", key.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("traces"))
+
+
+@registered
+def coalesced_requests(spark, d):
+    """Per query hash: requests, and how many would have led a computation of five minutes."""
+    rows = read(spark, d, "audit_log").dropDuplicates(["id"])
+    return stream.coalesced(rows, ["query_hash"]).groupBy("query_hash").agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if("leads").alias("leads")
+    )
+
+
+@registered
+def ttl_cache_hits(spark, d):
+    """Hits of a cache whose entries live as long as the tier says."""
+    rows = read(spark, d, "audit_log").dropDuplicates(["id"]).withColumn("access_tier", F.coalesce("access_tier", F.lit("T-1")))
+    return stream.cache_hits(rows, ["query_hash", "access_tier"]).groupBy("access_tier").agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if("hit").alias("hits")
+    )
+
+
+@registered
+def rate_limits(spark, d):
+    """Requests per user that a token bucket lets through and turns away."""
+    rows = read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("user_id"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double") .alias("us"))
+    timed = rows.withColumn("created_at", F.col("us") / 1e6)
+    return stream.rate_limited(timed).groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("refused"))
+
+
+@registered
+def breaker_states(spark, d):
+    """States of the engines' breakers, where blocked requests count as failures."""
+    rows = read(spark, d, "audit_log").dropDuplicates(["id"])
+    failed = F.coalesce("rbac_blocked", F.lit(False)) | (F.coalesce("latency_ms", F.lit(0.0)) > 3000)
+    return stream.breaker_states(rows.select("id", F.col("inference_engine_used").alias("engine"), "created_at", failed.alias("failed"))).groupBy("engine", "state").agg(F.count(F.lit(1)).alias("requests"))
+
+
+@registered
+def audit_windows_stream(spark, d):
+    """Hourly windows of the audit log, by a stream that is run over what there is."""
+    path, _, name = f"{d}/audit_log.parquet".rpartition("/")
+    import uuid
+
+    if spark._jvm.org.apache.hadoop.fs.Path(f"{d}/audit_log.parquet").getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{d}/audit_log.parquet")).isDirectory():
+        path, name = f"{d}/audit_log.parquet", "*.parquet"
+    windows = stream.audit_windows(stream.audit_stream(spark, path, name))
+    return stream.run_available(windows, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")
+
+
+# --- search ---
+
+
+@registered
+def lexical_search(spark, d):
+    """The best fifty artifacts of each request in the inverted index."""
+    return search.lexical_index_search(_requests(spark, d), _index(spark, d), 50)
+
+
+@registered
+def text_scan(spark, d):
+    """Artifacts whose text holds the requests' longest terms: counts per request."""
+    found = search.text_scan(_requests(spark, d), _artifacts(spark, d).filter("text is not null"))
+    return found.groupBy("qid").agg(F.count(F.lit(1)).alias("artifacts"), F.sum("matched").alias("matches"))
+
+
+@registered
+def path_search(spark, d):
+    """The best twenty paths of each request."""
+    return search.path_search(_requests(spark, d), read(spark, d, "artifacts"), 20)
+
+
+@registered
+def file_name_search(spark, d):
+    """Artifacts of the files that queries name, for every query of the history."""
+    rows = read(spark, d, "user_history").filter("query is not null")
+    once = rows.groupBy(F.col("id").alias("qid")).agg(F.min(F.struct("query", "user_id")).alias("r"))
+    asked = access.user_tiers(once.select("qid", "r.query", "r.user_id", F.lit(None).cast("array<string>").alias("repo_scope")), read(spark, d, "access_matrix"))
+    return search.file_name_search(asked, _artifacts(spark, d)).select("qid", "id", "file_path", "rank")
+
+
+@registered
+def hash_embedding(spark, d):
+    """Hashed embeddings of all artifacts, as their non-zero buckets and squared lengths."""
+    weights = vectors.hashed_weights(_artifacts(spark, d), "id", "text")
+    return weights.groupBy("id").agg(
+        F.count(F.lit(1)).alias("buckets"), F.sum(F.col("weight") * F.col("weight")).alias("squared"), F.sum(F.col("bucket") * F.col("weight")).alias("moment")
+    )
+
+
+def _vector_hits(spark, d, k=20):
+    queries = vectors.hashed_vectors(_requests(spark, d), "qid", "query")
+    rows = vectors.hashed_vectors(_artifacts(spark, d), "id", "text")
+    return vectors.nearest(queries, rows.select("id", "buckets", "weights"), 128, k, sparse=True)
+
+
+@registered
+def vector_search(spark, d):
+    """The twenty artifacts whose hashed embeddings are closest to each request's: scores by rank."""
+    return _vector_hits(spark, d).select("qid", "rank", "score")
+
+
+@registered
+def dense_nearest(spark, d):
+    """The ten vectors most similar to every vec_id divisible by 50, exactly."""
+    e = read(spark, d, "embeddings").filter(F.size("embedding") == 64)
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    found = vectors.nearest(asked, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 64, 10, sparse=False, id_type="long")
+    return found.select("qid", "rank", "score")
+
+
+@registered
+def label_votes(spark, d):
+    """How often the ten most similar others of a vector share its label."""
+    e = read(spark, d, "embeddings").filter(F.size("embedding") == 64)
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    found = vectors.nearest(asked, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 64, 11, sparse=False, id_type="long")
+    labels = e.select("vec_id", "label")
+    joined = (
+        found.filter("qid <> id").join(labels.select(F.col("vec_id").alias("qid"), F.col("label").alias("own")), "qid")
+        .join(labels.select(F.col("vec_id").alias("id"), "label"), "id")
+    )
+    return joined.groupBy("qid").agg(F.count_if(F.col("own") == F.col("label")).alias("same"), F.count(F.lit(1)).alias("others"))
+
+
+# --- graph ---
+
+
+@registered
+def edges_clean(spark, d):
+    """Edges by relationship: rows, distinct ones, and those with both ends among the artifacts."""
+    rows = read(spark, d, "edges")
+    clean = graph.clean_edges(rows)
+    inner = graph.induced(clean, read(spark, d, "artifacts").select("id").distinct())
+    n = lambda df, name: df.groupBy("relationship").agg(F.count(F.lit(1)).alias(name))
+    return n(rows, "given").join(n(clean, "distinct_edges"), "relationship").join(n(inner, "induced_edges"), "relationship", "left").select(
+        "relationship", "given", "distinct_edges", F.coalesce("induced_edges", F.lit(0)).alias("induced_edges")
+    )
+
+
+@registered
+def neighbours(spark, d):
+    """Each node's neighbours with the relationship that a walk prefers: counts by priority."""
+    near = graph.adjacency(graph.clean_edges(read(spark, d, "edges")))
+    return near.groupBy("id").agg(F.count(F.lit(1)).alias("neighbours"), F.min("priority").alias("best"), F.min("neighbour").alias("first"))
+
+
+def _graph_hits(spark, d, breadth=50):
+    artifacts = _artifacts(spark, d).select("id", "tier")
+    edges = graph.induced(graph.clean_edges(read(spark, d, "edges")), artifacts)
+    near = write_table(graph.adjacency(edges), "adjacency")
+    anchors = search.lexical_index_search(_requests(spark, d), _index(spark, d), 5)
+    return graph.walk(anchors.select("qid", "id", "rank"), near, 3, breadth)
+
+
+@registered
+def graph_search(spark, d):
+    """Breadth-first walks of depth three from each request's five best artifacts."""
+    return _graph_hits(spark, d)
+
+
+@registered
+def degree_centrality(spark, d):
+    return graph.degrees(graph.clean_edges(read(spark, d, "edges")))
+
+
+@registered
+def central_nodes(spark, d):
+    """Betweenness over shortest paths of up to six steps from every node whose hash is divisible by 50."""
+    edges = graph.clean_edges(read(spark, d, "edges"))
+    nodes = graph.degrees(edges).select(F.col("id").alias("pivot")).filter(F.pmod(F.xxhash64("pivot"), F.lit(50)) == 0)
+    return graph.betweenness(edges, nodes).select("id", F.round("score", 6).alias("score"))
+
+
+@registered
+def resolve_symbols(spark, d):
+    """Back-quoted names of requests, resolved where one artifact of a repository bears the name."""
+    rows = read(spark, d, "user_history").filter("query is not null").select("query", "repo_scope").distinct()
+    refs = (
+        rows.select(T.query_literals(F.col("query")).alias("names"), "repo_scope")
+        .select(F.explode("names").alias("name"), "repo_scope").select("name", F.explode("repo_scope").alias("repository")).distinct()
+        .withColumn("ref", F.concat_ws(":", "repository", "name"))
+    )
+    named = read(spark, d, "artifacts").filter("symbol_name is not null and kind like '%-implementation'").select("id", "repository", "symbol_name").distinct()
+    return graph.resolve_references(refs, named)
+
+
+# --- fusion, re-ranking, answers ---
+
+
+@registered
+def hybrid_search(spark, d):
+    """File-name, vector and graph hits of each request in one order of twenty."""
+    artifacts = _artifacts(spark, d)
+    asked = _requests(spark, d)
+    named = search.file_name_search(asked, artifacts).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("qid").orderBy("file_path", "rank", "id"))
+    ).select("qid", "id", "rank")
+    graph_hits = _graph_hits(spark, d).select("qid", "id", F.col("position").alias("rank"))
+    return search.fuse(named, _vector_hits(spark, d).select("qid", "id", "rank"), graph_hits)
+
+
+@registered
+def rerank(spark, d):
+    """The lexical hits of each request, scored against their symbols: the best eight, one place per file first."""
+    artifacts = _artifacts(spark, d)
+    hits = search.lexical_index_search(_requests(spark, d), _index(spark, d), 50)
+    scored = search.symbol_scores(hits, _requests(spark, d), artifacts)
+    return search.diverse(scored, artifacts, 8).select("qid", "id", "rerank_score", "position")
+
+
+@registered
+def merge_by_file(spark, d):
+    """The lexical hits of each request, one row per file."""
+    hits = search.lexical_index_search(_requests(spark, d), _index(spark, d), 50)
+    fields = _artifacts(spark, d).select("id", "symbol_name", "line_start", "line_end")
+    return answers.merge_by_file(hits.join(fields, "id"))
+
+
+@registered
+def u_shape(spark, d):
+    """The lexical hits of each request with the best at both ends."""
+    hits = search.lexical_index_search(_requests(spark, d), _index(spark, d), 50)
+    return answers.u_shape(hits.select("qid", "id", "rank")).select("qid", "id", "rank", "place")
+
+
+@registered
+def summaries(spark, d):
+    """One line on every artifact."""
+    return answers.summaries(_artifacts(spark, d))
+
+
+@registered
+def prompts(spark, d):
+    """Prompts of the requests from their eight best artifacts."""
+    hits = search.lexical_index_search(_requests(spark, d), _index(spark, d), 8)
+    return answers.prompts(hits.select("qid", "id", "rank"), answers.summaries(_artifacts(spark, d)), _requests(spark, d))
+
+
+@registered
+def quality_flags(spark, d):
+    """Flags of every trace's response, by their combination."""
+    rows = read(spark, d, "harness_traces").dropDuplicates(["trace_id"])
+    return rows.select(F.array_join(answers.quality_flags(F.col("response")), ",").alias("flags")).groupBy("flags").agg(F.count(F.lit(1)).alias("responses"))
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-ORACLE_SQL: dict[str, str] = {}
+@registered
+def search_quality(spark, d):
+    """Hit rate, recall and reciprocal rank of path search, by language of the file that the query names."""
+    rows = read(spark, d, "user_history").filter("query is not null")
+    once = rows.groupBy(F.col("id").alias("qid")).agg(F.min("query").alias("query"))
+    asked = once.withColumn("repo_scope", F.lit(None).cast("array<string>"))
+    named = asked.select("qid", F.explode(T.path_like_terms(F.col("query"))).alias("file_path")).filter(F.col("file_path").rlike(r"/.*\.\w+$"))
+    gold = named.withColumn("suffix", F.regexp_extract("file_path", r"\.(\w+)$", 1))
+    ranked = search.path_search(asked.join(named.select("qid").distinct(), "qid", "left_semi"), read(spark, d, "artifacts"), 8)
+    return answers.ranking_quality(ranked, gold, "suffix")
