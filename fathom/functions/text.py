@@ -101,7 +101,7 @@ def term_weight(term: Column) -> Column:
 
 
 def basename(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.try_element_at(F.split(path, "/"), F.lit(-1))
 
 
 def stem_of(name: Column) -> Column:
@@ -127,10 +127,10 @@ def line_count(text: Column) -> Column:
 def join_terms(terms: Column) -> Column:
     """a; a and b; a, b, and c."""
     n = F.size(terms)
-    many = F.concat(F.array_join(F.slice(terms, F.lit(1), n - 1), ", "), F.lit(", and "), F.element_at(terms, -1))
+    many = F.concat(F.array_join(F.slice(terms, F.lit(1), n - 1), ", "), F.lit(", and "), F.try_element_at(terms, F.lit(-1)))
     return (
         F.when(n == 0, F.lit(""))
-        .when(n == 1, F.element_at(terms, 1))
-        .when(n == 2, F.concat_ws(" and ", F.element_at(terms, 1), F.element_at(terms, 2)))
+        .when(n == 1, F.try_element_at(terms, F.lit(1)))
+        .when(n == 2, F.concat_ws(" and ", F.try_element_at(terms, F.lit(1)), F.try_element_at(terms, F.lit(2))))
         .otherwise(many)
     )

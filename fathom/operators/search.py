@@ -181,7 +181,7 @@ def symbol_scores(hits: DataFrame, requests: DataFrame, artifacts: DataFrame) ->
             40 + F.when(F.col("kind").isin("class", "struct", "interface", "enum"), 15).otherwise(0)
             + F.when(F.col("kind").contains("implementation"), 20).otherwise(0),
         )
-        .when(F.element_at(parts, -1) == term, 18).when(F.array_contains(parts, term), 3)
+        .when(F.try_element_at(parts, F.lit(-1)) == term, 18).when(F.array_contains(parts, term), 3)
         .when((F.length(term) >= 3) & F.col("symbol").contains(term), 6).otherwise(0)
     )
     return (

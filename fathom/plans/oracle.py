@@ -232,10 +232,11 @@ SELECT h.qid, h.file_path, min(rank)::INTEGER AS position, min(line_start)::INTE
 FROM h LEFT JOIN a ON a.qid = h.qid AND a.file_path = h.file_path GROUP BY 1, 2"""
 ORACLE_SQL["u_shape"] = f"""WITH {LEX}, n AS (SELECT qid, id, rank, count(*) OVER (PARTITION BY qid) AS n FROM lex)
 SELECT qid, id, rank, (CASE WHEN (rank - 1) % 2 = 0 THEN (rank - 1) // 2 ELSE n - rank // 2 END + 1)::INTEGER AS place FROM n"""
-_SUMMARY = """SELECT id, format('{} ({}, {}, lines {}-{}) - ', coalesce(symbol_name, file_path), kind, language, line_start, line_end) || CASE WHEN len(w) > 0
-  THEN 'Mentions ' || array_to_string(w[1:10], ', ') || '.' ELSE 'No salient identifiers extracted.' END AS summary FROM (SELECT *, """ + _ordered_distinct(
-    "list_filter(coalesce(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*'), []), lambda t: length(t) > 2 AND NOT starts_with(t, '__'))[1:200]"
-) + " AS w FROM cur)"
+_SUMMARY = """SELECT id, format('{} ({}, {}, lines {}-{}) - ', coalesce(symbol_name, file_path), kind, language, line_start, line_end)
+  || CASE WHEN w IS NOT NULL THEN 'Mentions ' || array_to_string(w[1:10], ', ') || '.' ELSE 'No salient identifiers extracted.' END AS summary
+FROM cur LEFT JOIN (SELECT id, list(token ORDER BY pos) AS w FROM (SELECT id, token, min(pos) AS pos FROM
+  (SELECT id, unnest(l) AS token, generate_subscripts(l, 1) AS pos FROM (SELECT id, regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*') AS l FROM cur))
+  WHERE length(token) > 2 AND NOT starts_with(token, '__') GROUP BY id, token) GROUP BY id) USING (id)"""
 ORACLE_SQL["quality_flags"] = r"""WITH t AS (SELECT coalesce(response, '') AS text FROM harness_traces QUALIFY row_number() OVER (PARTITION BY trace_id) = 1),
 l AS (SELECT text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines FROM t)
 SELECT array_to_string(list_filter([CASE WHEN regexp_matches(text, $p$(?i)\b(?:[A-Z]:[\\/]|(?:\.{1,2}|src|tests?|scripts?|evaluation|[A-Za-z0-9_.-]+)[\\/])[^\s`'"),]+$p$) THEN 'path_leak' END,
@@ -243,3 +244,32 @@ SELECT array_to_string(list_filter([CASE WHEN regexp_matches(text, $p$(?i)\b(?:[
   CASE WHEN len(lines) > 0 AND (lower(lines[1]) IN ('relevant files:', 'files:', 'source files:', 'sources:', 'paths:', 'file paths:')
     OR len(list_filter(lines, lambda x: regexp_matches(x, '^[-*]') AND regexp_matches(x, $p$(?i)\b(?:[A-Z]:[\\/]|(?:\.{1,2}|src|tests?|scripts?|evaluation|[A-Za-z0-9_.-]+)[\\/])[^\s`'"),]+$p$))) >= greatest(1, len(lines) - 1)) THEN 'path_list' END,
   CASE WHEN trim(text, ' ') = '' THEN 'empty' END], lambda x: x IS NOT NULL), ',') AS flags, count(*) AS responses FROM l GROUP BY 1"""
+ORACLE_SQL["summaries"] = f"WITH {CUR} {_SUMMARY}"
+ORACLE_SQL["prompts"] = f"""WITH {LEX}, sm AS ({_SUMMARY}), t AS (SELECT qid, id, rank, count(*) OVER (PARTITION BY qid) AS n FROM lex WHERE rank <= 8),
+p AS (SELECT qid, (CASE WHEN (rank - 1) % 2 = 0 THEN (rank - 1) // 2 ELSE n - rank // 2 END + 1)::INTEGER AS place, summary FROM t JOIN sm USING (id)),
+c AS (SELECT qid, string_agg('[' || place || '] ' || summary, chr(10) ORDER BY place) AS context FROM p GROUP BY qid)
+SELECT qid, 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || query AS prompt FROM c JOIN req USING (qid)"""
+ORACLE_SQL["hybrid_search"] = f"""WITH {_WALK},
+w AS ({_BUCKETS.format(key="id", text="text", table="cur")}), q AS ({_BUCKETS.format(key="qid", text="query", table="req")}),
+wn AS (SELECT id, sqrt(sum(weight * weight)) AS n FROM w GROUP BY id), qn AS (SELECT qid, sqrt(sum(weight * weight)) AS m FROM q GROUP BY qid),
+dots AS (SELECT q.qid, w.id, sum(q.weight * w.weight) AS dot FROM q JOIN w USING (bucket) GROUP BY 1, 2),
+vs AS (SELECT qn.qid, wn.id, round(coalesce(dot, 0) / (n * m), 6) AS score FROM qn CROSS JOIN wn LEFT JOIN dots ON dots.qid = qn.qid AND dots.id = wn.id),
+v AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM vs QUALIFY rank <= 20),
+sl AS (SELECT qid, greatest(1, floor(count(*) * 0.5)) AS slots FROM v GROUP BY qid),
+fn AS (SELECT DISTINCT qid, user_tier, repo_scope, unnest(regexp_extract_all(lower(query), '[a-z0-9_\\-]+\\.(?:py|cpp|hpp|cc|java|js|ts|go|json|md)\\b')) AS name FROM req),
+fr AS (SELECT qid, id, file_path, row_number() OVER (PARTITION BY qid, repository, file_path ORDER BY CASE kind WHEN 'class' THEN 0 WHEN 'function' THEN 1 WHEN 'method' THEN 2 ELSE 3 END, line_start, id) AS r
+  FROM fn JOIN cur ON list_last(string_split(lower(file_path), '/')) = name WHERE tier <= user_tier AND (repo_scope IS NULL OR list_contains(repo_scope, repository)) QUALIFY r <= 2),
+parts AS (SELECT qid, id, 0 AS band, row_number() OVER (PARTITION BY qid ORDER BY file_path, r, id) AS rank FROM fr
+  UNION ALL SELECT v.qid, id, CASE WHEN rank <= slots THEN 1 ELSE 3 END, rank FROM v JOIN sl USING (qid)
+  UNION ALL SELECT qid, id, 2, position FROM s3 WHERE position <= 50),
+o AS (SELECT qid, id, min(band * 1000000 + rank) AS place FROM parts GROUP BY 1, 2)
+SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY place, id)::INTEGER AS position FROM o QUALIFY position <= 20"""
+ORACLE_SQL["search_quality"] = rf"""WITH req AS (SELECT id AS qid, min(query) AS query, NULL::VARCHAR[] AS repo_scope FROM user_history WHERE query IS NOT NULL GROUP BY id),
+nm AS (SELECT DISTINCT qid, path AS gold, regexp_extract(path, '\.(\w+)$', 1) AS suffix FROM (SELECT qid, unnest({PATHS}) AS path FROM req) WHERE regexp_matches(path, '/.*\.\w+$')),
+{TERM}, s AS ({_PATHS_SCORED}),
+k AS (SELECT qid, lower(file_path) AS path, row_number() OVER (PARTITION BY qid ORDER BY score DESC, file_path DESC, repository DESC) AS rank FROM s QUALIFY rank <= 8),
+m AS (SELECT nm.qid, suffix, gold, min(CASE WHEN path = gold OR ends_with(path, '/' || gold) OR list_last(string_split(path, '/')) = list_last(string_split(gold, '/')) THEN rank END) AS first
+  FROM nm LEFT JOIN k USING (qid) GROUP BY 1, 2, 3),
+p AS (SELECT qid, suffix, min(first) AS first, avg(CASE WHEN first IS NOT NULL THEN 1.0 ELSE 0.0 END) AS recall FROM m GROUP BY 1, 2)
+SELECT coalesce(suffix, 'total') AS suffix, count(*) AS requests, round(avg(CASE WHEN first IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS hit, round(avg(recall), 6) AS recall,
+round(avg(CASE WHEN recall = 1.0 THEN 1.0 ELSE 0.0 END), 6) AS all_gold, round(avg(coalesce(1.0 / first, 0.0)), 6) AS mrr FROM p GROUP BY ROLLUP (suffix)"""

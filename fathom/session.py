@@ -67,3 +67,9 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.join("fathom", os.path.relpath(full, root)))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files come as fewer partitions; large tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
