@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fathom.session import write_table
+from fathom.session import spread, write_table
 
 #: Sketches per body and smallest triples per sketch. A pair of Jaccard index 0.7 shares no sketch with p < 1e-5.
 SKETCHES, SMALLEST = 20, 2
@@ -139,7 +139,7 @@ def near_copies(bodies: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, D
     """
     usable = bodies.filter(F.col("text").isNotNull()).select("id", "text")
     rows = write_table(
-        usable.mapInArrow(_sketch_rows, "id string, content binary, tokens string, sketches array<long>")
+        spread(usable).mapInArrow(_sketch_rows, "id string, content binary, tokens string, sketches array<long>")
         .filter(F.size("sketches") > 0),
         "sketches",
     )

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from fathom.session import spread
+
 LIMIT, OVERLAP = 4000, 200
 
 #: Lines on each side of a boundary whose words are compared, and the places that words are folded into.
@@ -99,7 +101,7 @@ _NAMES = ["id", "piece", "text", "line_start", "line_end"]
 def split_oversized(artifacts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """(id, piece, text, line_start, line_end) of every row of ``artifacts`` whose text is longer than ``limit``."""
     long = artifacts.filter(F.char_length("text") > limit).select("id", "text", "kind", "line_start")
-    return long.mapInArrow(_cut(limit, overlap), "id string, piece int, text string, line_start int, line_end int")
+    return spread(long).mapInArrow(_cut(limit, overlap), "id string, piece int, text string, line_start int, line_end int")
 
 
 def oversized(artifacts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from fathom.session import write_table
+from fathom.session import spread, write_table
 
 #: Folder of the public vocabulary files; a parameter everywhere.
 TOKENIZERS = "/opt/tokenizers"
@@ -99,7 +99,8 @@ _NAMES = ["block", "doc_id", "places", "distinct"]
 
 def word_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The blocks of ``docs``, written to the shared folder."""
-    split = docs.select(F.col(id_col).alias("doc_id"), split_words(F.col(text_col)).alias("words"))
+    texts = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    split = texts.select("doc_id", split_words(F.col("text")).alias("words"))
     schema = T.StructType(
         [
             T.StructField("block", T.LongType()),
