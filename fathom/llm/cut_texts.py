@@ -86,6 +86,8 @@ def judge(text: str) -> tuple[bool | None, str | None]:
         return words[-1].lower() in ALL_FUNCTION_WORDS, None
     if line.startswith(("# ", "## ", "### ")):
         return None, words[-1].lower()
+    if re.search(r"\(#?\w[\w\-]*\)\Z", body):
+        return False, None
     rest = tail(body)
     if has_function_words(rest):
         return True, None

@@ -9,7 +9,7 @@ from functools import lru_cache
 FUNCTION_WORDS = {
     "en": "the a an of to is are was were be been and or but if for in on at by with from as that this it its not no than then "
     "when where which who whether because so after before there nobody each only both only into out would can could may "
-    "must has have had does do did you your i we they them what why how about every one per more now other same two again first",
+    "must has have had does do did you your i we they them what why how about every",
     "de": "der die das den dem des ein eine einen einem eines und oder aber nicht ist sind war wird werden wurde mit von vom zu zum "
     "zur im in auf für aus bei nach vor über unter dass wenn weil damit auch nur man wir sie er es keine kein wie was wer wo "
     "warum welche welcher dann als bis ohne durch höchstens danach gibt diese dieser",
@@ -19,8 +19,11 @@ FUNCTION_WORDS = {
     "dónde qué cuál por como cómo si se su sus lo le les más hay antes después este esta estos estas hasta como entonces a",
 }
 
-_SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
-ALL_FUNCTION_WORDS = frozenset().union(*_SETS.values())
+#: Words that tell a language, but may close a title or stand in a list of words. Fixed values.
+COMMON_WORDS = {"en": "one per more now other same two again first"}
+
+ALL_FUNCTION_WORDS = frozenset().union(*(v.split() for v in FUNCTION_WORDS.values()))
+_SETS = {k: frozenset((v + " " + COMMON_WORDS.get(k, "")).split()) for k, v in FUNCTION_WORDS.items()}
 #: A word of one language tells twice as much as one that several share.
 _WEIGHTS = {k: {w: 1 + (sum(w in o for o in _SETS.values()) == 1) for w in v} for k, v in _SETS.items()}
 
