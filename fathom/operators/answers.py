@@ -122,3 +122,24 @@ def ranking_quality(ranked: DataFrame, gold: DataFrame, groups: str, k: int = 8)
         F.round(F.avg(F.when(F.col("recall") == 1.0, 1.0).otherwise(0.0)), 6).alias("all_gold"),
         F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"),
     ).withColumn(groups, F.coalesce(groups, F.lit("total")))
+
+
+#: A marker that a failed model call leaves. Fixed value.
+INFERENCE_ERROR = r"(?i)\[Inference Error:.*?\]"
+
+
+def decisions(traces: DataFrame) -> DataFrame:
+    """(trace_id, decision): whether an answer would be kept, or why a fallback would take its place."""
+    flags = quality_flags(F.col("response"))
+    found = F.size(F.coalesce("retrieval_ids", F.array().cast("array<string>"))) > 0
+    decision = (
+        F.when(~found, "no_context").when(F.array_contains(flags, "empty"), "empty")
+        .when(F.coalesce("response", F.lit("")).rlike(INFERENCE_ERROR), "error").when(F.array_contains(flags, "path_list"), "path_list")
+        .otherwise("kept")
+    )
+    return traces.select("trace_id", decision.alias("decision"))
+
+
+def exposition(counts: DataFrame, metric: str) -> DataFrame:
+    """(line): a text exposition of ``counts(label, value)``."""
+    return counts.select(F.format_string('%s{tier="%s"} %d', F.lit(metric), "label", "value").alias("line"))

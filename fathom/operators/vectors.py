@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fathom.functions import text as T
 
@@ -14,28 +14,20 @@ from fathom.functions import text as T
 BLOCK = 1024
 
 
-def hashed_bucket(token: Column, dimensions: int) -> Column:
-    """The first four bytes of the token's SHA-256, modulo ``dimensions``."""
-    return (F.conv(F.substring(F.sha2(token, 256), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
-
-
-def hashed_sign(token: Column) -> Column:
-    """+1 where the fifth byte of the token's SHA-256 is even, else -1."""
-    return F.when(F.conv(F.substring(F.sha2(token, 256), 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-
-
 def hashed_weights(rows: DataFrame, key: str, text: str, dimensions: int = 128) -> DataFrame:
-    """(key, bucket, weight): signed counts of the tokens' buckets. Every distinct token is hashed once."""
-    words = rows.select(key, F.explode(T.tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    hashed = words.select("token").distinct().select(
-        "token", hashed_bucket(F.col("token"), dimensions).alias("bucket"), hashed_sign(F.col("token")).alias("sign")
-    )
-    return (
-        words.join(hashed, "token").groupBy(key, "bucket").agg(F.sum(F.col("n") * F.col("sign")).alias("weight"))
-        .filter("weight <> 0")
+    """(key, bucket, weight): signed counts of the tokens' buckets.
+
+    A token's bucket is the first four bytes of its SHA-256 modulo ``dimensions``; its sign is + where the fifth byte is
+    even. Tokens are hashed where they are read and added up before the only shuffle, which carries at most ``dimensions``
+    rows per text and input partition.
+    """
+    digest = F.sha2("token", 256)
+    hashed = rows.select(key, F.explode(T.tokens(F.col(text))).alias("token")).select(key, digest.alias("h"))
+    number = lambda at, n: F.conv(F.substring("h", at, n), 16, 10).cast("long")
+    signed = hashed.select(
+        key, (number(1, 8) % dimensions).cast("int").alias("bucket"), F.when(number(9, 2) % 2 == 0, 1).otherwise(-1).alias("sign")
     )
+    return signed.groupBy(key, "bucket").agg(F.sum("sign").alias("weight")).filter("weight <> 0")
 
 
 def hashed_vectors(rows: DataFrame, key: str, text: str, dimensions: int = 128) -> DataFrame:

@@ -273,3 +273,11 @@ m AS (SELECT nm.qid, suffix, gold, min(CASE WHEN path = gold OR ends_with(path,
 p AS (SELECT qid, suffix, min(first) AS first, avg(CASE WHEN first IS NOT NULL THEN 1.0 ELSE 0.0 END) AS recall FROM m GROUP BY 1, 2)
 SELECT coalesce(suffix, 'total') AS suffix, count(*) AS requests, round(avg(CASE WHEN first IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS hit, round(avg(recall), 6) AS recall,
 round(avg(CASE WHEN recall = 1.0 THEN 1.0 ELSE 0.0 END), 6) AS all_gold, round(avg(coalesce(1.0 / first, 0.0)), 6) AS mrr FROM p GROUP BY ROLLUP (suffix)"""
+ORACLE_SQL["audit_once_stream"] = "SELECT coalesce(access_tier, 'none') AS access_tier, count(DISTINCT id) AS requests FROM audit_log GROUP BY 1"
+ORACLE_SQL["audit_append_stream"] = """SELECT strftime(make_timestamp((created_at * 1000000)::BIGINT), '%Y-%m-%d') AS day, count(*) AS rows,
+count(*) FILTER (cache_hit) AS hits FROM audit_log GROUP BY 1"""
+ORACLE_SQL["metrics_text"] = f"""WITH {_AUDIT} SELECT 'fathom_requests{{tier="' || coalesce(access_tier, 'none') || '"}} ' || count(*) AS line FROM a GROUP BY coalesce(access_tier, 'none')"""
+_CALLS = r"""b AS (SELECT * FROM cur WHERE kind LIKE '%-implementation' AND text IS NOT NULL),
+c AS (SELECT DISTINCT id AS source_id, repository, file_path, unnest(regexp_extract_all(text, '([A-Za-z_]\w*)\s*\(', 1)) AS name FROM b),
+y AS (SELECT repository, file_path, symbol_name AS name, min(id) AS target_id FROM b WHERE symbol_name IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT id) = 1)"""
+ORACLE_SQL["call_edges"] = f"""WITH {CUR}, {_CALLS} SELECT DISTINCT source_id, target_id, 'calls' AS relationship FROM c JOIN y USING (repository, file_path, name) WHERE source_id <> target_id"""

@@ -6,6 +6,7 @@ held against all artifacts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -286,16 +287,51 @@ def breaker_states(spark, d):
     return stream.breaker_states(rows.select("id", F.col("inference_engine_used").alias("engine"), "created_at", failed.alias("failed"))).groupBy("engine", "state").agg(F.count(F.lit(1)).alias("requests"))
 
 
+def _audit_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The audit table as a stream, whether it is one file or a folder of files."""
+    table = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/audit_log.parquet")
+    folder = table.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(table).isDirectory()
+    return stream.audit_stream(spark, f"{d}/audit_log.parquet" if folder else d, "*.parquet" if folder else "audit_log.parquet")
+
+
+def _stream_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
 @registered
 def audit_windows_stream(spark, d):
     """Hourly windows of the audit log, by a stream that is run over what there is."""
-    path, _, name = f"{d}/audit_log.parquet".rpartition("/")
-    import uuid
+    return stream.run_available(stream.audit_windows(_audit_stream(spark, d)), _stream_dir(spark))
+
+
+@registered
+def audit_once_stream(spark, d):
+    """Requests per tier, repeated deliveries left out by the stream."""
+    once = stream.once_each(_audit_stream(spark, d).withColumn("access_tier", F.coalesce("access_tier", F.lit("none"))))
+    kept = stream.run_available(once.select("id", "access_tier"), _stream_dir(spark), "append")
+    return kept.groupBy("access_tier").agg(F.count(F.lit(1)).alias("requests"))
+
+
+@registered
+def audit_append_stream(spark, d):
+    """The audit log appended to a table by day."""
+    table = stream.append_history(_audit_stream(spark, d), _stream_dir(spark))
+    return table.groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("rows"), F.count_if("cache_hit").alias("hits"))
 
-    if spark._jvm.org.apache.hadoop.fs.Path(f"{d}/audit_log.parquet").getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{d}/audit_log.parquet")).isDirectory():
-        path, name = f"{d}/audit_log.parquet", "*.parquet"
-    windows = stream.audit_windows(stream.audit_stream(spark, path, name))
-    return stream.run_available(windows, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")
+
+@registered
+def metrics_text(spark, d):
+    """Requests per tier as lines of a metrics page."""
+    rows = read(spark, d, "audit_log").dropDuplicates(["id"])
+    counts = rows.groupBy(F.coalesce("access_tier", F.lit("none")).alias("label")).agg(F.count(F.lit(1)).alias("value"))
+    return answers.exposition(counts, "fathom_requests")
+
+
+@registered
+def policy_decisions(spark, d):
+    """Whether each trace's answer would be kept."""
+    rows = read(spark, d, "harness_traces").dropDuplicates(["trace_id"])
+    return answers.decisions(rows).groupBy("decision").agg(F.count(F.lit(1)).alias("traces"))
 
 
 # --- search ---
@@ -409,6 +445,18 @@ def graph_search(spark, d):
     return _graph_hits(spark, d)
 
 
+@registered
+def call_edges(spark, d):
+    """Calls within files, resolved to the only symbol of the name."""
+    return graph.call_edges(_artifacts(spark, d)).select("source_id", "target_id", "relationship")
+
+
+@registered
+def call_graph(spark, d):
+    """A drawing of each request's walk with the calls between its nodes."""
+    return graph.call_graph_svg(_graph_hits(spark, d, 40), graph.clean_edges(read(spark, d, "edges")))
+
+
 @registered
 def degree_centrality(spark, d):
     return graph.degrees(graph.clean_edges(read(spark, d, "edges")))

@@ -134,3 +134,20 @@ def run_available(stream: DataFrame, folder: str, mode: str = "complete") -> Dat
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(target)
+
+
+def once_each(rows: DataFrame, delay: str = "2 days") -> DataFrame:
+    """The stream without repeated deliveries of an id within ``delay`` of event time."""
+    return rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])
+
+
+def append_history(stream: DataFrame, folder: str) -> DataFrame:
+    """Appends a stream to a table partitioned by day, each input file once; gives the table."""
+    spark = stream.sparkSession
+    dated = stream.withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    query = (
+        dated.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/table")
+        .option("checkpointLocation", f"{folder}/state").partitionBy("day").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/table")
