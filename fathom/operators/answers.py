@@ -143,3 +143,20 @@ def decisions(traces: DataFrame) -> DataFrame:
 def exposition(counts: DataFrame, metric: str) -> DataFrame:
     """(line): a text exposition of ``counts(label, value)``."""
     return counts.select(F.format_string('%s{tier="%s"} %d', F.lit(metric), "label", "value").alias("line"))
+
+
+def fallback_answers(scored: DataFrame, texts: DataFrame, requests: DataFrame, most: int = 5, least: int = 2) -> DataFrame:
+    """(qid, answer): what can be said without a model: the best artifacts' summaries, or that there is too little.
+
+    ``scored`` has qid, id, rerank_score and position; a hit counts from ``least`` points.
+    """
+    useful = scored.filter((F.col("rerank_score") >= least) & (F.col("position") <= most)).join(texts, "id")
+    lines = useful.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("position", "summary"))).alias("s")).select(
+        "qid", F.array_join(F.transform("s", lambda x: F.concat(F.lit("- "), x["summary"])), "\n").alias("lines")
+    )
+    head = F.concat(F.lit("For `"), "query", F.lit("`, "))
+    found = F.concat(head, F.lit("the useful retrieved signals are:\n"), "lines")
+    thin = F.concat(head, F.lit("the indexed context is too thin for an answer."))
+    return requests.select("qid", "query").join(lines, "qid", "left").select(
+        "qid", F.when(F.col("lines").isNotNull(), found).otherwise(thin).alias("answer")
+    )

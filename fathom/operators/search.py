@@ -198,3 +198,36 @@ def diverse(scored: DataFrame, artifacts: DataFrame, m: int = 8) -> DataFrame:
     return top(
         with_file.withColumn("again", in_file > 1), ["qid"], [F.col("again"), F.desc("rerank_score"), F.col("id")], m
     ).select("qid", "id", "file_path", "rerank_score", F.col("rank").alias("position"))
+
+
+def path_points(term: Column, path: Column) -> Column:
+    """How well a term fits a path: 0.6 for one of the name's pieces, 0.25 for a directory's; less for related words."""
+    lower = F.replace(F.lower(path), F.lit("\\"), F.lit("/"))
+    name = T.basename(lower)
+    stem = T.stem_of(name)
+    pieces = lambda c: F.split(c, "[^a-z0-9]+")
+    high = F.concat(F.array(lower, name, stem, F.regexp_extract(name, r"\.([^.]*)$", 1)), pieces(name), pieces(stem))
+    high = F.filter(high, lambda x: x != "")
+    parent = F.regexp_replace(lower, "/?[^/]*$", "")
+    low = F.filter(pieces(parent), lambda x: x != "")
+    return (
+        F.when(F.length(term) < 3, 0.0).when(F.array_contains(high, term), 0.6)
+        .when(F.exists(high, lambda x: T.related(term, x)), 0.35).when(F.array_contains(low, term), 0.25)
+        .when(F.exists(low, lambda x: T.related(term, x)), 0.15).otherwise(0.0)
+    )
+
+
+def rescored(hits: DataFrame, requests: DataFrame, artifacts: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank): ``hits(qid, id, score)`` again, with 0.08 for each term within an artifact and its path's points."""
+    terms = requests.select("qid", F.explode(T.query_terms(F.col("query"))).alias("term")).distinct()
+    searchable = F.lower(F.concat_ws(" ", "id", "symbol_name", "file_path", "kind", "text"))
+    fields = hits.select("id").distinct().join(artifacts, "id").select("id", "file_path", searchable.alias("searchable"))
+    points = hits.select("qid", "id").join(fields, "id").join(terms, "qid").groupBy("qid", "id").agg(
+        F.sum(
+            F.when(F.col("searchable").contains(F.col("term")), F.lit(0.08)).otherwise(0.0) + path_points(F.col("term"), F.col("file_path"))
+        ).alias("points")
+    )
+    scored = hits.join(points, ["qid", "id"], "left").select(
+        "qid", "id", F.round(F.col("score") + F.coalesce("points", F.lit(0.0)), 4).alias("score")
+    )
+    return top(scored, ["qid"], [F.desc("score"), F.col("id")], k)

@@ -281,3 +281,39 @@ _CALLS = r"""b AS (SELECT * FROM cur WHERE kind LIKE '%-implementation' AND text
 c AS (SELECT DISTINCT id AS source_id, repository, file_path, unnest(regexp_extract_all(text, '([A-Za-z_]\w*)\s*\(', 1)) AS name FROM b),
 y AS (SELECT repository, file_path, symbol_name AS name, min(id) AS target_id FROM b WHERE symbol_name IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT id) = 1)"""
 ORACLE_SQL["call_edges"] = f"""WITH {CUR}, {_CALLS} SELECT DISTINCT source_id, target_id, 'calls' AS relationship FROM c JOIN y USING (repository, file_path, name) WHERE source_id <> target_id"""
+ORACLE_SQL["json_documents"] = f"""WITH {CUR} SELECT c.id, count(*) AS leaves, count(*) FILTER (t.type = 'VARCHAR') AS strings
+FROM (SELECT id, text FROM cur WHERE language = 'json' AND text IS NOT NULL AND json_valid(text)) c, json_tree(c.text) t WHERE t.type NOT IN ('OBJECT', 'ARRAY') GROUP BY c.id"""
+ORACLE_SQL["fallback_answers"] = f"""WITH {_RERANK}, sm AS ({_SUMMARY}),
+best AS (SELECT qid, id, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY again, rerank_score DESC, id) AS position FROM p),
+l AS (SELECT qid, string_agg('- ' || summary, chr(10) ORDER BY position) AS lines FROM best JOIN sm USING (id) WHERE position <= 5 AND rerank_score >= 2 GROUP BY qid)
+SELECT qid, 'For `' || query || '`, ' || CASE WHEN lines IS NOT NULL THEN 'the useful retrieved signals are:' || chr(10) || lines
+  ELSE 'the indexed context is too thin for an answer.' END AS answer FROM req LEFT JOIN l USING (qid)"""
+
+
+def _is_related(a: str, b: str) -> str:
+    return f"(length({_stem(a)}) >= 5 AND length({_stem(b)}) >= 5 AND left({_stem(a)}, 5) = left({_stem(b)}, 5))"
+
+
+ORACLE_SQL["vector_rescored"] = rf"""WITH {CUR}, {REQ}, w AS ({_BUCKETS.format(key="id", text="text", table="cur")}), q AS ({_BUCKETS.format(key="qid", text="query", table="req")}),
+wn AS (SELECT id, sqrt(sum(weight * weight)) AS n FROM w GROUP BY id), qn AS (SELECT qid, sqrt(sum(weight * weight)) AS m FROM q GROUP BY qid),
+dots AS (SELECT q.qid, w.id, sum(q.weight * w.weight) AS dot FROM q JOIN w USING (bucket) GROUP BY 1, 2),
+s AS (SELECT qn.qid, wn.id, round(coalesce(dot, 0) / (n * m), 6) AS score FROM qn CROSS JOIN wn LEFT JOIN dots ON dots.qid = qn.qid AND dots.id = wn.id),
+h AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 80),
+t AS (SELECT DISTINCT qid, unnest({TERMS}) AS term FROM req),
+f AS (SELECT id, lower(concat_ws(' ', id, symbol_name, file_path, kind, text)) AS searchable, lower(file_path) AS path,
+  list_last(string_split(lower(file_path), '/')) AS name FROM cur WHERE id IN (SELECT id FROM h)),
+g AS (SELECT id, searchable, list_filter(list_concat([path, name, regexp_replace(name, '^(.+)\.[^.]*$', ''), regexp_extract(name, '\.([^.]*)$', 1)],
+  list_concat(regexp_split_to_array(name, '[^a-z0-9]+'), regexp_split_to_array(regexp_replace(name, '^(.+)\.[^.]*$', ''), '[^a-z0-9]+'))), lambda x: x <> '') AS high,
+  list_filter(regexp_split_to_array(regexp_replace(path, '/?[^/]*$', ''), '[^a-z0-9]+'), lambda x: x <> '') AS low FROM f),
+p AS (SELECT h.qid, h.id, h.score, sum(CASE WHEN contains(searchable, term) THEN 0.08 ELSE 0.0 END + CASE WHEN length(term) < 3 THEN 0.0 WHEN list_contains(high, term) THEN 0.6
+  WHEN len(list_filter(high, lambda x: {_is_related("term", "x")})) > 0 THEN 0.35 WHEN list_contains(low, term) THEN 0.25
+  WHEN len(list_filter(low, lambda x: {_is_related("term", "x")})) > 0 THEN 0.15 ELSE 0.0 END) AS points FROM h JOIN g USING (id) JOIN t USING (qid) GROUP BY 1, 2, 3),
+r AS (SELECT h.qid, h.id, round(h.score + coalesce(points, 0)::DOUBLE, 4) AS score FROM h LEFT JOIN p ON p.qid = h.qid AND p.id = h.id)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INTEGER AS rank, score FROM r QUALIFY rank <= 20"""
+ORACLE_SQL["policy_decisions"] = ORACLE_SQL["quality_flags"].split("SELECT array_to_string")[0].replace(
+    "SELECT coalesce(response, '') AS text FROM", "SELECT coalesce(response, '') AS text, retrieval_ids FROM"
+).replace("SELECT text, list_filter", "SELECT text, retrieval_ids, list_filter") + r"""SELECT CASE WHEN len(coalesce(retrieval_ids, [])) = 0 THEN 'no_context'
+  WHEN trim(text, ' ') = '' THEN 'empty' WHEN regexp_matches(text, '(?i)\[Inference Error:.*?\]') THEN 'error'
+  WHEN len(lines) > 0 AND (lower(lines[1]) IN ('relevant files:', 'files:', 'source files:', 'sources:', 'paths:', 'file paths:')
+    OR len(list_filter(lines, lambda x: regexp_matches(x, '^[-*]') AND regexp_matches(x, $p$(?i)\b(?:[A-Z]:[\\/]|(?:\.{1,2}|src|tests?|scripts?|evaluation|[A-Za-z0-9_.-]+)[\\/])[^\s`'"),]+$p$))) >= greatest(1, len(lines) - 1))
+  THEN 'path_list' ELSE 'kept' END AS decision, count(*) AS traces FROM l GROUP BY 1"""

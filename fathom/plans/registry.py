@@ -142,6 +142,14 @@ def json_leaves(spark, d):
     )
 
 
+@registered
+def json_documents(spark, d):
+    """Leaves of the JSON documents, at whatever depth."""
+    rows = _artifacts(spark, d).filter("language = 'json' and text is not null").select("id", "text")
+    leaves = files.json_tree_leaves(rows)
+    return leaves.groupBy("id").agg(F.count(F.lit(1)).alias("leaves"), F.count_if(F.col("type") == "STRING").alias("strings"))
+
+
 @registered
 def markdown_cells(spark, d):
     """Cells of the pipe tables within artifacts."""
@@ -386,6 +394,13 @@ def vector_search(spark, d):
     return _vector_hits(spark, d).select("qid", "rank", "score")
 
 
+@registered
+def vector_rescored(spark, d):
+    """The eighty closest artifacts of each request again, with points for its terms: the best twenty scores."""
+    hits = _vector_hits(spark, d, 80)
+    return search.rescored(hits.select("qid", "id", "score"), _requests(spark, d), _artifacts(spark, d), 20).select("qid", "rank", "score")
+
+
 @registered
 def dense_nearest(spark, d):
     """The ten vectors most similar to every vec_id divisible by 50, exactly."""
@@ -535,6 +550,16 @@ def prompts(spark, d):
     return answers.prompts(hits.select("qid", "id", "rank"), answers.summaries(_artifacts(spark, d)), _requests(spark, d))
 
 
+@registered
+def fallback_answers(spark, d):
+    """Answers without a model, from each request's best artifacts."""
+    artifacts = _artifacts(spark, d)
+    asked = _requests(spark, d)
+    hits = search.lexical_index_search(asked, _index(spark, d), 50)
+    best = search.diverse(search.symbol_scores(hits, asked, artifacts), artifacts, 8)
+    return answers.fallback_answers(best, answers.summaries(artifacts), asked)
+
+
 @registered
 def quality_flags(spark, d):
     """Flags of every trace's response, by their combination."""

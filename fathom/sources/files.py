@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fathom.functions import text as T
+from fathom.session import write_table
 
 #: Path components and names that aren't indexed. Fixed values.
 EXCLUDED = (".git", ".venv", "__pycache__", "node_modules", "vendor", "build", "dist", ".idea", ".cis")
@@ -113,3 +114,26 @@ def markdown_cells(rows: DataFrame) -> DataFrame:
     return tables.select("id", (F.col("line_no") + 1).alias("line_no"), F.posexplode(F.split(inner, r"\|")).alias("col", "cell")).select(
         "id", "line_no", "col", F.trim("cell").alias("cell")
     )
+
+
+def json_tree_leaves(rows: DataFrame, most_levels: int = 64) -> DataFrame:
+    """(id, path, value, type): every leaf of the JSON documents ``rows(id, text)``, with its path (``$.a.b[0]``).
+
+    A level is opened per step, for all documents at once; texts that aren't JSON give no rows.
+    """
+    spark = rows.sparkSession
+    frontier = rows.select("id", F.lit("$").alias("path"), F.try_parse_json("text").alias("v"))
+    leaves = None
+    for _ in range(most_levels):
+        opened = frontier.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(
+            "id", F.concat("path", F.coalesce(F.concat(F.lit("."), "key"), F.format_string("[%d]", "pos"))).alias("path"),
+            F.schema_of_variant("value").alias("type"), F.to_json("value").alias("json"), F.col("value").cast("string").alias("value"),
+        )
+        level = write_table(opened, "json-level")
+        inner = level.filter(F.col("type").rlike("^(OBJECT|ARRAY)<"))
+        found = level.filter(~F.col("type").rlike("^(OBJECT|ARRAY)<")).select("id", "path", "value", "type")
+        leaves = found if leaves is None else leaves.unionByName(found)
+        if inner.isEmpty():
+            break
+        frontier = inner.select("id", "path", F.parse_json("json").alias("v"))
+    return leaves

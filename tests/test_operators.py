@@ -140,3 +140,46 @@ def test_empty_tables(spark):
     assert search.lexical_index_search(asked, search.entries(artifacts)).count() == 0
     assert search.path_search(asked, artifacts).count() == 0
     assert vectors.nearest(spark.createDataFrame([], "qid long, vector array<float>"), spark.createDataFrame([], "id long, vector array<float>"), 4, 3, False, "long").count() == 0
+
+
+def test_json_tree_leaves(spark):
+    rows = spark.createDataFrame([("1", '{"a": {"b": [1, "x", {"c": null}]}, "d": "{y}"}'), ("2", "{bad"), ("3", None), ("4", "[]"), ("5", "7")], "id string, text string")
+    got = {(r.id, r.path, r.value) for r in files.json_tree_leaves(rows).collect()}
+    assert got == {("1", "$.a.b[0]", "1"), ("1", "$.a.b[1]", "x"), ("1", "$.a.b[2].c", None), ("1", "$.d", "{y}")}
+
+
+def test_fallback_answer_says_when_there_is_too_little(spark):
+    scored = spark.createDataFrame([(1, "a", 9, 1), (1, "b", 1, 2)], "qid long, id string, rerank_score long, position int")
+    texts = spark.createDataFrame([("a", "A does."), ("b", "B does.")], "id string, summary string")
+    asked = spark.createDataFrame([(1, "q"), (2, "r")], "qid long, query string")
+    got = {r.qid: r.answer for r in answers.fallback_answers(scored, texts, asked).collect()}
+    assert got[1].endswith("signals are:\n- A does.") and "too thin" in got[2]
+
+
+def test_call_edges_resolve_only_unique_names(spark):
+    rows = spark.createDataFrame(
+        [("a", "r", "f.py", "function-implementation", "run", "def run():\n  helper(1)\n  twice()"), ("b", "r", "f.py", "function-implementation", "helper", "def helper(x): pass"),
+         ("c", "r", "f.py", "function-implementation", "twice", "x"), ("d", "r", "f.py", "method-implementation", "twice", "x"), ("e", "r", "g.py", "function-implementation", "helper", None)],
+        "id string, repository string, file_path string, kind string, symbol_name string, text string",
+    )
+    assert {(r.source_id, r.target_id) for r in graph.call_edges(rows).collect()} == {("a", "b")}
+
+
+def test_reading_files_and_partition_overwrite(spark, tmp_path):
+    (tmp_path / "src" / "a").mkdir(parents=True)
+    (tmp_path / "src" / "a" / "x.py").write_text("é = 1\n", encoding="utf-8")
+    (tmp_path / "src" / "y.bin").write_bytes(b"\xff\xfe\x00")
+    got = {r.path.rsplit("/", 1)[1]: r.text for r in files.read_files(spark, [str(tmp_path / "src")]).collect()}
+    assert got == {"x.py": "é = 1\n", "y.bin": None}
+    target = str(tmp_path / "table")
+    rows = spark.createDataFrame([("a", 1, "r1"), ("b", 2, "r2")], "id string, tier int, repository string")
+    tables.overwrite_repositories(rows, target)
+    tables.overwrite_repositories(rows.filter("id = 'a'").withColumn("id", F.lit("new")), target)
+    assert sorted((r.id, r.repository) for r in spark.read.parquet(target).collect()) == [("b", "r2"), ("new", "r1")]
+
+
+def test_ranking_quality_counts_paths_by_suffix_and_name(spark):
+    ranked = spark.createDataFrame([(1, "x/y/a.py", 1), (1, "b.py", 2), (2, "q.py", 1)], "qid long, file_path string, rank int")
+    gold = spark.createDataFrame([(1, "py", "b.py"), (2, "py", "z.py")], "qid long, suffix string, file_path string")
+    got = {r.suffix: (r.requests, r.hit, r.mrr) for r in answers.ranking_quality(ranked, gold, "suffix").collect()}
+    assert got == {"py": (2, 0.5, 0.25), "total": (2, 0.5, 0.25)}
