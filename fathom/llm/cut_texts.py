@@ -23,6 +23,9 @@ from fathom.llm.pairs import is_empty
 from fathom.llm.prose import CUT_MARK, ALL_FUNCTION_WORDS, has_function_words, last_line, odd_marks, tail
 from fathom.session import write_table
 
+#: Marks stand in the last so many characters.
+MARK_CHARS = 160
+
 #: A length is a source's limit if so many open-ended texts have it, and so many times the mean of the lengths around.
 SPIKE_ROWS, SPIKE_TIMES, SPIKE_AROUND = 6, 8, 10
 
@@ -45,11 +48,10 @@ _ERROR = re.compile(r"[A-Z]\w*(?:Error|Exception|Warning|Fault)(?:: .*)?\Z")
 def judge(text: str) -> tuple[bool | None, str | None]:
     """(cut, closing word): None with a word where the corpus must tell whether the word is one."""
     stripped = text.rstrip().rstrip("​﻿\x00").rstrip()
-    if is_empty(stripped) or not _WORD.search(stripped):
+    if not _WORD.search(stripped) or ((len(stripped) <= 200 or stripped[0] == "<") and is_empty(stripped)):
         return False, None
-    if stripped.endswith("�") or CUT_MARK.search(stripped):
-        return True, None
-    if _DOTS.search(stripped):
+    end = stripped[-MARK_CHARS:]
+    if end.endswith("�") or CUT_MARK.search(end) or _DOTS.search(end):
         return True, None
     if stripped.count("```") % 2:
         return True, None
@@ -102,7 +104,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SEEDS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+_SEEDS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None] | np.uint64(1)
+
+
+def unmarked(text: str) -> str:
+    """The text without the mark that a tool appended."""
+    text = text.rstrip()
+    return text[:-MARK_CHARS] + CUT_MARK.sub("", text[-MARK_CHARS:])
 
 
 def words_of(text: str) -> list[str]:
@@ -122,7 +130,10 @@ def bands(words: list[str], hashes: dict[str, int]) -> list[int]:
         for i in range(1, SHINGLE):
             s = _mix(s) + h[i : len(h) - SHINGLE + 1 + i]
         s = np.unique(_mix(s))
-        least = np.concatenate([_mix(s[i : i + 4096] ^ _SEEDS).min(axis=1, keepdims=True) for i in range(0, len(s), 4096)], axis=1).min(axis=1)
+        # the shingles' hashes are mixed already: one multiplication by an odd number gives each its own order
+        least = (s[:4096] * _SEEDS).min(axis=1)
+        for i in range(4096, len(s), 4096):
+            np.minimum(least, (s[i : i + 4096] * _SEEDS).min(axis=1), out=least)
         key = _SEEDS[::ROWS, 0].copy()
         for r in range(ROWS):
             key = _mix(key + least[r::ROWS])
@@ -136,7 +147,7 @@ def _judge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes.clear()
         texts = batch.column(1).to_pylist()
         verdicts = [judge(t) for t in texts]
-        keys = [bands(words_of(CUT_MARK.sub("", t)), hashes) for t in texts]
+        keys = [bands(words_of(unmarked(t)), hashes) for t in texts]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
@@ -150,7 +161,7 @@ def _judge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ends_early(a: str, b: str) -> bool:
     """Whether ``a`` stops where ``b``, a near copy, goes on: its last words lie in ``b`` before the end of ``b``."""
-    a = _DOTS.sub("", CUT_MARK.sub("", a.rstrip())).rstrip("� \n")
+    a = _DOTS.sub("", unmarked(a)).rstrip("� \n")
     x, y = words_of(a), words_of(b)
     if len(x) < SHINGLE + 1 or len(y) <= SHINGLE + 1:
         return False
