@@ -44,6 +44,13 @@ _HEADER = re.compile(r"\b(?:bearer|basic|token|apikey)[ :]+(?P<value>[A-Za-z0-9+
 _JWT = re.compile(r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}")
 _PREFIXED = re.compile(r"(?<![\w/+.\-])[A-Za-z]{1,6}[A-Za-z0-9]{0,3}(?:[_\-](?:live|prod|test)?[_\-]?|\.)(?P<tail>[A-Za-z0-9]{20,})(?![\w/+])")
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_END = re.compile(r"-----END (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: Base64 characters in group 1; escaped line ends and armour headers without a group.
+_RUN = re.compile(r"\\[nrt]|(?m:^[ \t\"'`]*[A-Z][\w\-]+: .*$)|([A-Za-z0-9+/=]*[A-Za-z0-9][A-Za-z0-9+/=]*)")
+_OPEN_BODY = re.compile(
+    r"(?:\\[nr]|[A-Za-z0-9+/=]|[\"'`]\s*[+.,]?\s*[\"'`](?=(?:\\[nr])*[A-Za-z0-9+/=]{16})|[ \t]*\r?\n[\w\-]+: [^\n]*"
+    r"|[ \t]*\r?\n[ \t]*(?=\r?\n|[A-Za-z0-9+/=]{16,}[ \t]*(?:[\r\n\"'`\\]|$)|[A-Za-z0-9+/]+={1,2}[ \t]*(?:[\r\n\"'`\\]|$)))*"
+)
 
 _PASSWORD_NAME = re.compile(
     r"(?:(?<![a-z])[Pp]ass|(?<!COM)PASS|(?<=[a-z])Pass)(?i:word|wd|phrase|code|wort)?(?![a-z])|(?i:passw(?:or)?d|pwd|kennwort|"
@@ -100,47 +107,85 @@ def structured(name: str, value: str) -> bool:
     return False
 
 
-def candidates(line: str, after: str = "") -> list[tuple[str, str]]:
-    """(kind, value) of the literals of a line that may be credentials; ``after`` is the text that follows the line."""
+def _key_body(text: str, start: int) -> list[tuple[int, int]]:
+    """The spans of the base64 runs of the private key block whose BEGIN mark ends at ``start``.
+
+    Line breaks, quotes, operators and armour headers lie between the runs. A block without an END mark goes on as long as
+    its lines do.
+    """
+    end, begin = _END.search(text, start), text.find("-----BEGIN", start)
+    if end and not 0 <= begin < end.start():
+        runs = [m.span(1) for m in _RUN.finditer(text, start, end.start()) if m[1] and _is_run(text, start, end.start(), *m.span(1))]
+        others = re.sub(r"(?m)^[ \t\"'`]*[A-Z][\w\-]+: .*$|\\[nrt]|[\s\"'`+,.()|]", "", text[start : end.start()])
+        if sum(e - s for s, e in runs) >= 0.6 * len(others):
+            return runs
+    stop = _OPEN_BODY.match(text, start).end()
+    return [m.span(1) for m in _RUN.finditer(text, start, stop) if m[1]]
+
+
+def _is_run(text: str, low: int, high: int, start: int, end: int) -> bool:
+    """Whether base64 characters are a line or a literal of a block, not a word of the code around it."""
+    before, after = text[max(low, start - 2) : start], text[end : min(high, end + 40)].lstrip(" \t")
+    return end - start >= 16 or bool(
+        (not before or before[-1] in "\n\r\t \"'`" or re.fullmatch(r"\\[nrt]", before))
+        and (not after or after[0] in "\n\r\"'`" or re.match(r"\\[nr]", after))
+    )
+
+
+def candidates(text: str, start: int = 0, end: int | None = None) -> list[tuple[str, str, tuple[tuple[int, int], ...]]]:
+    """(kind, value, spans) of the literals that begin on the line ``text[start:end]`` and may be credentials.
+
+    The spans are the places in ``text``: both halves of a split literal, every run of a private key block.
+    """
     found = []
+    line = text[start:end]
+
+    def add(kind: str, m: re.Match, group: str | int) -> None:
+        found.append((kind, m[group], ((start + m.start(group), start + m.end(group)),)))
+
     for m in _PRIVATE.finditer(line):
-        body = re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", (line[m.end() :] + after)[:200])
-        found.append(("block", body[:64]))
+        runs = _key_body(text, start + m.end())
+        found.append(("block", "".join(text[i:j] for i, j in runs), tuple(runs)))
     for m in _URL.finditer(line):
         if not _PLACEHOLDER.search(m["value"]) and len(m["value"]) >= 4:
-            found.append(("url", m["value"]))
+            add("url", m, "value")
     for m in _HEADER.finditer(line):
         if _mixed(m["value"]) and not _PLACEHOLDER.search(m["value"]):
-            found.append(("header", m["value"]))
+            add("header", m, "value")
     for m in _JWT.finditer(line):
-        found.append(("token", m[0]))
+        add("token", m, 0)
     for m in _PREFIXED.finditer(line):
         tail = m["tail"]
         if _mixed(tail) and tail.lower() != tail and tail.upper() != tail and not _HEX.fullmatch(tail):
-            found.append(("token", m[0]))
+            add("token", m, 0)
     for m in _NAMED.finditer(line):
         value = m["value"] + (m["rest"] or "")
         if structured(m["name"], m["value"]):
-            found.append(("named", m["value"]))
+            add("named", m, "value")
         elif m["rest"] and structured(m["name"], value):
-            found.append(("split", m["value"]))
+            found.append(("split", value, _halves(m, start, 0, len(value))))
         elif m["rest"] and (u := _URL.search(value)) and not _PLACEHOLDER.search(u["value"]):
-            found.append(("split", m["value"]))
-        elif m["rest"] and _JWT.fullmatch(value):
-            found.append(("split", m["value"]))
-        elif m["rest"] and _PREFIXED.fullmatch(value) and _mixed(value):
-            found.append(("split", m["value"]))
+            found.append(("split", u["value"], _halves(m, start, *u.span("value"))))
+        elif m["rest"] and (_JWT.fullmatch(value) or (_PREFIXED.fullmatch(value) and _mixed(value))):
+            found.append(("split", value, _halves(m, start, 0, len(value))))
     for m in _BARE.finditer(line):
         if structured(m["name"], m["value"]):
-            found.append(("named", m["value"]))
+            add("named", m, "value")
     return found
 
 
+def _halves(m: re.Match, offset: int, low: int, high: int) -> tuple[tuple[int, int], ...]:
+    """The places of the characters ``low`` to ``high`` of a literal written in two parts."""
+    n, first, second = len(m["value"]), offset + m.start("value"), offset + m.start("rest")
+    parts = (first + low, first + min(high, n)), (second + max(low - n, 0), second + high - n)
+    return tuple((i, j) for i, j in parts if i < j)
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, repository, line_no, kind, value) of the candidate literals."""
+    """One row per candidate literal."""
     for batch in batches:
         rows = []
-        for id_, repository, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for id_, version, repository, text in zip(*(c.to_pylist() for c in batch.columns)):
             seen = -1
             for m in _INTERESTING.finditer(text):
                 start = text.rfind("\n", 0, m.start()) + 1
@@ -148,24 +193,36 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 seen = start
                 end = text.find("\n", m.start())
-                line = text[start : end if end >= 0 else len(text)]
-                found = candidates(line, text[end : end + 200] if end >= 0 else "")
+                found = candidates(text, start, end if end >= 0 else len(text))
                 if found:
                     line_no = text.count("\n", 0, start) + 1
-                    rows += [(id_, repository, line_no, kind, value) for kind, value in set(found)]
-        columns = list(zip(*rows)) or [()] * 5
-        types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], _INDEX)
+                    rows += [(id_, version, repository, line_no, kind, value, spans) for kind, value, spans in set(found)]
+        columns = list(zip(*rows)) or [()] * 7
+        columns[6] = [[{"start": i, "end": j} for i, j in spans] for spans in columns[6]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _INDEX.values())], list(_INDEX))
 
 
-_INDEX = ["id", "repository", "line_no", "kind", "value"]
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_INDEX = {
+    "id": pa.string(), "version": pa.int64(), "repository": pa.string(), "line_no": pa.int32(), "kind": pa.string(),
+    "value": pa.string(), "spans": _SPANS,
+}
+
+
+def _versions(artifacts: DataFrame, *columns: str) -> DataFrame:
+    """The texts, with a hash that tells the texts of one id apart: places count within one text."""
+    rows = artifacts.filter(F.col("text").isNotNull())
+    return rows.select("id", F.xxhash64("text").alias("version"), *columns, "text")
 
 
 def literal_index(artifacts: DataFrame) -> DataFrame:
-    """The candidate literals of every text; written to the shared folder."""
-    rows = artifacts.filter(F.col("text").isNotNull()).select("id", "repository", "text")
+    """The candidate literals of every text and their places; written to the shared folder."""
     return write_table(
-        spread(rows).mapInArrow(_index, "id string, repository string, line_no int, kind string, value string"), "literals"
+        spread(_versions(artifacts, "repository")).mapInArrow(
+            _index,
+            "id string, version long, repository string, line_no int, kind string, value string, spans array<struct<start: int, end: int>>",
+        ),
+        "literals",
     )
 
 
@@ -191,14 +248,16 @@ def _scan(values):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(values.value)
         for batch in batches:
-            ids, lines = [], []
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = set()
+            rows = []
+            for id_, version, text in zip(*(c.to_pylist() for c in batch.columns)):
                 for end, n in automaton.iter(text):
-                    found.add(text.count("\n", 0, end - n + 1) + 1)
-                ids += [id_] * len(found)
-                lines += found
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(lines, pa.int32())], ["id", "line_no"])
+                    start = end - n + 1
+                    rows.append((id_, version, text.count("\n", 0, start) + 1, start, end + 1))
+            columns = list(zip(*rows)) or [()] * 5
+            types = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types)], ["id", "version", "line_no", "start", "end"]
+            )
 
     return scan
 
@@ -213,33 +272,58 @@ def _automata(values: DataFrame):
         yield spark.sparkContext.broadcast(tuple(sorted(r[0] for r in part.toLocalIterator())))
 
 
-def find_secrets(artifacts: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
-    """(id, line_no) of every line on which a live credential begins."""
+def _places(artifacts: DataFrame, shared_by: int) -> tuple[DataFrame, DataFrame]:
+    """The confirmed literals, and (id, version, line_no, start, end) of all places of confirmed values."""
     kept = write_table(confirmed(literal_index(artifacts), shared_by), "confirmed")
-    found = kept.select("id", "line_no")
     rescanned = kept.filter(F.col("kind").isin("named", "token", "header")).filter(F.length("value") >= 12)
-    texts = spread(artifacts.filter(F.col("text").isNotNull()).select("id", "text"))
+    texts = spread(_versions(artifacts))
+    hits = None
     for values in _automata(rescanned.select("value").distinct()):
-        found = found.unionByName(texts.mapInArrow(_scan(values), "id string, line_no int"))
-    return found.distinct()
+        more = texts.mapInArrow(_scan(values), "id string, version long, line_no int, start int, end int")
+        hits = more if hits is None else hits.unionByName(more)
+    return kept, hits
+
+
+def find_secrets(artifacts: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
+    """(id, line_no) of every line on which a live credential begins."""
+    kept, hits = _places(artifacts, shared_by)
+    return kept.select("id", "line_no").unionByName(hits.select("id", "line_no")).distinct()
+
+
+def _whole(value: str) -> re.Pattern:
+    """Finds ``value`` where no word goes on before or after it."""
+    return re.compile(rf"(?:(?<!\w)|(?<=\\[nrt])){re.escape(value)}(?!\w)")
 
 
 def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for text, values in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            for v in sorted(set(values), key=len, reverse=True):
-                text = text.replace(v, "x" * len(v) if len(v) < 8 else "REDACTED")
-            texts.append(text)
+        for text, spans, values in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            places = [(x["start"], x["end"]) for x in spans]
+            for v in set(values or ()):
+                places += [m.span() for m in _whole(v).finditer(text)]
+            parts, at, low, high = [], 0, 0, 0
+            for start, end in [*sorted(places), (len(text) + 1, 0)]:
+                if start < high:
+                    high = max(high, end)
+                    continue
+                if low < high:
+                    parts += [text[at:low], "x" * (high - low) if high - low < 8 else "REDACTED"]
+                    at = high
+                low, high = start, end
+            texts.append("".join(parts) + text[at:])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
 
 def redact(artifacts: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
     """(id, text) of the texts that hold credentials, with each credential's literal replaced within its quotes.
 
-    Values are replaced in the whole text of each artifact that names them; quotes, names and code stay as they are.
+    Replaced by place: every confirmed literal, both halves of a split one, all base64 runs of a private key block, every
+    hit of the re-scan, and in the text that names a value its other uses as a whole word. Quotes, names and code stay.
     """
-    kept = confirmed(literal_index(artifacts), shared_by).filter(F.length("value") > 0)
-    values = kept.groupBy("id").agg(F.collect_set("value").alias("values"))
-    texts = artifacts.filter(F.col("text").isNotNull()).select("id", "text").dropDuplicates(["id"])
-    return texts.join(values, "id").select("id", "text", "values").mapInArrow(_replace, "id string, text string")
+    kept, hits = _places(artifacts, shared_by)
+    own = kept.select("id", "version", F.explode("spans").alias("x"), F.when(F.col("kind") != "block", F.col("value")).alias("value"))
+    places = own.unionByName(hits.select("id", "version", F.struct("start", "end").alias("x"), F.lit(None).cast("string").alias("value")))
+    spans = places.groupBy("id", "version").agg(F.collect_set("x").alias("spans"), F.collect_set("value").alias("values"))
+    texts = _versions(artifacts).dropDuplicates(["id", "version"])
+    return texts.join(spans, ["id", "version"]).select("id", "text", "spans", "values").mapInArrow(_replace, "id string, text string")

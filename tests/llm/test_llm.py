@@ -203,6 +203,40 @@ def test_secrets_found_and_redacted(spark):
     assert redacted["l0"] == 'x = 1\npassword = "REDACTED"'
 
 
+def test_redaction_by_place(spark):
+    random.seed(5)
+    lines = ["".join(random.choice(string.ascii_letters + string.digits) for _ in range(64)) for _ in range(3)] + ["Qw12ab=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    uuid = "a6282fdb-855f-eab7-af70-fa3141b31b56"
+    texts = {f"l{i}": "x = 1\n" + t for i, t in enumerate(LIVE)} | {
+        "unnamed": f'connect("{uuid}", 3)  # and\nf(\'2bf5ad15de1765200cada18a62e93f8f\')',
+        "pem": "\n".join(["k:", begin, *lines, end, "z = 1"]),
+        "short": "\n".join(["k:", begin, *[x[i : i + 16] for x in lines for i in range(0, len(x), 16)], end, "z = 1"]),
+        "joined": "k = (" + "\n     ".join(f'"{x}\\n" +' for x in [begin, *lines]) + f'\n     "{end}");',
+        "escaped": f'k = "{begin}\\n' + "\\n".join(lines) + f'\\n{end}\\n"; return word\n',
+        "open": "\n".join([begin, *lines[:2]]),
+        "marks": f'if x.startswith("{begin}"):\n    return done\nelse\n    stop("{end}")',
+    }
+    rows = [{"id": k, "repository": k, "text": t} for k, t in texts.items()]
+    got = {r.id: r.text for r in secrets.redact(artifacts(spark, rows)).collect()}
+    secret = [
+        "Digest+trellis29", "pat-sB2f0PXPQj3C2J7lZyWJLFDfUYmn", "K2i0yE2u9M57#5ch", "ObQb9j6KvT9PqA", "Tmhk64mKp4MWJwM6HVrTLg0hA3JWj65CoM2C",
+        "MIIabc", None, "archive616", uuid, "2bf5ad15de1765200cada18a62e93f8f",
+    ]
+    for i, value in enumerate(secret):
+        assert value is None or value not in got[f"l{i}"]
+    assert got["l5"] == 'x = 1\nString k = "-----BEGIN RSA PRIVATE KEY-----\\nxxxxxx";'
+    assert got["l7"] == 'x = 1\nconst kennwort = "REDACTED" + "REDACTED";'
+    assert got["unnamed"] == "connect(\"REDACTED\", 3)  # and\nf('REDACTED')"
+    pieces = [x[i : i + 16] for x in lines for i in range(0, len(x), 16)]
+    for k in ("pem", "short", "joined", "escaped"):
+        assert not any(x in got[k] for x in pieces) and begin in got[k] and end in got[k]
+    assert got["pem"] == "\n".join(["k:", begin, *["REDACTED"] * 4, end, "z = 1"])
+    assert got["escaped"].endswith(f'{end}\\n"; return word\n')
+    assert got["open"] == "\n".join([begin, "REDACTED", "REDACTED"])
+    assert got.get("marks", texts["marks"]) == texts["marks"]
+
+
 # --- 3 ---
 
 
