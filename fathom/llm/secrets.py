@@ -10,6 +10,7 @@ don't matter; line numbers count from 1 by \\n. A private key block counts on it
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,8 +23,16 @@ from fathom.session import spread, write_table
 #: A value that this many repositories hold is a placeholder or a published example.
 SHARED_BY = 5
 
-#: The automaton of one scan holds at most so many values (of at most MAX_VALUE characters); more take more scans.
-AUTOMATON_VALUES, MAX_VALUE = 100_000, 512
+#: The automaton of one scan holds at most so many values; more take more scans. Of a value longer than NEEDLE_CHARS it
+#: holds the beginning, and a hash decides on the whole.
+AUTOMATON_VALUES, NEEDLE_CHARS = 100_000, 256
+
+#: Values from so many characters on are found within words, too.
+WITHIN_WORDS = 12
+
+#: A key block that breaks off is compared with shared blocks by so many characters (the first 82 of all unencrypted
+#: OpenSSH keys of a kind are equal).
+BROKEN_CHARS = 128
 
 #: What lines must hold to be looked at.
 _INTERESTING = re.compile(
@@ -34,11 +43,11 @@ _INTERESTING = re.compile(
 
 _NAMED = re.compile(
     r"""(?<![\w+/=])(?P<name>[A-Za-z_][\w\-.]{1,60})["'`]?\s*(?:\]\s*)?(?::\s*[A-Za-z_][\w<>\[\]. ]{0,40}=|:=|=>|=|:|,|\s)\s*
-        (?:[rbuf]|std::string\(|String\()?(?P<quote>["'`])(?P<value>(?:(?!(?P=quote))[^\\\n]|\\.){6,4000})(?P=quote)
-        (?:\s*[+.]?\s*(?P<q2>["'`])(?P<rest>(?:(?!(?P=q2))[^\\\n]|\\.){1,400})(?P=q2))?""",
+        (?:[rbuf]|std::string\(|String\()?(?P<quote>["'`])(?P<value>(?:(?!(?P=quote))[^\\\n]|\\.){6,})(?P=quote)
+        (?:\s*[+.]?\s*(?P<q2>["'`])(?P<rest>(?:(?!(?P=q2))[^\\\n]|\\.){1,})(?P=q2))?""",
     re.X,
 )
-_BARE = re.compile(r"(?<![\w+/=])(?P<name>[A-Za-z_][\w\-.]{1,60})\s*(?:=|:)\s*(?P<value>[^\s\"'`{}()\[\],;<>$]{6,2000})(?=[\s;,]|$)")
+_BARE = re.compile(r"(?<![\w+/=])(?P<name>[A-Za-z_][\w\-.]{1,60})\s*(?:=|:)\s*(?P<value>[^\s\"'`{}()\[\],;<>$]{6,})(?=[\s;,]|$)")
 _URL = re.compile(r"[a-z][a-z0-9+.\-]*://[^\s/\"'@:]*:(?P<value>[^\s/\"'@]+)@")
 _HEADER = re.compile(r"\b(?:bearer|basic|token|apikey)[ :]+(?P<value>[A-Za-z0-9+/=._\-]{16,})", re.I)
 _JWT = re.compile(r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}")
@@ -69,6 +78,8 @@ _PLACEHOLDER = re.compile(
 _UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.I)
 _HEX = re.compile(r"[0-9a-f]{32,128}", re.I)
 _BASE64 = re.compile(r"[A-Za-z0-9+/\-_]{22,}={0,2}")
+_EMBEDDED = re.compile(r"data:|iVBORw0KGgo|/9j/|R0lGOD|UklGR|PHN2Zy|PD94bWw|AAABAA|JVBERi0|d09G[RM]|AAEAAAA|T1RUTw|LS0tLS1CRUdJTiBDRVJU")
+_LIST = re.compile(r"\w+([,;|:])\w+(?:\1\w+){8,}\1?")
 _REFERENCE = re.compile(r"[A-Za-z_]\w*(?:(?:\.|::|->)\w+)+\(?|https?://|/|[\w\-/]+\.\w{2,5}$")
 
 
@@ -87,14 +98,21 @@ def _keylike(value: str) -> bool:
 
 
 def _passwordlike(value: str) -> bool:
-    if not 8 <= len(value) <= 200 or any(c.isspace() for c in value) or not _mixed(value):
+    if len(value) < 8 or any(c.isspace() for c in value) or not _mixed(value):
         return False
     return not re.fullmatch(r"[A-Za-z][a-z]*(?:_[a-z0-9]+)+|[A-Za-z_]\w*\(.*|\[.*", value)
 
 
+def _placeholder(value: str) -> bool:
+    """Words and runs of one character mark short values as placeholders; in long base64 they stand by chance."""
+    if len(value) > 200 and _BASE64.fullmatch(value):
+        return len(set(value)) < 16
+    return bool(_PLACEHOLDER.search(value))
+
+
 def structured(name: str, value: str) -> bool:
     """Whether a literal in the place of ``name`` is structured like a live credential."""
-    if len(value) > MAX_VALUE or _PLACEHOLDER.search(value) or (name and _HARMLESS_NAME.search(name)):
+    if _EMBEDDED.match(value) or _LIST.fullmatch(value) or _placeholder(value) or (name and _HARMLESS_NAME.search(name)):
         return False
     if len(name) > 40 or sum(c.isdigit() for c in name) > 2:
         return False  # a literal beside another one, not a name
@@ -107,8 +125,8 @@ def structured(name: str, value: str) -> bool:
     return False
 
 
-def _key_body(text: str, start: int) -> list[tuple[int, int]]:
-    """The spans of the base64 runs of the private key block whose BEGIN mark ends at ``start``.
+def _key_body(text: str, start: int) -> tuple[list[tuple[int, int]], bool]:
+    """The spans of the base64 runs of the private key block whose BEGIN mark ends at ``start``, and whether it breaks off.
 
     Line breaks, quotes, operators and armour headers lie between the runs. A block without an END mark goes on as long as
     its lines do.
@@ -118,9 +136,9 @@ def _key_body(text: str, start: int) -> list[tuple[int, int]]:
         runs = [m.span(1) for m in _RUN.finditer(text, start, end.start()) if m[1] and _is_run(text, start, end.start(), *m.span(1))]
         others = re.sub(r"(?m)^[ \t\"'`]*[A-Z][\w\-]+: .*$|\\[nrt]|[\s\"'`+,.()|]", "", text[start : end.start()])
         if sum(e - s for s, e in runs) >= 0.6 * len(others):
-            return runs
+            return runs, False
     stop = _OPEN_BODY.match(text, start).end()
-    return [m.span(1) for m in _RUN.finditer(text, start, stop) if m[1]]
+    return [m.span(1) for m in _RUN.finditer(text, start, stop) if m[1]], True
 
 
 def _is_run(text: str, low: int, high: int, start: int, end: int) -> bool:
@@ -144,8 +162,8 @@ def candidates(text: str, start: int = 0, end: int | None = None) -> list[tuple[
         found.append((kind, m[group], ((start + m.start(group), start + m.end(group)),)))
 
     for m in _PRIVATE.finditer(line):
-        runs = _key_body(text, start + m.end())
-        found.append(("block", "".join(text[i:j] for i, j in runs), tuple(runs)))
+        runs, broken = _key_body(text, start + m.end())
+        found.append(("broken block" if broken else "block", "".join(text[i:j] for i, j in runs), tuple(runs)))
     for m in _URL.finditer(line):
         if not _PLACEHOLDER.search(m["value"]) and len(m["value"]) >= 4:
             add("url", m, "value")
@@ -227,32 +245,77 @@ def literal_index(artifacts: DataFrame) -> DataFrame:
 
 
 def confirmed(index: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
-    """The rows of ``index`` whose value fewer than ``shared_by`` repositories hold."""
-    owners = index.select("value", "repository").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("owners"))
-    shared = owners.filter(F.col("owners") >= shared_by).select("value")
-    return index.join(shared, "value", "left_anti")
-
+    """The rows of ``index`` whose value fewer than ``shared_by`` repositories hold.
 
-@lru_cache(maxsize=2)
-def _automaton(values: tuple[str, ...]):
+    Values are compared by hashes, key blocks by their whole body. A block without a body has no owners; one that breaks off
+    is shared if a shared block begins with it.
+    """
+    kept = index.withColumn("owned", F.when(F.length("value") > 0, F.sha2("value", 256)))
+    owners = kept.filter("owned is not null").select("owned", "repository").distinct().groupBy("owned").agg(
+        F.count(F.lit(1)).alias("owners")
+    )
+    shared = owners.filter(F.col("owners") >= shared_by).select("owned")
+    head = F.substring("value", 1, BROKEN_CHARS).alias("head")
+    shared_blocks = kept.filter(F.col("kind") == "block").join(shared, "owned", "left_semi").select(
+        head, F.col("value").alias("whole")
+    ).distinct()
+    broken = kept.filter((F.col("kind") == "broken block") & (F.length("value") >= BROKEN_CHARS)).select("owned", head, "value")
+    parts = broken.join(shared_blocks, "head").filter(F.col("whole").startswith(F.col("value"))).select("owned")
+    return kept.join(shared.unionByName(parts), "owned", "left_anti").select(*index.columns)
+
+
+@lru_cache(maxsize=1)
+def _automaton(values: tuple[tuple[str, int, str | None], ...]):
     import ahocorasick
 
+    by_needle: dict[str, list[tuple[int, str | None]]] = {}
+    for needle, n, digest in values:
+        by_needle.setdefault(needle, []).append((n, digest))
     a = ahocorasick.Automaton()
-    for v in values:
-        a.add_word(v, len(v))
+    for needle, wholes in by_needle.items():
+        a.add_word(needle, (len(needle), wholes))
     a.make_automaton()
     return a
 
 
+def _in_place(text: str, start: int, end: int) -> bool:
+    """Whether ``text[start:end]`` stands in a credential's place: as the whole value of a credential's name."""
+    low, high = text.rfind("\n", 0, start) + 1, text.find("\n", end)
+    line = text[low : high if high >= 0 else len(text)]
+    for pattern in (_NAMED, _BARE):
+        for m in pattern.finditer(line):
+            if m.span("value") == (start - low, end - low):
+                name = m["name"]
+                return bool((_PASSWORD_NAME.search(name) or _KEY_NAME.search(name)) and not _HARMLESS_NAME.search(name))
+    return any(m.span("value") == (start - low, end - low) for m in _URL.finditer(line))
+
+
+def _stands(text: str, start: int, end: int) -> bool:
+    """Whether a confirmed value at this place is the credential, not a part of a word or a word by itself."""
+    value = text[start:end]
+    if not _mixed(value) or len(value) < 8:
+        return _in_place(text, start, end)
+    return len(value) >= WITHIN_WORDS or bool(_whole(value).match(text, start))
+
+
 def _scan(values):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(values.value)
         for batch in batches:
             rows = []
             for id_, version, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for end, n in automaton.iter(text):
-                    start = end - n + 1
-                    rows.append((id_, version, text.count("\n", 0, start) + 1, start, end + 1))
+                blocks = None
+                for last, (n, wholes) in automaton.iter(text):
+                    start = last - n + 1
+                    for length, digest in wholes:
+                        end = start + length
+                        if digest and hashlib.sha256(text[start:end].encode("utf-8", "surrogatepass")).hexdigest() != digest:
+                            continue
+                        if blocks is None:  # the literals within a key block count on its BEGIN line
+                            blocks = [(r[0][0], r[-1][1]) for m in _PRIVATE.finditer(text) if (r := _key_body(text, m.end())[0])]
+                        if any(i <= start and end <= j for i, j in blocks) or not _stands(text, start, end):
+                            continue
+                        rows.append((id_, version, text.count("\n", 0, start) + 1, start, end))
             columns = list(zip(*rows)) or [()] * 5
             types = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -263,23 +326,29 @@ def _scan(values):
 
 
 def _automata(values: DataFrame):
-    """Broadcast tuples of at most AUTOMATON_VALUES values each, by shards of their hashes."""
+    """Broadcast tuples of at most AUTOMATON_VALUES (beginning, length, hash of a long one) each, by shards of their hashes."""
     spark = values.sparkSession
-    values = write_table(values, "secret-values")
+    values = write_table(
+        values.select(
+            F.substring("value", 1, NEEDLE_CHARS).alias("needle"), F.length("value").alias("n"),
+            F.when(F.length("value") > NEEDLE_CHARS, F.sha2("value", 256)).alias("digest"),
+        ).distinct(),
+        "secret-values",
+    )
     shards = max(1, -(-values.count() * 2 // AUTOMATON_VALUES))
     for shard in range(shards):
-        part = values.filter(F.pmod(F.xxhash64("value"), F.lit(shards)) == shard)
-        yield spark.sparkContext.broadcast(tuple(sorted(r[0] for r in part.toLocalIterator())))
+        part = values.filter(F.pmod(F.xxhash64("needle", "n", "digest"), F.lit(shards)) == shard)
+        yield spark.sparkContext.broadcast(tuple(sorted(map(tuple, part.toLocalIterator()), key=str)))
 
 
 def _places(artifacts: DataFrame, shared_by: int) -> tuple[DataFrame, DataFrame]:
     """The confirmed literals, and (id, version, line_no, start, end) of all places of confirmed values."""
     kept = write_table(confirmed(literal_index(artifacts), shared_by), "confirmed")
-    rescanned = kept.filter(F.col("kind").isin("named", "token", "header")).filter(F.length("value") >= 12)
     texts = spread(_versions(artifacts))
     hits = None
-    for values in _automata(rescanned.select("value").distinct()):
-        more = texts.mapInArrow(_scan(values), "id string, version long, line_no int, start int, end int")
+    for values in _automata(kept.filter((F.col("kind") != "broken block") & (F.length("value") > 0)).select("value")):
+        more = write_table(texts.mapInArrow(_scan(values), "id string, version long, line_no int, start int, end int"), "hits")
+        values.destroy()
         hits = more if hits is None else hits.unionByName(more)
     return kept, hits
 
@@ -322,7 +391,7 @@ def redact(artifacts: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
     hit of the re-scan, and in the text that names a value its other uses as a whole word. Quotes, names and code stay.
     """
     kept, hits = _places(artifacts, shared_by)
-    own = kept.select("id", "version", F.explode("spans").alias("x"), F.when(F.col("kind") != "block", F.col("value")).alias("value"))
+    own = kept.select("id", "version", F.explode("spans").alias("x"), F.when(~F.col("kind").endswith("block"), F.col("value")).alias("value"))
     places = own.unionByName(hits.select("id", "version", F.struct("start", "end").alias("x"), F.lit(None).cast("string").alias("value")))
     spans = places.groupBy("id", "version").agg(F.collect_set("x").alias("spans"), F.collect_set("value").alias("values"))
     texts = _versions(artifacts).dropDuplicates(["id", "version"])

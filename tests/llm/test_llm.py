@@ -237,6 +237,32 @@ def test_redaction_by_place(spark):
     assert got.get("marks", texts["marks"]) == texts["marks"]
 
 
+def test_secrets_whole_values_and_rescan(spark):
+    random.seed(6)
+    def letters(n):
+        return "".join(random.choice(string.ascii_letters + string.digits) for _ in range(n))
+    def block(body):
+        lines = [body[i : i + 70] for i in range(0, len(body), 70)]
+        return "\n".join(["-----BEGIN OPENSSH PRIVATE KEY-----", *lines, "-----END OPENSSH PRIVATE KEY-----"])
+    head, long, example = letters(82), letters(3000), letters(400)
+    texts = {f"ed{i}": block(head + letters(300)) for i in range(6)} | {f"none{i}": 'B = "-----BEGIN PRIVATE KEY-----"' for i in range(6)}
+    live = {(k, 1) for k in texts}
+    texts |= {f"shared{i}": block(example) for i in range(6)} | {"cut": block(example)[:300]}
+    texts |= {
+        "named": 'password = "Kx82mnQ4"\nurl = "amqp://app:rT5#wq81x@mq/1"\nconst kennwort = "full-burrow" + "-archive616";',
+        "word": 'u = "amqp://app:burrow@mq/1"\n',
+        "rescanned": 'login("app", "Kx82mnQ4")\nlogin("app", "rT5#wq81x")\nlogin("app", "full-burrow-archive616")\npassword = "burrow"',
+        "harmless": 'a = "zKx82mnQ4"\nb = "Kx82mnQ4z"\n# a burrow\nload("burrow")',
+        "long": f'signing_key = "{long}"', "long elsewhere": f'\nload("{long}")', "long start": f'load("{long[:2000]}")',
+        "list": 'PALETTE_PASSAGE = "' + ",".join(letters(6) for _ in range(60)) + '"',
+        "image": f'api_badge = "iVBORw0KGgo{long}"',
+    }
+    live |= {("named", 1), ("named", 2), ("named", 3), ("word", 1), ("long", 1), ("long elsewhere", 2)} | {("rescanned", i) for i in (1, 2, 3, 4)}
+    texts["image"] = texts["image"].replace(long, letters(900))
+    rows = [{"id": k, "repository": k, "text": t} for k, t in texts.items()]
+    assert {(r.id, r.line_no) for r in secrets.find_secrets(artifacts(spark, rows)).collect()} == live
+
+
 # --- 3 ---
 
 
