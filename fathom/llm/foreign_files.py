@@ -1,9 +1,10 @@
 """Problem 1: generated, minified and vendored files, and data saved as code.
 
 An inverted index of line hashes points every line at the first and the last file that has it and at the published
-files that have it. Files are compared exactly with the files that most of their rare lines point at, so that patched
-copies are found wherever they lie, without forming all pairs of a library's copies. The remaining files are judged by
-the composition of their tokens.
+files that have it. Files are compared exactly with the files that most of their lines point at, which settles most copies
+without forming all pairs of a library's copies. Every file that isn't settled by that is compared with all files that share
+one of its rarest lines (or one of theirs), so many of them that no file with enough common lines can be missed. Files of few
+lines are compared as whole texts. The remaining files are judged by the composition of their tokens.
 
 Defined results: null and empty texts are no cases; a repeated file row counts once; other columns are ignored; ties
 between candidate files go to the one with the most shared lines, then the least key.
@@ -24,13 +25,16 @@ from fathom.session import spread, write_table
 LANGUAGES = ("python", "javascript", "typescript", "go", "java", "cpp")
 FILE_KINDS = ("module", "json-document", "chunk")
 
-#: Shorter lines tell nothing; fewer lines than LEAST_LINES are not compared.
-LINE_CHARS, LEAST_LINES = 15, 6
+#: Shorter lines tell nothing; files of fewer lines than LEAST_LINES are compared as whole texts of WHOLE_CHARS at least.
+LINE_CHARS, LEAST_LINES, WHOLE_CHARS = 15, 6, 80
 
 #: Least share of a file's lines in a published file, and in a file of another repository.
 FROM_PUBLISHED, FROM_REPOSITORY = 0.5, 0.8
 
-#: Share of its lines that a file must have in common with one candidate before the exact comparison.
+#: Share of the larger file's lines that makes it a copy of the smaller one, too.
+OF_LARGER = 0.6
+
+#: Share of its lines that a file must have in common with one candidate before the first exact comparison.
 CANDIDATE_SHARE = 0.25
 
 _VENDOR_PATH = re.compile(r"(?:^|/)(?:vendor|third_party|third-party|3rdparty|node_modules|external|deps|bower_components)/[^/]+/")
@@ -109,7 +113,10 @@ def foreign_files(artifacts: DataFrame, upstream: DataFrame) -> DataFrame:
     rows = spread(artifacts.filter(
         F.col("kind").isin(*FILE_KINDS) & F.col("language").isin(*LANGUAGES) & F.col("text").isNotNull()
     ).select(F.xxhash64("repository", "file_path").alias("file"), "repository", "file_path", "text"))
-    hashed = rows.select("file", "repository", _lines("text").alias("hashes")).filter(F.size("hashes") >= LEAST_LINES)
+    lined = rows.select(
+        "file", "repository", _lines("text").alias("hashes"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("whole")
+    )
+    hashed = lined.filter(F.size("hashes") >= LEAST_LINES).select("file", "repository", "hashes")
     files = write_table(hashed.dropDuplicates(["file"]), "line-hashes")
     published = upstream.select(F.col("file_no").cast("long").alias("file"), _lines("body").alias("hashes"))
     index = files.select("file", "repository", F.explode("hashes").alias("line"))
@@ -135,26 +142,61 @@ def foreign_files(artifacts: DataFrame, upstream: DataFrame) -> DataFrame:
         .filter(F.col("votes") >= CANDIDATE_SHARE * F.col("n"))
     )
     homes = files.select("file", "repository")
-    exact = _overlaps(pointed.select("file", "other"), files, files)
-    copies = write_table(
-        exact.filter(F.col("shared") >= FROM_REPOSITORY * F.least("n", "m"))
-        .filter(F.col("shared") >= 0.6 * F.greatest("n", "m"))
-        .join(homes, "file").join(homes.select(F.col("file").alias("other"), F.col("repository").alias("home")), "other")
-        .select("file", "other", "repository", "home"),
-        "copies",
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        exact = _overlaps(pairs, files, files).filter(F.col("shared") >= FROM_REPOSITORY * F.least("n", "m"))
+        return (
+            exact.join(homes, "file").join(homes.select(F.col("file").alias("other"), F.col("repository").alias("home")), "other")
+            # a file that holds a small one and much more isn't its copy
+            .filter((F.col("n") <= F.col("m")) | (F.col("shared") >= OF_LARGER * F.col("n")))
+            .select("file", "other", "repository", "home")
+        )
+
+    def turned(pairs: DataFrame) -> DataFrame:
+        return pairs.unionByName(pairs.select(F.col("other").alias("file"), F.col("file").alias("other"))).distinct()
+
+    first = write_table(compared(turned(pointed.select("file", "other"))), "copies")
+    settled = write_table(taken.unionByName(first.filter("repository <> home").select("file")).distinct(), "settled")
+    # a file of n lines shares one of its n - 0.8 n + 1 rarest with every file that has 0.8 n of its lines
+    counted = index.groupBy("line").agg(F.count(F.lit(1)).alias("holders"))
+    ordered = index.select("file", "line").join(counted, "line").groupBy("file").agg(
+        F.sort_array(F.collect_list(F.struct("holders", "line"))).alias("x")
+    )
+    n = F.size("x")
+    rarest = (
+        ordered.select("file", F.explode(F.slice("x", 1, n - F.ceil(n * FROM_REPOSITORY).cast("int") + 1)).alias("x"))
+        .select("file", "x.line", "x.holders").filter("holders > 1").select("file", "line")
     )
-    abroad = copies.filter("repository <> home")
-    known_abroad = abroad.select("file").unionByName(abroad.select(F.col("other").alias("file"))).distinct()
+    rarest = write_table(rarest, "rarest-lines")
+    held = index.select(F.col("file").alias("other"), "line").join(rarest.select("line").distinct(), "line", "left_semi")
+    unsettled = files.select("file").join(settled, "file", "left_anti")
+    of_open = rarest.join(unsettled, "file", "left_semi").join(held, "line")
+    of_others = rarest.join(settled, "file", "left_semi").join(
+        held.join(unsettled.select(F.col("file").alias("other")), "other", "left_semi"), "line"
+    )
+    sharing = of_open.unionByName(of_others).filter("file <> other").select("file", "other").distinct()
+    copies = write_table(first.unionByName(compared(turned(sharing))), "all-copies")
+    known_abroad = copies.filter("repository <> home").select("file").distinct()
     # a copy within the same repository of a file that is known abroad
     beside = (
         copies.filter("repository = home").select("file", F.col("other").alias("f"))
         .join(known_abroad.select(F.col("file").alias("f")), "f", "left_semi").select("file")
     )
+
+    # files of few lines, as whole texts
+    few = write_table(
+        lined.filter((F.size("hashes") < LEAST_LINES) & (F.length("whole") >= WHOLE_CHARS))
+        .select("file", "repository", F.xxhash64("whole").alias("whole")).distinct(),
+        "whole-texts",
+    )
+    abroad = few.groupBy("whole").agg(F.min("repository").alias("r1"), F.max("repository").alias("r2")).filter("r1 <> r2")
+    bodies = upstream.select(F.xxhash64(F.trim(F.regexp_replace("body", r"\s+", " "))).alias("whole"))
+    alike = few.join(abroad.select("whole").unionByName(bodies), "whole", "left_semi").select("file")
     composed = rows.select("file", "file_path", "text").mapInArrow(_compose, "file long, reason string")
     vendored = F.lit("vendored").alias("reason")
     found = (
         taken.select("file", vendored).unionByName(known_abroad.select("file", vendored))
-        .unionByName(beside.select("file", vendored)).unionByName(composed)
+        .unionByName(beside.select("file", vendored)).unionByName(alike.select("file", vendored)).unionByName(composed)
         .groupBy("file").agg(F.min("reason").alias("reason"))
     )
     return rows.select("file", "repository", "file_path").distinct().join(found, "file").select(

@@ -362,6 +362,25 @@ def test_foreign_files(spark):
     assert foreign_files.foreign_files(rows.limit(0), upstream).count() == 0
 
 
+def test_foreign_files_of_many_versions(spark):
+    def lines(seed, n):
+        r = random.Random(seed)
+        return ["# " + " ".join("".join(r.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(r.randint(3, 20))) for _ in range(n)]
+
+    def version(k):  # a third of the lines stays; versions share less than FROM_REPOSITORY
+        return lines("common", 12) + lines(f"v{k}", 24)
+
+    files = [(f"r{k}{side}", "lib/a.py", version(k) + lines(f"patch{k}{side}", 2)) for k in range(12) for side in "ab"]
+    files += [("small", "x/part.py", lines("part", 8)), ("large", "own.py", lines("part", 8) + lines("large", 60))]
+    files += [(r, "tiny.py", ["def tiny(first_argument, second_argument):", "    return first_argument ** second_argument + 12345"]) for r in ("t1", "t2")]
+    rows = artifacts(spark, [
+        {"id": f"{n}", "repository": r, "file_path": p, "text": "\n".join(t), "kind": "module", "language": "python"} for n, (r, p, t) in enumerate(files)
+    ])
+    upstream = spark.createDataFrame([], "file_no int, body string")
+    found = {r.repository for r in foreign_files.foreign_files(rows, upstream).filter("reason = 'vendored'").collect()}
+    assert found == {r for r, _, _ in files} - {"large"}
+
+
 # --- 2 ---
 
 VALID = {
