@@ -99,8 +99,6 @@ def is_echo(query: str, response: str) -> bool:
 def is_refusal(response: str) -> bool:
     """Whether every sentence declines or is a courtesy, and one at least declines."""
     text = _CODE.sub("X", response).strip().lstrip(">*_ \t\"'")
-    if len(response) > 600:
-        return False
     declined = False
     for sentence in re.split(r"(?<=[.!?。])\s+|(?<=[!。])|\n+", text):
         sentence = sentence.strip(" .!?。>*_\"'\t")

@@ -285,6 +285,12 @@ def test_defects(query, response, defect):
     assert pairs.defect(query, response, False, False) == defect
 
 
+def test_long_refusal():
+    long = "I'm sorry, but I can't help with that request. " * 20
+    assert pairs.is_refusal(long) and pairs.defect("What is a keel?", long, False, False) == "refusal"
+    assert not pairs.is_refusal(long + "The keel is in the hull.")
+
+
 def test_defective_pairs_plan(spark):
     history = spark.createDataFrame(
         [(1, "Where is it?", "The keel is in the hull of the ship."), (2, "Where is it?", "The keel is in the hull of the"), (2, "Where is it?", "The keel is in the hull of the"), (3, None, None)],
