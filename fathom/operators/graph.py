@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from fathom.functions.access import in_scope
 from fathom.session import write_table
 
 #: Which relationship a walk follows first. Fixed values.
@@ -38,13 +39,20 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return there.unionByName(back).groupBy("id", "neighbour").agg(F.min(priority(F.col("relationship"))).alias("priority"))
 
 
-def walk(anchors: DataFrame, near: DataFrame, depth: int = 3, breadth: int = 50) -> DataFrame:
+def placed(near: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``near`` with the repository and tier of each neighbour; neighbours that ``nodes(id, repository, tier)`` lack are left out."""
+    return near.join(nodes.select(F.col("id").alias("neighbour"), "repository", "tier"), "neighbour")
+
+
+def walk(anchors: DataFrame, near: DataFrame, depth: int = 3, breadth: int = 50, requests: DataFrame | None = None) -> DataFrame:
     """(qid, id, level, position): breadth-first from ``anchors(qid, id, rank)`` over ``near(id, neighbour, priority)``.
 
     All requests walk at once, a level per step. A node takes the place of the earliest parent that reaches it, then
     the relationship's priority, then the id. A walk ends at ``depth`` and keeps its first ``breadth`` nodes; levels
-    are written to the shared folder, so that each step starts from a table.
+    are written to the shared folder, so that each step starts from a table. With ``requests(qid, user_tier, repo_scope)``
+    and a ``near`` of ``placed``, a walk neither gives nor passes through what its user may not see.
     """
+    scopes = None if requests is None else requests.select("qid", "user_tier", "repo_scope")
     place = Window.partitionBy("qid")
     seen = write_table(
         anchors.select("qid", "id", F.lit(0).alias("level"), F.row_number().over(place.orderBy("rank", "id")).alias("position")),
@@ -53,9 +61,11 @@ def walk(anchors: DataFrame, near: DataFrame, depth: int = 3, breadth: int = 50)
     for level in range(1, depth + 1):
         full = seen.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
         last = seen.filter(F.col("level") == level - 1).join(full.filter(F.col("n") < breadth), "qid")
+        steps = last.select("qid", "n", "id", "position").join(near, "id")
+        if scopes is not None:
+            steps = steps.join(scopes, "qid").filter((F.col("tier") <= F.col("user_tier")) & in_scope(F.col("repository"), F.col("repo_scope")))
         reached = (
-            last.select("qid", "n", "id", "position").join(near, "id")
-            .groupBy("qid", F.col("neighbour").alias("id"))
+            steps.groupBy("qid", F.col("neighbour").alias("id"))
             .agg(F.min(F.struct("position", "priority")).alias("via"), F.first("n").alias("n"))
             .join(seen.select("qid", "id"), ["qid", "id"], "left_anti")
         )

@@ -10,12 +10,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fathom.functions import text as T
 from fathom.functions.access import in_scope
+from fathom.operators import textindex
 
 
-def latest(artifacts: DataFrame) -> DataFrame:
-    """One row per id: the last delivered."""
-    newest = Window.partitionBy("id").orderBy(F.desc("updated_at"))
-    return artifacts.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
+def latest(artifacts: DataFrame, *columns: str) -> DataFrame:
+    """One row per id, with ``columns`` (all where none are named): the last delivered; of equal times, the least of the rest."""
+    rest = [c for c in (columns or artifacts.columns) if c != "id"]
+    kinds = dict(artifacts.dtypes)
+    order = F.struct(*(F.array_sort(F.map_entries(c)).alias(c) if kinds[c].startswith("map") else F.col(c) for c in rest))
+    newest = artifacts.groupBy("id").agg(F.min_by(F.struct(*rest), F.struct((-F.coalesce("updated_at", F.lit(float("-inf")))).alias("t"), order.alias("o"))).alias("r"))
+    return newest.select("id", "r.*")
 
 
 def top(rows: DataFrame, keys: list[str], order: list[Column], k) -> DataFrame:
@@ -32,31 +36,36 @@ def entries(artifacts: DataFrame) -> DataFrame:
 
 
 def postings(index: DataFrame) -> DataFrame:
-    """(token, id): the inverted index over the entries' fields."""
+    """(token, id, repository, tier): the inverted index over the entries' fields."""
     searchable = F.concat_ws(
         " ", "repository", F.col("tier").cast("string"), "file_path", "symbol_name", "kind", "metadata_text"
     )
-    return index.select("id", F.explode(T.index_tokens(searchable)).alias("token"))
+    return index.select("id", "repository", "tier", F.explode(T.index_tokens(searchable)).alias("token"))
 
 
 def terms_of(requests: DataFrame) -> DataFrame:
     """(qid, term): the distinct terms of each request that the index looks up."""
-    terms = F.filter(T.query_terms(F.col("query")), lambda t: (F.length(t) > 1) & ~t.isin(T.QUERY_STOPWORDS))
+    terms = F.filter(T.query_terms(F.col("query")), lambda t: (F.length(t) > 1) & ~t.isin(*T.QUERY_STOPWORDS))
     return requests.select("qid", F.explode(terms).alias("term"))
 
 
-def lexical_index_search(requests: DataFrame, index: DataFrame, limit: int = 50) -> DataFrame:
-    """(qid, id, score, rank): summed term weights plus boosts for terms within symbol, metadata, path and kind."""
-    terms = terms_of(requests)
+def lexical_index_search(
+    requests: DataFrame, index: DataFrame, limit: int = 50, held: DataFrame | None = None, terms: DataFrame | None = None
+) -> DataFrame:
+    """(qid, id, file_path, score, rank): summed term weights plus boosts for terms within symbol, metadata, path and kind.
+
+    ``held`` are the ``postings`` of ``index`` where they are stored; ``terms(qid, term)`` stand for all of the requests'.
+    What a user may not see is left out before anything is added up; a frequent token's postings are spread by id.
+    """
+    terms = terms_of(requests) if terms is None else terms
+    scoped = terms.join(requests.select("qid", "user_tier", "repo_scope"), "qid").withColumnRenamed("term", "token")
     base = (
-        terms.join(postings(index), terms["term"] == F.col("token"))
-        .groupBy("qid", "id").agg(F.sum(T.term_weight(F.col("term"))).alias("base"))
+        textindex.salted_join(scoped, postings(index) if held is None else held, "token", "id")
+        .filter((F.col("tier") <= F.col("user_tier")) & in_scope(F.col("repository"), F.col("repo_scope")))
+        .groupBy("qid", "id").agg(F.sum(T.term_weight(F.col("token"))).alias("base"))
     )
     asked = terms.groupBy("qid").agg(F.collect_set("term").alias("terms"))
-    scoped = requests.select("qid", "user_tier", "repo_scope").join(asked, "qid")
-    found = base.join(index, "id").join(scoped, "qid").filter(
-        (F.col("tier") <= F.col("user_tier")) & in_scope(F.col("repository"), F.col("repo_scope"))
-    )
+    found = base.join(index.select("id", "symbol_name", "metadata_text", "file_path", "kind"), "id").join(asked, "qid")
     symbol, meta, path, kind = (F.lower(c) for c in ("symbol_name", "metadata_text", "file_path", "kind"))
     boost = F.aggregate(
         "terms", F.lit(0.0),
@@ -70,57 +79,62 @@ def lexical_index_search(requests: DataFrame, index: DataFrame, limit: int = 50)
     return top(scored, ["qid"], [F.desc("score"), F.col("file_path"), F.col("id")], limit)
 
 
-def text_scan(requests: DataFrame, artifacts: DataFrame, terms: int = 3) -> DataFrame:
-    """(qid, id, matched): artifacts whose text holds any of each request's longest terms as a substring.
+def longest_terms(requests: DataFrame, n: int) -> DataFrame:
+    """(qid, term, place): each request's ``n`` longest terms, the longest first, ties in the query's order."""
+    terms = requests.select("qid", F.posexplode(T.query_terms(F.col("query"))).alias("at", "term"))
+    return top(terms, ["qid"], [F.desc(F.length("term")), F.col("at")], n).select("qid", "term", F.col("rank").alias("place"))
 
-    Terms are matched with the vocabulary, a table of distinct tokens, and the vocabulary with the texts: equal to a
-    substring scan for terms that are identifiers, without reading every text once per request.
+
+def text_hits(requests: DataFrame, artifacts: DataFrame, held: DataFrame, terms: int = 8, scanned: int = 3) -> DataFrame:
+    """(qid, id, file_path, score): visible artifacts whose text holds one of the ``scanned`` longest terms of a request.
+
+    Ten points for each of the ``terms`` longest within path, symbol, kind or text. ``held(term, id)`` says which artifacts
+    may hold which terms (in any field); the text decides.
     """
-    longest = top(
-        terms_of(requests).filter(F.col("term").rlike(f"^{T.TOKEN}$")), ["qid"], [F.desc(F.length("term")), F.col("term")], terms
-    ).select("qid", "term")
-    tokens = artifacts.select("id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
-    vocabulary = tokens.select("token").distinct()
-    # a term lies in a token that has the term's first three characters somewhere
-    pieces = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("token") - 2, F.lit(1))), lambda i: F.substring("token", i, F.lit(3))
-    ))
-    grams = vocabulary.select("token", F.explode(pieces).alias("gram"))
-    wanted = longest.select("term").distinct().filter(F.length("term") >= 3).withColumn("gram", F.left("term", F.lit(3)))
-    holds = wanted.join(grams, "gram").filter(F.col("token").contains(F.col("term"))).select("term", "token").distinct()
-    return (
-        longest.join(holds, "term").join(tokens, "token").select("qid", "id", "term").distinct()
-        .groupBy("qid", "id").agg(F.count(F.lit(1)).alias("matched"))
+    longest = longest_terms(requests, terms)
+    scopes = requests.select("qid", "user_tier", "repo_scope")
+    asked = longest.filter(F.col("place") <= scanned).select("qid", "term")
+    found = textindex.salted_join(asked, held, "term", "id").join(artifacts.select("id", "repository", "tier"), "id").join(scopes, "qid").filter(
+        (F.col("tier") <= F.col("user_tier")) & in_scope(F.col("repository"), F.col("repo_scope"))
+    ).select("qid", "id").distinct()
+    listed = longest.groupBy("qid").agg(F.collect_list("term").alias("terms"), F.collect_list(F.when(F.col("place") <= scanned, F.col("term"))).alias("first"))
+    fields = artifacts.select("id", "file_path", F.lower("text").alias("text"), F.lower(F.concat_ws(" ", "file_path", "symbol_name", "kind", "text")).alias("haystack"))
+    scored = found.join(fields, "id").join(listed, "qid").filter(F.exists("first", lambda t: F.col("text").contains(t)))
+    return scored.select("qid", "id", "file_path", (10.0 * F.size(F.filter("terms", lambda t: F.col("haystack").contains(t)))).alias("score"))
+
+
+def lexical_union(indexed: DataFrame, texts: DataFrame, k: int = 50) -> DataFrame:
+    """(qid, id, file_path, score, by_text, rank): hits of the index and of the texts, each with its higher score."""
+    both = indexed.select("qid", "id", "file_path", "score", F.lit(False).alias("by_text")).unionByName(
+        texts.select("qid", "id", "file_path", "score", F.lit(True).alias("by_text"))
     )
+    once = both.groupBy("qid", "id", "file_path").agg(F.max("score").alias("score"), F.max("by_text").alias("by_text"))
+    return top(once, ["qid"], [F.desc("score"), F.col("file_path"), F.col("id")], k)
 
 
 def path_search(requests: DataFrame, artifacts: DataFrame, k: int = 50) -> DataFrame:
     """(qid, repository, file_path, score, rank): files whose path the terms name.
 
     A term that is the stem counts 6, one within the basename 4, a directory 3, one within the path 1; the first that
-    holds counts. Terms meet paths through three-character pieces.
+    holds counts. Terms meet paths through the paths' runs, and a term that many paths hold is spread by the path.
     """
-    paths = artifacts.select("repository", "file_path").distinct().withColumn("lower", F.lower("file_path"))
-    grams = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("lower") - 2, F.lit(1))), lambda i: F.substring("lower", i, F.lit(3))
-    ))
-    terms = terms_of(requests).filter(F.length("term") >= 3)
-    wanted = terms.select("term").distinct().withColumn("gram", F.left("term", F.lit(3)))
-    touched = (
-        wanted.join(paths.select("repository", "file_path", "lower", F.explode(grams).alias("gram")), "gram")
-        .filter(F.col("lower").contains(F.col("term")))
+    paths = artifacts.select("repository", "file_path").distinct().select(
+        F.concat_ws(":", "repository", "file_path").alias("id"), "repository", "file_path", F.lower("file_path").alias("text")
     )
-    name = T.basename(F.col("lower"))
+    terms = requests.select("qid", F.explode(T.query_terms(F.col("query"))).alias("term"))
+    runs = textindex.runs(paths.select("id", "text"))
+    touched = textindex.verified(textindex.containing(terms, runs, textindex.grams(runs)), paths).join(paths, "id")
+    name = T.basename(F.col("text"))
     term = F.col("term")
     points = (
         F.when(term == T.stem_of(name), 6).when(name.contains(term), 4)
-        .when(F.col("lower").contains(F.concat(F.lit("/"), term, F.lit("/"))) | F.col("lower").startswith(F.concat(term, F.lit("/"))), 3)
+        .when(F.col("text").contains(F.concat(F.lit("/"), term, F.lit("/"))) | F.col("text").startswith(F.concat(term, F.lit("/"))), 3)
         .otherwise(1)
     )
     scored = touched.select("term", "repository", "file_path", points.alias("points"))
+    asked = terms.join(requests.select("qid", "repo_scope"), "qid")
     found = (
-        terms.join(scored, "term").join(requests.select("qid", "repo_scope"), "qid")
-        .filter(in_scope(F.col("repository"), F.col("repo_scope")))
+        textindex.salted_join(asked, scored, "term", "file_path").filter(in_scope(F.col("repository"), F.col("repo_scope")))
         .groupBy("qid", "repository", "file_path").agg(F.sum("points").alias("score"))
     )
     return top(found, ["qid"], [F.desc("score"), F.desc("file_path"), F.desc("repository")], k)
@@ -140,13 +154,59 @@ def rows_of_files(files: DataFrame, artifacts: DataFrame, requests: DataFrame, p
     return top(seen, ["qid", "repository", "file_path"], order, per_file).select("qid", "id", "file_path", "rank")
 
 
-def file_name_search(requests: DataFrame, artifacts: DataFrame, per_file: int = 2) -> DataFrame:
-    """Artifacts of the files that a query names (``name.ext``), at most ``per_file`` of a file."""
-    names = T.all_matches(F.lower("query"), r"[a-z0-9_\-]+\.(?:py|cpp|hpp|cc|java|js|ts|go|json|md)\b")
-    asked = requests.select("qid", "repo_scope", F.explode(F.array_distinct(names)).alias("name"))
-    files = artifacts.select("repository", "file_path").distinct().withColumn("name", T.basename(F.lower("file_path")))
-    found = asked.join(files, "name").filter(in_scope(F.col("repository"), F.col("repo_scope")))
-    return rows_of_files(found, artifacts, requests, per_file)
+#: Suffixes of files that queries name, and those that a class's files may have, in order. Fixed values but for the last six.
+NAMED_SUFFIXES = ("cpp", "cxx", "cc", "c", "h", "hpp", "hxx", "py", "pyx", "java", "js", "ts", "go", "json", "md")
+CLASS_SUFFIXES = (".h", ".hpp", ".hxx", ".cpp", ".cxx", ".cc", ".c", ".py")
+
+#: A class that more files name than this tells nothing. Fixed value.
+MOST_FILES = 8
+
+
+def named_classes(query: Column) -> Column:
+    """Classes that a query names: the capitalised parts of ``A::b``, then capitalised words between back quotes."""
+    qualified = T.all_matches(query, r"[A-Z][A-Za-z0-9_]*(?:::[A-Za-z0-9_]+)+")
+    parts = F.filter(F.flatten(F.transform(qualified, lambda x: F.split(x, "::"))), lambda x: x.rlike("^[A-Z]"))
+    return F.array_distinct(F.concat(parts, T.all_matches(query, "`([A-Z][A-Za-z0-9_]{1,})`", 1)))
+
+
+def file_name_search(requests: DataFrame, artifacts: DataFrame, held: DataFrame | None = None, per_file: int = 2) -> DataFrame:
+    """(qid, id, file_path, by_text, rank): artifacts of the files that a query names, at most ``per_file`` of a path.
+
+    A file is named by the end of its name (``name.ext``), or by a class with one of the suffixes that classes' files have.
+    A class without such a file is looked for in the texts of source files, unless more than MOST_FILES paths hold it;
+    ``held(term, id)`` says which artifacts may hold which class names in lower case (without it, texts aren't searched).
+    """
+    scopes = requests.select("qid", "user_tier", "repo_scope")
+    visible = (F.col("tier") <= F.col("user_tier")) & in_scope(F.col("repository"), F.col("repo_scope"))
+    given = T.all_matches(F.col("query"), rf"\b[A-Za-z_][A-Za-z0-9_\-]*\.(?:{'|'.join(NAMED_SUFFIXES)})\b")
+    inferred = F.flatten(F.transform(named_classes(F.col("query")), lambda c: F.transform(F.array(*map(F.lit, CLASS_SUFFIXES)), lambda s: F.concat(c, s))))
+    names = F.array_distinct(F.transform(F.concat(given, inferred), F.lower))
+    asked = requests.select("qid", F.posexplode(names).alias("place", "name"))
+    rows = artifacts.select("id", "repository", "file_path", "kind", "tier", "line_start")
+    base = T.basename(F.lower("file_path"))
+    ends = rows.select("repository", "file_path").distinct().select(
+        "repository", "file_path", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(base), F.lit(1))), lambda i: F.substring(base, i, F.length(base)))).alias("name")
+    )
+    files = textindex.salted_join(asked, ends, "name", "file_path").select("qid", "place", "name", "repository", "file_path")
+    by_name = files.join(rows, ["repository", "file_path"]).join(scopes, "qid").filter(visible)
+    found = by_name.select("qid", "id", "file_path", "kind", "line_start", F.lit(False).alias("by_text"), "place")
+    if held is not None:
+        classes = requests.select("qid", F.posexplode(named_classes(F.col("query"))).alias("place", "class")).withColumn("term", F.lower("class"))
+        inferred_of = classes.select("qid", "term", F.explode(F.array(*(F.concat("term", F.lit(s)) for s in CLASS_SUFFIXES))).alias("name"))
+        settled = inferred_of.join(by_name.select("qid", "name").distinct(), ["qid", "name"], "left_semi").select("qid", "term")
+        source = F.lower("file_path").rlike(rf"({'|'.join(x.replace('.', '[.]') for x in CLASS_SUFFIXES)})$")
+        within = (
+            textindex.salted_join(classes.join(settled, ["qid", "term"], "left_anti").select("qid", "place", "term"), held, "term", "id")
+            .join(rows.filter(source), "id").join(scopes, "qid").filter(visible).join(artifacts.select("id", "text"), "id")
+            .filter(F.lower("text").contains(F.col("term")))
+        )
+        few = within.groupBy("qid", "term").agg(F.countDistinct("file_path").alias("n")).filter(F.col("n") <= MOST_FILES).select("qid", "term")
+        found = found.unionByName(
+            within.join(few, ["qid", "term"]).select("qid", "id", "file_path", "kind", "line_start", F.lit(True).alias("by_text"), "place")
+        )
+    once = found.groupBy("qid", "id", "file_path", "kind", "line_start").agg(F.min(F.struct("by_text", "place")).alias("p"))
+    order = [F.col("p.by_text"), F.col("p.place"), F.expr(KIND_RANK), F.col("line_start"), F.col("id")]
+    return top(once, ["qid", "file_path"], order, per_file).select("qid", "id", "file_path", "p.by_text", "rank")
 
 
 def fuse(named: DataFrame, vector: DataFrame, graph: DataFrame, ratio: float = 0.5, k: int = 20) -> DataFrame:
@@ -164,70 +224,3 @@ def fuse(named: DataFrame, vector: DataFrame, graph: DataFrame, ratio: float = 0
     return top(once, ["qid"], [F.col("place.band"), F.col("place.rank"), F.col("id")], k).select(
         "qid", "id", F.col("rank").alias("position")
     )
-
-
-def symbol_scores(hits: DataFrame, requests: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """(qid, id, rerank_score): terms within an artifact's fields and their fit with its symbol."""
-    terms = terms_of(requests)
-    fields = artifacts.select(
-        "id", F.lower(F.coalesce("symbol_name", F.lit(""))).alias("symbol"), "kind",
-        F.lower(F.concat_ws(" ", "id", "symbol_name", "file_path", "kind", "text")).alias("searchable"),
-    )
-    parts = T.qualified_parts(F.col("symbol"))
-    term = F.col("term")
-    symbol = (
-        F.when(
-            term == F.col("symbol"),
-            40 + F.when(F.col("kind").isin("class", "struct", "interface", "enum"), 15).otherwise(0)
-            + F.when(F.col("kind").contains("implementation"), 20).otherwise(0),
-        )
-        .when(F.try_element_at(parts, F.lit(-1)) == term, 18).when(F.array_contains(parts, term), 3)
-        .when((F.length(term) >= 3) & F.col("symbol").contains(term), 6).otherwise(0)
-    )
-    return (
-        hits.select("qid", "id").join(fields, "id").join(terms, "qid")
-        .groupBy("qid", "id")
-        .agg(F.sum(symbol + F.when(F.col("searchable").contains(term), 1).otherwise(0)).cast("long").alias("rerank_score"))
-    )
-
-
-def diverse(scored: DataFrame, artifacts: DataFrame, m: int = 8) -> DataFrame:
-    """The best hit of each file first, then the rest, ``m`` per request: one place per file before any second one."""
-    with_file = scored.join(artifacts.select("id", "file_path"), "id")
-    in_file = F.row_number().over(Window.partitionBy("qid", "file_path").orderBy(F.desc("rerank_score"), "id"))
-    return top(
-        with_file.withColumn("again", in_file > 1), ["qid"], [F.col("again"), F.desc("rerank_score"), F.col("id")], m
-    ).select("qid", "id", "file_path", "rerank_score", F.col("rank").alias("position"))
-
-
-def path_points(term: Column, path: Column) -> Column:
-    """How well a term fits a path: 0.6 for one of the name's pieces, 0.25 for a directory's; less for related words."""
-    lower = F.replace(F.lower(path), F.lit("\\"), F.lit("/"))
-    name = T.basename(lower)
-    stem = T.stem_of(name)
-    pieces = lambda c: F.split(c, "[^a-z0-9]+")
-    high = F.concat(F.array(lower, name, stem, F.regexp_extract(name, r"\.([^.]*)$", 1)), pieces(name), pieces(stem))
-    high = F.filter(high, lambda x: x != "")
-    parent = F.regexp_replace(lower, "/?[^/]*$", "")
-    low = F.filter(pieces(parent), lambda x: x != "")
-    return (
-        F.when(F.length(term) < 3, 0.0).when(F.array_contains(high, term), 0.6)
-        .when(F.exists(high, lambda x: T.related(term, x)), 0.35).when(F.array_contains(low, term), 0.25)
-        .when(F.exists(low, lambda x: T.related(term, x)), 0.15).otherwise(0.0)
-    )
-
-
-def rescored(hits: DataFrame, requests: DataFrame, artifacts: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank): ``hits(qid, id, score)`` again, with 0.08 for each term within an artifact and its path's points."""
-    terms = requests.select("qid", F.explode(T.query_terms(F.col("query"))).alias("term")).distinct()
-    searchable = F.lower(F.concat_ws(" ", "id", "symbol_name", "file_path", "kind", "text"))
-    fields = hits.select("id").distinct().join(artifacts, "id").select("id", "file_path", searchable.alias("searchable"))
-    points = hits.select("qid", "id").join(fields, "id").join(terms, "qid").groupBy("qid", "id").agg(
-        F.sum(
-            F.when(F.col("searchable").contains(F.col("term")), F.lit(0.08)).otherwise(0.0) + path_points(F.col("term"), F.col("file_path"))
-        ).alias("points")
-    )
-    scored = hits.join(points, ["qid", "id"], "left").select(
-        "qid", "id", F.round(F.col("score") + F.coalesce("points", F.lit(0.0)), 4).alias("score")
-    )
-    return top(scored, ["qid"], [F.desc("score"), F.col("id")], k)

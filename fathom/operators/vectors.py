@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fathom.functions import text as T
+from fathom.session import write_table
 
-#: Queries per block: a block's matrix is what every task holds, whatever the number of queries.
-BLOCK = 1024
+#: Queries per block, whose scores a task holds at once, and blocks per pass over the rows: what is broadcast is bounded,
+#: whatever the number of queries.
+BLOCK, PASS_BLOCKS = 1024, 16
 
 
 def hashed_weights(rows: DataFrame, key: str, text: str, dimensions: int = 128) -> DataFrame:
@@ -52,53 +55,82 @@ def _best(ids: pa.Array, scores: np.ndarray, qids: np.ndarray, k: int) -> pa.Rec
     n = scores.shape[0]
     if n > k:
         limit = np.partition(scores, n - k, axis=0)[n - k]
-        rows, columns = np.nonzero(scores >= limit - 1e-12)
+        rows, columns = np.nonzero((scores >= limit - 1e-12) & np.isfinite(scores))
     else:
-        rows, columns = np.nonzero(np.ones_like(scores, bool))
+        rows, columns = np.nonzero(np.isfinite(scores))
     return pa.RecordBatch.from_arrays(
         [pa.array(qids[columns]), ids.take(pa.array(rows)), pa.array(scores[rows, columns])], ["qid", "id", "score"]
     )
 
 
-def _against(block, dimensions: int, k: int, sparse: bool):
+def _may_see(batch: pa.RecordBatch, tiers: np.ndarray, scopes: list) -> np.ndarray:
+    """(rows x queries): whether the query's user may see the row, by its tier and repository."""
+    row_tiers = batch.column("tier").to_numpy(zero_copy_only=False).astype(float)
+    coded = batch.column("repository").dictionary_encode()
+    names = [*coded.dictionary.to_pylist(), None]
+    codes = coded.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)
+    scoped = np.array([[s is None or (r is not None and r in s) for s in scopes] for r in names], bool).reshape(len(names), len(scopes))
+    return (row_tiers[:, None] <= tiers[None, :]) & scoped[codes]
+
+
+def _against(blocks, dimensions: int, k: int, sparse: bool):
     def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, matrix = block.value
-        lengths = np.sqrt((matrix**2).sum(1))
         for batch in batches:
             if not batch.num_rows:
                 continue
             if sparse:
-                x = _dense(batch.column(1), batch.column(2), dimensions)
+                x = _dense(batch.column("buckets"), batch.column("weights"), dimensions)
             else:
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions).astype(np.float64)
+                x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions).astype(np.float64)
             norms = np.sqrt((x**2).sum(1))
-            scores = (x @ matrix.T) / np.maximum(norms[:, None] * lengths[None, :], 1e-300)
-            yield _best(batch.column(0), scores, qids, k)
+            for qids, matrix, tiers, scopes in blocks.value:
+                lengths = np.sqrt((matrix**2).sum(1))
+                scores = (x @ matrix.T) / np.maximum(norms[:, None] * lengths[None, :], 1e-300)
+                if tiers is not None:
+                    scores[~_may_see(batch, tiers, scopes)] = -np.inf
+                yield _best(batch.column("id"), scores, qids, k)
 
     return against
 
 
-def nearest(queries: DataFrame, rows: DataFrame, dimensions: int, k: int, sparse: bool, id_type: str = "string") -> DataFrame:
-    """(qid, id, score): every query's ``k`` most similar rows by cosine, exactly, ties by id.
-
-    ``queries`` and ``rows`` have (qid or id, buckets, weights) if ``sparse``, else (qid or id, vector). The queries
-    are taken in blocks of BLOCK; each block is broadcast and held against all rows.
+def _block(table: pa.Table, dimensions: int, sparse: bool, access: bool) -> tuple:
+    if sparse:
+        matrix = _dense(table.column("buckets").combine_chunks(), table.column("weights").combine_chunks(), dimensions)
+    else:
+        matrix = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions).astype(float)
+    qids = table.column("qid").to_numpy()
+    if not access:
+        return qids, matrix, None, None
+    scopes = [None if s is None else frozenset(s) for s in table.column("repo_scope").to_pylist()]
+    return qids, matrix, table.column("user_tier").to_numpy().astype(float), scopes
+
+
+def nearest(
+    queries: DataFrame, rows: DataFrame, dimensions: int, k: int, sparse: bool, id_type: str = "string", access: bool = False
+) -> DataFrame:
+    """(qid, id, score, rank): every query's ``k`` most similar rows by cosine, exactly, ties by id.
+
+    ``queries`` and ``rows`` have (qid or id, buckets, weights) if ``sparse``, else (qid or id, vector); with ``access``,
+    queries have user_tier and repo_scope and rows tier and repository, and only rows that the user may see compete.
+    Both are written once; every pass over the rows holds them against PASS_BLOCKS blocks of queries, each broadcast.
     """
     spark = rows.sparkSession
+    vector = ["buckets", "weights"] if sparse else ["vector"]
+    queries = queries.select("qid", *vector, *(["user_tier", "repo_scope"] if access else []))
+    rows = rows.select("id", *vector, *(["tier", "repository"] if access else []))
+    asked = write_table(queries, "queries")
+    blocks = max(1, -(-asked.count() // BLOCK))
+    numbered = asked.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
     found = None
-    blocks = max(1, -(-queries.count() // BLOCK))
-    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-    for b in range(blocks):
-        table = numbered.filter(F.col("_block") == b).drop("_block").toArrow().combine_chunks()
-        if not table.num_rows:
+    for first in range(0, blocks, PASS_BLOCKS):
+        held = numbered.filter((F.col("_block") >= first) & (F.col("_block") < first + PASS_BLOCKS)).toArrow()
+        parts = [held.filter(pc.equal(held.column("_block"), b)) for b in range(first, min(first + PASS_BLOCKS, blocks))]
+        packed = [_block(t, dimensions, sparse, access) for t in parts if t.num_rows]
+        if not packed:
             continue
-        qids = table.column(0).to_numpy()
-        if sparse:
-            matrix = _dense(table.column(1).combine_chunks(), table.column(2).combine_chunks(), dimensions)
-        else:
-            matrix = table.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions).astype(float)
-        block = spark.sparkContext.broadcast((qids, matrix))
-        part = rows.mapInArrow(_against(block, dimensions, k, sparse), f"qid long, id {id_type}, score double")
+        part = rows.mapInArrow(
+            _against(spark.sparkContext.broadcast(packed), dimensions, k, sparse), f"qid long, id {id_type}, score double"
+        )
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], f"qid long, id {id_type}, score double, rank int")

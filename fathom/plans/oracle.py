@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from fathom.functions.text import PATH_LIKE, QUERY_STOPWORDS
+from fathom.operators.scoring import (
+    OPERATIONAL_FOLDERS, OPERATIONAL_KINDS, OPERATIONAL_SUFFIXES, OPERATIONAL_TERMS, POLICY_TERMS, RERANK, RERANK_STOPWORDS, RETRIEVAL, SCHEMA_ROLE,
+)
+from fathom.operators.search import CLASS_SUFFIXES, NAMED_SUFFIXES
 from fathom.sources.files import EXCLUDED, LANGUAGES, SENSITIVE_NAMES, SENSITIVE_SUFFIXES
 
 ORACLE_SQL: dict[str, str] = {}
@@ -67,13 +71,12 @@ lex AS (SELECT qid, id, file_path, score, row_number() OVER (PARTITION BY qid OR
 
 ORACLE_SQL["scoped_scan"] = """SELECT repository, tier, count(DISTINCT id) AS artifacts, min(file_path) AS first_path FROM artifacts
 WHERE tier <= 2 AND repository IN (SELECT repository FROM group_scopes) GROUP BY repository, tier"""
-ORACLE_SQL["empty_scope"] = "SELECT id, repository FROM artifacts WHERE false"
-_P = "string_split(lower(file_path), '/')"
+_FOLDERS = "string_split(lower(file_path), '/')"
 ORACLE_SQL["index_decisions"] = rf"""WITH {CUR}, r AS (SELECT language, coalesce(text, '') AS text, file_path FROM cur)
 SELECT language, CASE
   WHEN list_has_any(string_split(file_path, '/'), {_list(EXCLUDED)}) THEN 'excluded'
-  WHEN list_has_any({_P}, {_list(SENSITIVE_NAMES)}) OR list_has_any({_P}, ['secret', 'secrets'])
-    OR starts_with(list_last({_P}), '.env.') OR {" OR ".join(f"ends_with(lower(file_path), '{s}')" for s in SENSITIVE_SUFFIXES)} THEN 'sensitive'
+  WHEN list_has_any({_FOLDERS}, {_list(SENSITIVE_NAMES)}) OR list_has_any({_FOLDERS}, ['secret', 'secrets'])
+    OR starts_with(list_last({_FOLDERS}), '.env.') OR {" OR ".join(f"ends_with(lower(file_path), '{s}')" for s in SENSITIVE_SUFFIXES)} THEN 'sensitive'
   WHEN len(list_filter(string_split(text, chr(10)), lambda x: length(rtrim(x, ' ')) > 500)) > 0 THEN 'unreadable'
   WHEN regexp_matches(left(text, 8192), '-----BEGIN (?:RSA |DSA |EC |OPENSSH |)PRIVATE KEY-----')
     OR regexp_matches(left(text, 8192), '(?i)\b(?:api[_-]?key|secret[_-]?key|access[_-]?token|private[_-]?key|password)\s*[:=]\s*[''"]?[^''"\s]{{12,}}') THEN 'secret'
@@ -144,46 +147,120 @@ FROM a WHERE latency_ms IS NOT NULL GROUP BY 1"""
 ORACLE_SQL["cache_keys"] = r"""WITH t AS (SELECT * FROM harness_traces WHERE query IS NOT NULL QUALIFY row_number() OVER (PARTITION BY trace_id) = 1)
 SELECT sha256(concat_ws(':', 'v1', trim(regexp_replace(lower(query), '[ \t\n\r\f\v]+', ' ', 'g'), ' '), coalesce(access_tier, 'T-1'),
   coalesce(array_to_string(list_sort(repo_scopes), ','), ''), 'answer', coalesce(model_id, 'default-model'), 'index')) AS key, count(*) AS traces FROM t GROUP BY 1"""
-ORACLE_SQL["coalesced_requests"] = f"""WITH {_AUDIT}, l AS (SELECT query_hash,
-row_number() OVER (PARTITION BY query_hash, floor(created_at / 300) ORDER BY created_at, id) = 1 AS leads FROM a)
-SELECT query_hash, count(*) AS requests, count(*) FILTER (leads) AS leads FROM l GROUP BY query_hash"""
-ORACLE_SQL["ttl_cache_hits"] = f"""WITH {_AUDIT}, k AS (SELECT id, query_hash, coalesce(access_tier, 'T-1') AS access_tier, created_at FROM a),
-h AS (SELECT access_tier, coalesce(created_at - lag(created_at) OVER (PARTITION BY query_hash, access_tier ORDER BY created_at, id)
-  <= CASE WHEN access_tier = 'T-3' THEN 3600 ELSE 14400 END, false) AS hit FROM k)
-SELECT access_tier, count(*) AS requests, count(*) FILTER (hit) AS hits FROM h GROUP BY access_tier"""
 ORACLE_SQL["audit_windows_stream"] = """SELECT to_timestamp(floor(created_at / 3600) * 3600)::TIMESTAMP AS window_start, coalesce(access_tier, 'none') AS access_tier,
 count(*) AS requests, count(*) FILTER (cache_hit) AS hits, count(*) FILTER (rbac_blocked) AS blocked FROM audit_log GROUP BY 1, 2"""
 ORACLE_SQL["lexical_search"] = f"WITH {LEX} SELECT qid, id, file_path, score::DOUBLE AS score, rank FROM lex"
-ORACLE_SQL["text_scan"] = f"""WITH {CUR}, {REQ}, {TERM}, longest AS (SELECT qid, term FROM term WHERE regexp_matches(term, '^[a-z_][a-z0-9_]*$')
-QUALIFY row_number() OVER (PARTITION BY qid ORDER BY length(term) DESC, term) <= 3),
-m AS (SELECT qid, id, count(*) AS matched FROM longest JOIN cur ON contains(lower(text), term) WHERE length(term) >= 3 GROUP BY qid, id)
-SELECT qid, count(*) AS artifacts, sum(matched)::BIGINT AS matches FROM m GROUP BY qid"""
+ALL_TERMS = f"tm AS (SELECT DISTINCT qid, unnest({TERMS}) AS term FROM req)"
+_LOW = "lower(file_path)"
+_NAME = f"list_last(string_split({_LOW}, '/'))"
+_SUFFIX = f"regexp_extract({_NAME}, '^.+(\\.[^.]+)$', 1)"
+_STEM_OF = f"regexp_replace({_NAME}, '^(.+)\\.[^.]*$', '\\1')"
+ALLOWED = """al AS (SELECT qid, id FROM req JOIN cur ON tier <= user_tier AND (repo_scope IS NULL OR list_contains(repo_scope, repository)))"""
+_LONGEST = f"""lt AS (SELECT qid, term, row_number() OVER (PARTITION BY qid ORDER BY length(term) DESC, pos) AS place FROM
+  (SELECT qid, unnest(l) AS term, generate_subscripts(l, 1) AS pos FROM (SELECT qid, {TERMS} AS l FROM req)) QUALIFY place <= 8),
+ll AS (SELECT qid, list(term) AS terms, list(term) FILTER (place <= 3) AS first FROM lt GROUP BY qid)"""
+_TEXT_HITS = f"""{_LONGEST}, th AS (SELECT qid, id, file_path, 10.0::DOUBLE * len(list_filter(terms, lambda t: contains(lower(concat_ws(' ', file_path, symbol_name, kind, text)), t))) AS score
+  FROM al JOIN cur USING (id) JOIN ll USING (qid) WHERE text IS NOT NULL AND len(list_filter(first, lambda t: contains(lower(text), t))) > 0)"""
+ORACLE_SQL["text_scan"] = f"WITH {CUR}, {REQ}, {ALLOWED}, {_TEXT_HITS} SELECT * FROM th"
+_COMPOSITE = f"""{CUR}, {REQ}, {ALLOWED}, {_TEXT_HITS}, term AS (SELECT qid, term FROM lt), {ENTRY}, {POST}, {BASE}, {SCORED},
+ix AS (SELECT qid, id, file_path, score FROM scored QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, file_path, id) <= 300),
+co AS (SELECT qid, id, file_path, max(score)::DOUBLE AS score, bool_or(by_text) AS by_text FROM
+  (SELECT *, false AS by_text FROM ix UNION ALL SELECT *, true FROM th) GROUP BY qid, id, file_path),
+comp AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, file_path, id)::INTEGER AS rank FROM co QUALIFY rank <= 50)"""
+ORACLE_SQL["composite_search"] = f"WITH {_COMPOSITE} SELECT * FROM comp"
 _PATHS_SCORED = r"""SELECT qid, repository, file_path, sum(CASE
   WHEN term = regexp_replace(list_last(string_split(lower(file_path), '/')), '^(.+)\.[^.]*$', '\1') THEN 6
   WHEN contains(list_last(string_split(lower(file_path), '/')), term) THEN 4
   WHEN contains(lower(file_path), '/' || term || '/') OR starts_with(lower(file_path), term || '/') THEN 3 ELSE 1 END)::BIGINT AS score
-FROM term JOIN (SELECT DISTINCT repository, file_path FROM artifacts) p ON contains(lower(file_path), term) JOIN req USING (qid)
-WHERE length(term) >= 3 AND (repo_scope IS NULL OR list_contains(repo_scope, repository)) GROUP BY qid, repository, file_path"""
-ORACLE_SQL["path_search"] = f"""WITH {REQ}, {TERM}, s AS ({_PATHS_SCORED})
+FROM tm JOIN (SELECT DISTINCT repository, file_path FROM artifacts) p ON contains(lower(file_path), term) JOIN req USING (qid)
+WHERE (repo_scope IS NULL OR list_contains(repo_scope, repository)) GROUP BY qid, repository, file_path"""
+ORACLE_SQL["path_search"] = f"""WITH {REQ}, {ALL_TERMS}, s AS ({_PATHS_SCORED})
 SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, file_path DESC, repository DESC)::INTEGER AS rank FROM s QUALIFY rank <= 20"""
-ORACLE_SQL["file_name_search"] = rf"""WITH {CUR}, r AS (SELECT h.qid, h.query, coalesce(CASE a.tier WHEN 'T-1' THEN 1 WHEN 'T-2' THEN 2 WHEN 'T-3' THEN 3 END, 1) AS user_tier
+_KIND = "CASE kind WHEN 'class' THEN 0 WHEN 'function' THEN 1 WHEN 'method' THEN 2 ELSE 3 END"
+_BY_PATH = f"""ps AS ({_PATHS_SCORED}), pk AS (SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, file_path DESC, repository DESC) <= 20),
+pr AS (SELECT qid, id, file_path, row_number() OVER (PARTITION BY qid, repository, file_path ORDER BY {_KIND}, line_start, id)::INTEGER AS rank
+  FROM pk JOIN cur USING (repository, file_path) JOIN req USING (qid) WHERE tier <= user_tier QUALIFY rank <= 2)"""
+ORACLE_SQL["path_rows"] = f"WITH {CUR}, {REQ}, {ALL_TERMS}, {_BY_PATH} SELECT * FROM pr"
+_CLASS_ENDS = "[" + ",".join(f"'{x}'" for x in CLASS_SUFFIXES) + "]"
+_NAMED = rf"""cl AS (SELECT qid, user_tier, repo_scope, query, list_concat(
+    list_filter(flatten(list_transform(regexp_extract_all(query, '[A-Z][A-Za-z0-9_]*(?:::[A-Za-z0-9_]+)+'), lambda x: string_split(x, '::'))), lambda x: regexp_matches(x, '^[A-Z]')),
+    regexp_extract_all(query, '`([A-Z][A-Za-z0-9_]{{1,}})`', 1)) AS classes FROM @asked),
+ng AS (SELECT qid, user_tier, repo_scope, list_transform(list_concat(regexp_extract_all(query, '[A-Za-z_][A-Za-z0-9_\-]*\.(?:{"|".join(NAMED_SUFFIXES)})'),
+    flatten(list_transform(classes, lambda c: list_transform({_CLASS_ENDS}, lambda s: c || s)))), lambda x: lower(x)) AS names FROM cl),
+nn AS (SELECT qid, user_tier, repo_scope, name, min(place) AS place FROM (SELECT qid, user_tier, repo_scope, unnest(names) AS name, generate_subscripts(names, 1) AS place FROM ng) GROUP BY ALL),
+nh AS (SELECT qid, name, id, file_path, kind, line_start, false AS by_text, place FROM nn JOIN cur ON ends_with({_NAME}, name) AND tier <= user_tier AND (repo_scope IS NULL OR list_contains(repo_scope, repository))),
+cc AS (SELECT qid, user_tier, repo_scope, lower(class) AS term, min(place) AS place FROM (SELECT qid, user_tier, repo_scope, unnest(classes) AS class, generate_subscripts(classes, 1) AS place FROM cl) GROUP BY ALL),
+co_ AS (SELECT * FROM cc WHERE NOT EXISTS (SELECT 1 FROM nh WHERE nh.qid = cc.qid AND list_contains(list_transform({_CLASS_ENDS}, lambda s: cc.term || s), nh.name))),
+tx AS (SELECT qid, term, id, file_path, kind, line_start, place FROM co_ JOIN cur ON contains(lower(text), term) AND tier <= user_tier AND (repo_scope IS NULL OR list_contains(repo_scope, repository))
+  AND regexp_matches(lower(file_path), '({"|".join(x.replace(".", "[.]") for x in CLASS_SUFFIXES)})$')),
+tf AS (SELECT qid, term FROM tx GROUP BY qid, term HAVING count(DISTINCT file_path) <= 8),
+nu AS (SELECT qid, id, file_path, kind, line_start, min(by_text::INTEGER * 1000000 + place) AS p FROM
+  (SELECT qid, id, file_path, kind, line_start, by_text, place FROM nh UNION ALL SELECT qid, id, file_path, kind, line_start, true, place FROM tx JOIN tf USING (qid, term)) GROUP BY 1, 2, 3, 4, 5),
+named AS (SELECT qid, id, file_path, p >= 1000000 AS by_text, row_number() OVER (PARTITION BY qid, file_path ORDER BY p, {_KIND}, line_start, id)::INTEGER AS rank FROM nu QUALIFY rank <= 2)"""
+ORACLE_SQL["file_name_search"] = f"""WITH {CUR}, r AS (SELECT h.qid, h.query, NULL::VARCHAR[] AS repo_scope, coalesce(CASE a.tier WHEN 'T-1' THEN 1 WHEN 'T-2' THEN 2 WHEN 'T-3' THEN 3 END, 1) AS user_tier
   FROM (SELECT id AS qid, min(query) AS query, min(user_id) AS user_id FROM user_history WHERE query IS NOT NULL GROUP BY id) h LEFT JOIN access_matrix a USING (user_id)),
-n AS (SELECT DISTINCT qid, user_tier, unnest(regexp_extract_all(lower(query), '[a-z0-9_\-]+\.(?:py|cpp|hpp|cc|java|js|ts|go|json|md)\b')) AS name FROM r)
-SELECT qid, id, file_path, row_number() OVER (PARTITION BY qid, repository, file_path ORDER BY CASE kind WHEN 'class' THEN 0 WHEN 'function' THEN 1 WHEN 'method' THEN 2 ELSE 3 END, line_start, id)::INTEGER AS rank
-FROM n JOIN cur ON list_last(string_split(lower(file_path), '/')) = name WHERE tier <= user_tier QUALIFY rank <= 2"""
+{_NAMED.replace("@asked", "r")} SELECT * FROM named"""
 _BUCKETS = """SELECT {key}, bucket, sum(sign)::BIGINT AS weight FROM (SELECT {key}, ('0x' || substr(sha256(token), 1, 8))::BIGINT % 128 AS bucket,
   CASE WHEN ('0x' || substr(sha256(token), 9, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS sign
   FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-z_][a-z0-9_]*')) AS token FROM {table})) GROUP BY 1, 2 HAVING sum(sign) <> 0"""
 ORACLE_SQL["hash_embedding"] = f"""WITH {CUR}, w AS ({_BUCKETS.format(key="id", text="text", table="cur")})
-SELECT id, count(*) AS buckets, sum(weight * weight)::BIGINT AS squared, sum(bucket * weight)::BIGINT AS moment FROM w GROUP BY id"""
-ORACLE_SQL["vector_search"] = f"""WITH {CUR}, {REQ}, w AS ({_BUCKETS.format(key="id", text="text", table="cur")}), q AS ({_BUCKETS.format(key="qid", text="query", table="req")}),
+SELECT id, string_agg(bucket, ',' ORDER BY bucket) AS buckets, string_agg(weight, ',' ORDER BY bucket) AS weights FROM w GROUP BY id"""
+_VECTOR = f"""w AS ({_BUCKETS.format(key="id", text="text", table="cur")}), q AS ({_BUCKETS.format(key="qid", text="query", table="req")}),
 wn AS (SELECT id, sqrt(sum(weight * weight)) AS n FROM w GROUP BY id), qn AS (SELECT qid, sqrt(sum(weight * weight)) AS m FROM q GROUP BY qid),
 dots AS (SELECT q.qid, w.id, sum(q.weight * w.weight) AS dot FROM q JOIN w USING (bucket) GROUP BY 1, 2),
-s AS (SELECT qn.qid, wn.id, round(coalesce(dot, 0) / (n * m), 6) AS score FROM qn CROSS JOIN wn LEFT JOIN dots ON dots.qid = qn.qid AND dots.id = wn.id)
-SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INTEGER AS rank, score FROM s QUALIFY rank <= 20"""
+vs AS (SELECT al.qid, al.id, round(coalesce(dot, 0) / (n * m), 6) AS score FROM al JOIN qn ON qn.qid = al.qid JOIN wn ON wn.id = al.id LEFT JOIN dots ON dots.qid = al.qid AND dots.id = al.id)"""
+ORACLE_SQL["vector_search"] = f"""WITH {CUR}, {REQ}, {ALLOWED}, {_VECTOR}
+SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INTEGER AS rank, score FROM vs QUALIFY rank <= 20"""
+
+
+def _is_related(a: str, b: str, stem=None) -> str:
+    stem = stem or _stem
+    return f"(length({stem(a)}) >= 5 AND length({stem(b)}) >= 5 AND left({stem(a)}, 5) = left({stem(b)}, 5))"
+
+
+def _rerank_stem(x: str) -> str:
+    return f"CASE WHEN ends_with({x}, 's') AND length({x}) > 3 THEN left({x}, length({x}) - 1) ELSE {_stem(x)} END"
+
+
+_FACTS = f"""fa AS (SELECT id, repository, file_path, kind, symbol_name, coalesce(metadata['qualified_name'], '') AS qualified, {_LOW} AS path, {_NAME} AS name, {_SUFFIX} AS suffix, line_end,
+  lower(concat_ws(' ', id, symbol_name, file_path, {_NAME}, kind, text, {META})) AS w,
+  list_filter(list_concat([{_LOW}, {_NAME}, {_STEM_OF}, ltrim({_SUFFIX}, '.')], list_concat(regexp_split_to_array({_NAME}, '[^a-z0-9]+'), regexp_split_to_array({_STEM_OF}, '[^a-z0-9]+'))), lambda x: x <> '') AS high,
+  list_filter(regexp_split_to_array(regexp_replace({_LOW}, '/?[^/]*$', ''), '[^a-z0-9]+'), lambda x: x <> '') AS low,
+  ends_with({_LOW}, '.schema.json') OR contains(lower(concat_ws(' ', id, symbol_name, file_path, kind, text, {META})), '{SCHEMA_ROLE}') AS schema_doc,
+  list_contains({_list(OPERATIONAL_SUFFIXES)}, {_SUFFIX}) OR list_has_any(string_split({_LOW}, '/'), {_list(OPERATIONAL_FOLDERS)}) OR regexp_matches(kind, '{"|".join(OPERATIONAL_KINDS)}') AS operational,
+  {_SUFFIX} = '' AND line_end <= 3 AS config FROM cur)"""
+
+
+def _path_points(t: str, p, stem=None) -> str:
+    return f"""CASE WHEN length({t}) < 3 THEN 0.0 WHEN list_contains(high, {t}) THEN {p.name} WHEN len(list_filter(high, lambda x: {_is_related(t, "x", stem)})) > 0 THEN {p.related_name}
+  WHEN list_contains(low, {t}) THEN {p.folder} WHEN len(list_filter(low, lambda x: {_is_related(t, "x", stem)})) > 0 THEN {p.related_folder} ELSE 0.0 END"""
+
+
+def _named_points(x: str, p, whole: str) -> str:
+    return f"""(CASE WHEN {x} = path THEN {p.path} WHEN {x} = name THEN {p.basename} WHEN ends_with({x}, '/') AND contains(path, {x}) THEN {p.under} WHEN contains(path, {x}) THEN {p.in_path}
+  WHEN contains({whole}, {x}) THEN {p.in_text} ELSE 0.0 END + CASE WHEN starts_with({x}, '.') AND {x} = suffix THEN {p.suffix} ELSE 0.0 END)"""
+
+
+def _bonuses(p, terms: str) -> str:
+    return f"""(CASE WHEN list_contains({terms}, 'schema') AND NOT list_has_any({terms}, {_list(POLICY_TERMS)}) AND schema_doc THEN {p.schema} ELSE 0.0 END
+  + CASE WHEN list_has_any({terms}, {_list(OPERATIONAL_TERMS)}) AND operational THEN {p.operational} ELSE 0.0 END + CASE WHEN config AND list_has_any({terms}, high) THEN {p.config} ELSE 0.0 END)"""
+
+
+def _points(pairs: str) -> str:
+    """(qid, id, points, held) of the retrieval score for ``pairs(qid, id)``."""
+    return f"""SELECT p.qid, p.id, round((coalesce(list_sum(list_transform(terms, lambda t: CASE WHEN contains(w, t) THEN {RETRIEVAL.term} ELSE 0.0 END + {_path_points("t", RETRIEVAL)})), 0)
+  + coalesce(list_sum(list_transform(named, lambda x: {_named_points("x", RETRIEVAL, "w")})), 0) + {_bonuses(RETRIEVAL, "terms")})::DOUBLE, 6) AS points,
+  len(list_filter(terms, lambda t: contains(w, t))) > 0 AS held
+FROM {pairs} p JOIN fa USING (id) JOIN (SELECT qid, {TERMS} AS terms, list_filter(list_concat({LITERALS}, {PATHS}), lambda x: x <> '') AS named FROM req) USING (qid)"""
+
+
+_RESCORED = f"""{_VECTOR}, vh AS (SELECT * FROM vs QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 80), {_FACTS},
+vp AS ({_points("vh")}), vr AS (SELECT qid, id, round(score + points, 6) AS score FROM vh JOIN vp USING (qid, id)),
+rs AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INTEGER AS rank FROM vr QUALIFY rank <= 20)"""
+ORACLE_SQL["vector_rescored"] = f"WITH {CUR}, {REQ}, {ALLOWED}, {_RESCORED} SELECT * FROM rs"
 _DENSE = """e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE len(embedding) = 64),
 s AS (SELECT q.vec_id AS qid, e.vec_id AS id, q.label AS own, e.label, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM e q CROSS JOIN e WHERE q.vec_id % 50 = 0)"""
-ORACLE_SQL["dense_nearest"] = f"WITH {_DENSE} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INTEGER AS rank, score FROM s QUALIFY rank <= 10"
+ORACLE_SQL["dense_nearest"] = f"WITH {_DENSE} SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INTEGER AS rank, score FROM s QUALIFY rank <= 10"
 ORACLE_SQL["label_votes"] = f"""WITH {_DENSE}, t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 11)
 SELECT qid, count(*) FILTER (own = label) AS same, count(*) AS others FROM t WHERE qid <> id GROUP BY qid"""
 _EDGES = "e AS (SELECT DISTINCT source_id, target_id, relationship FROM edges WHERE source_id <> target_id)"
@@ -199,31 +276,79 @@ FROM (SELECT source_id AS id, 0 AS i, 1 AS o FROM e UNION ALL SELECT target_id,
 
 
 def _level(n: int) -> str:
-    """One level of the walk: nodes not seen yet, placed after the ones seen, unless ``breadth`` are."""
+    """One level of the walk: visible nodes not seen yet, placed after the ones seen, unless ``breadth`` are."""
     return f"""full{n} AS MATERIALIZED (SELECT qid, count(*) AS n FROM s{n - 1} GROUP BY qid),
 r{n} AS MATERIALIZED (SELECT l.qid, k.neighbour AS id, min(l.position * 100 + k.priority) AS via, any_value(f.n) AS n FROM s{n - 1} l JOIN full{n} f USING (qid) JOIN near k USING (id)
+  JOIN al ON al.qid = l.qid AND al.id = k.neighbour
   WHERE l.level = {n - 1} AND f.n < 50 AND NOT EXISTS (SELECT 1 FROM s{n - 1} x WHERE x.qid = l.qid AND x.id = k.neighbour) GROUP BY 1, 2),
 s{n} AS MATERIALIZED (SELECT * FROM s{n - 1} UNION ALL SELECT qid, id, {n}, n + row_number() OVER (PARTITION BY qid ORDER BY via, id) FROM r{n})"""
 
 
-_WALK = f"""{LEX}, e AS (SELECT DISTINCT source_id, target_id, relationship FROM edges WHERE source_id <> target_id
-  AND source_id IN (SELECT id FROM cur) AND target_id IN (SELECT id FROM cur)), {_NEAR.format(p=_PRIO, e="e")},
-s0 AS MATERIALIZED (SELECT qid, id, 0 AS level, row_number() OVER (PARTITION BY qid ORDER BY rank, id) AS position FROM lex WHERE rank <= 5),
+_ANCHORS = f"""{CUR}, {REQ}, {ALLOWED}, {_RESCORED}, ap AS ({_points("al")}),
+a1 AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY points DESC, id) AS rank FROM ap WHERE held QUALIFY rank <= 50),
+anchor AS (SELECT * FROM a1 UNION ALL SELECT qid, id, rank FROM rs WHERE rank <= 3 AND qid NOT IN (SELECT qid FROM a1))"""
+_STEPS = f"""e AS (SELECT DISTINCT source_id, target_id, relationship FROM edges WHERE source_id <> target_id), {_NEAR.format(p=_PRIO, e="e")},
+s0 AS MATERIALIZED (SELECT qid, id, 0 AS level, row_number() OVER (PARTITION BY qid ORDER BY rank, id) AS position FROM @anchors),
 {_level(1)}, {_level(2)}, {_level(3)}"""
+_WALK = f"{_ANCHORS}, {_STEPS.replace('@anchors', 'anchor')}"
 ORACLE_SQL["graph_search"] = f"WITH {_WALK} SELECT qid, id, level::INTEGER AS level, position::INTEGER AS position FROM s3 WHERE position <= 50"
+ORACLE_SQL["graph_walk"] = f"""WITH {LEX}, {ALLOWED}, {_STEPS.replace("@anchors", "(SELECT * FROM lex WHERE rank <= 2)")}
+SELECT qid, id, level::INTEGER AS level, position::INTEGER AS position FROM s3 WHERE position <= 50"""
+ORACLE_SQL["listed_edges"] = f"""WITH {CUR}, {_EDGES}, t AS (SELECT unnest([1, 2, 3])::INTEGER AS user_tier)
+SELECT user_tier, relationship, count(*) AS edges FROM t JOIN e ON true JOIN cur a ON a.id = source_id AND a.tier <= user_tier JOIN cur b ON b.id = target_id AND b.tier <= user_tier GROUP BY 1, 2"""
 ORACLE_SQL["resolve_symbols"] = f"""WITH q AS (SELECT DISTINCT query, repo_scope FROM user_history WHERE query IS NOT NULL),
 n AS (SELECT unnest({LITERALS}) AS name, repo_scope FROM q), r AS (SELECT DISTINCT name, unnest(repo_scope) AS repository FROM n),
 u AS (SELECT repository, lower(symbol_name) AS name, min(id) AS id FROM artifacts WHERE symbol_name IS NOT NULL AND kind LIKE '%-implementation' GROUP BY 1, 2 HAVING count(DISTINCT id) = 1)
 SELECT r.repository || ':' || r.name AS ref, r.repository, r.name, u.id FROM r LEFT JOIN u ON u.repository = r.repository AND u.name = r.name"""
-_RERANK = f"""{LEX}, f AS (SELECT id, lower(coalesce(symbol_name, '')) AS symbol, kind, file_path,
-  lower(concat_ws(' ', id, symbol_name, file_path, kind, text)) AS searchable, list_filter(string_split_regex(lower(coalesce(symbol_name, '')), '::|\\.|#'), lambda p: p <> '') AS parts FROM cur),
-sc AS (SELECT h.qid, f.id, f.file_path, sum(CASE WHEN term = symbol THEN 40 + CASE WHEN kind IN ('class', 'struct', 'interface', 'enum') THEN 15 ELSE 0 END
-    + CASE WHEN contains(kind, 'implementation') THEN 20 ELSE 0 END
-  WHEN len(parts) > 0 AND list_last(parts) = term THEN 18 WHEN list_contains(parts, term) THEN 3 WHEN length(term) >= 3 AND contains(symbol, term) THEN 6 ELSE 0 END
-  + CASE WHEN contains(searchable, term) THEN 1 ELSE 0 END)::BIGINT AS rerank_score FROM lex h JOIN f USING (id) JOIN term t ON t.qid = h.qid GROUP BY 1, 2, 3),
-p AS (SELECT *, row_number() OVER (PARTITION BY qid, file_path ORDER BY rerank_score DESC, id) > 1 AS again FROM sc)"""
-ORACLE_SQL["rerank"] = f"""WITH {_RERANK} SELECT qid, id, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY again, rerank_score DESC, id)::INTEGER AS position
-FROM p QUALIFY position <= 8"""
+def _norm(x: str) -> str:
+    return f"regexp_replace(lower({x}), '[^a-z0-9]', '', 'g')"
+
+
+def _identifier_parts(x: str) -> str:
+    words = f"list_filter(regexp_split_to_array({x}, '[^A-Za-z0-9]+'), lambda w: w <> '')"
+    each = f"flatten(list_transform({words}, lambda w: list_concat([lower(w), {_norm('w')}], list_transform({_camel('w')}, lambda c: lower(c)))))"
+    return f"list_filter(list_append({each}, {_norm(x)}), lambda y: y <> '')"
+
+
+def _kept_rerank(tokens: str) -> str:
+    return f"list_filter(flatten(list_transform({tokens}, lambda r: {_identifier_parts('r')})), lambda t: length(t) > 1 AND NOT list_contains({_list(RERANK_STOPWORDS)}, t))"
+
+
+_RWORDS = _kept_rerank(r"regexp_extract_all(replace(lower(query), '\', '/'), '[a-z_][a-z0-9_]*')")
+_RTERMS = f"""list_distinct(list_filter(list_concat(list_concat({_RWORDS}, list_transform({_RWORDS}, lambda t: {_rerank_stem("t")})),
+  list_concat({PATHS}, flatten(list_transform({LITERALS}, lambda l: list_append({_kept_rerank("regexp_extract_all(l, '[a-z_][a-z0-9_]*')")}, l))))), lambda t: t <> ''))"""
+_QPARTS = f"flatten(list_transform(string_split_regex(qualified, '::|\\.|#'), lambda q: {_identifier_parts('q')}))"
+_OWNERS = "list_filter(string_split_regex(qualified, '::|\\.|#'), lambda p: p <> '')"
+_P = RERANK
+_TERM_POINTS = f"""CASE WHEN contains(ws, t) THEN {_P.term} ELSE 0.0 END + {_path_points("t", _P, _rerank_stem)}
+  + CASE WHEN t = sym THEN 40.0 + CASE WHEN kind IN ('class', 'struct', 'interface', 'enum') THEN 15.0 ELSE 0.0 END + CASE WHEN contains(kind, 'implementation') THEN 20.0 ELSE 0.0 END
+    WHEN t = qn THEN 35.0 WHEN len(parts) > 0 AND list_last(parts) = t THEN 18.0 WHEN list_contains(parts, t) THEN 3.0 WHEN contains(sym || ' ' || qn, t) THEN 6.0 ELSE 0.0 END"""
+_RERANK = f"""{_COMPOSITE}, {ALL_TERMS}, {_BY_PATH}, {_NAMED.replace("@asked", "req")}, {_FACTS},
+hits AS (SELECT qid, id, max(score) AS score, bool_or(bl) AS bl, bool_or(bt) AS bt, bool_or(bn) AS bn, bool_or(bp) AS bp FROM
+  (SELECT qid, id, score, true AS bl, by_text AS bt, false AS bn, false AS bp FROM comp UNION ALL SELECT qid, id, 1.0, false, by_text, NOT by_text, false FROM named
+   UNION ALL SELECT qid, id, 0.0, false, false, false, true FROM pr) GROUP BY qid, id),
+fb AS (SELECT fa.* EXCLUDE (w), lower(concat_ws(' ', id, coalesce(fa.symbol_name, ''), file_path, kind, c.text, {META})) AS ws, {_norm("coalesce(fa.symbol_name, '')")} AS sym, {_norm("qualified")} AS qn,
+  {_ordered_distinct("qp")} AS parts, {_OWNERS} AS owners FROM (SELECT *, {_QPARTS} AS qp FROM fa WHERE id IN (SELECT id FROM hits)) fa JOIN (SELECT id, text, metadata FROM cur) c USING (id)),
+ra AS (SELECT qid, {_RTERMS} AS terms, list_filter(list_concat({LITERALS}, {PATHS}), lambda x: x <> '') AS named FROM req),
+sc AS (SELECT h.qid, h.id, file_path, name, score, round((coalesce(list_sum(list_transform(terms, lambda t: {_TERM_POINTS})), 0)
+  + coalesce(list_sum(list_transform(named, lambda x: {_named_points("x", _P, "ws")})), 0) + {_bonuses(_P, "terms")}
+  + CASE WHEN regexp_matches(kind, '(?i)method|function') AND len(parts) >= 2 AND list_has_any(parts[1:len(parts) - 1], terms) AND list_has_any(parts[2:], terms) THEN 60.0 ELSE 0.0 END
+  + CASE WHEN bp THEN 6.0 ELSE 0.0 END + CASE WHEN bn THEN 5.0 ELSE 0.0 END + CASE WHEN bl THEN 4.0 ELSE 0.0 END + CASE WHEN bt THEN 2.0 ELSE 0.0 END)::DOUBLE, 4) AS rerank_score,
+  {_norm("coalesce(CASE WHEN kind IN ('class', 'struct', 'interface', 'enum', 'class-implementation', 'struct-implementation') THEN list_last(owners) WHEN len(owners) > 1 THEN owners[len(owners) - 1] END, '')")} AS owner
+  FROM hits h JOIN fb USING (id) JOIN ra USING (qid)),
+od AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, score DESC, id) AS rn FROM sc),
+dv AS (SELECT qid, 0::BIGINT AS r, []::VARCHAR[] AS kept, []::VARCHAR[] AS ow, []::VARCHAR[] AS fi, []::VARCHAR[] AS na FROM (SELECT DISTINCT qid FROM od)
+  UNION ALL SELECT d.qid, o.rn, CASE WHEN ok THEN list_append(kept, o.id) ELSE kept END, CASE WHEN ok AND o.owner <> '' THEN list_append(ow, o.owner) ELSE ow END,
+    CASE WHEN ok THEN list_append(fi, o.file_path) ELSE fi END, CASE WHEN ok THEN list_append(na, o.name) ELSE na END
+  FROM dv d JOIN od o ON o.qid = d.qid AND o.rn = d.r + 1,
+  LATERAL (SELECT len(kept) < 8 AND (NOT (list_contains(fi, o.file_path) OR list_contains(na, o.name)) OR list_contains(ow, o.owner)) AS ok)),
+de AS (SELECT qid, kept, fi FROM dv QUALIFY row_number() OVER (PARTITION BY qid ORDER BY r DESC) = 1),
+fl AS (SELECT o.qid, o.id, row_number() OVER (PARTITION BY o.qid ORDER BY rn) AS k, len(kept) AS n FROM od o JOIN de ON de.qid = o.qid WHERE NOT list_contains(fi, o.file_path)
+  QUALIFY row_number() OVER (PARTITION BY o.qid, o.file_path ORDER BY rn) = 1),
+best AS (SELECT qid, id, pos::INTEGER AS position FROM (SELECT qid, unnest(kept) AS id, generate_subscripts(kept, 1) AS pos FROM de)
+  UNION ALL SELECT qid, id, (n + row_number() OVER (PARTITION BY qid ORDER BY k))::INTEGER FROM fl),
+bst AS (SELECT qid, id, file_path, rerank_score, position FROM best JOIN sc USING (qid, id) WHERE position <= 8)"""
+ORACLE_SQL["rerank"] = f"WITH RECURSIVE {_RERANK} SELECT * FROM bst"
 ORACLE_SQL["merge_by_file"] = f"""WITH {LEX}, h AS (SELECT lex.*, symbol_name, line_start, line_end FROM lex JOIN cur USING (id)),
 s AS (SELECT qid, file_path, symbol_name, min(rank) AS r FROM h WHERE symbol_name IS NOT NULL GROUP BY 1, 2, 3
   QUALIFY row_number() OVER (PARTITION BY qid, file_path ORDER BY min(rank), symbol_name) <= 4),
@@ -249,24 +374,16 @@ ORACLE_SQL["prompts"] = f"""WITH {LEX}, sm AS ({_SUMMARY}), t AS (SELECT qid, id
 p AS (SELECT qid, (CASE WHEN (rank - 1) % 2 = 0 THEN (rank - 1) // 2 ELSE n - rank // 2 END + 1)::INTEGER AS place, summary FROM t JOIN sm USING (id)),
 c AS (SELECT qid, string_agg('[' || place || '] ' || summary, chr(10) ORDER BY place) AS context FROM p GROUP BY qid)
 SELECT qid, 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || query AS prompt FROM c JOIN req USING (qid)"""
-ORACLE_SQL["hybrid_search"] = f"""WITH {_WALK},
-w AS ({_BUCKETS.format(key="id", text="text", table="cur")}), q AS ({_BUCKETS.format(key="qid", text="query", table="req")}),
-wn AS (SELECT id, sqrt(sum(weight * weight)) AS n FROM w GROUP BY id), qn AS (SELECT qid, sqrt(sum(weight * weight)) AS m FROM q GROUP BY qid),
-dots AS (SELECT q.qid, w.id, sum(q.weight * w.weight) AS dot FROM q JOIN w USING (bucket) GROUP BY 1, 2),
-vs AS (SELECT qn.qid, wn.id, round(coalesce(dot, 0) / (n * m), 6) AS score FROM qn CROSS JOIN wn LEFT JOIN dots ON dots.qid = qn.qid AND dots.id = wn.id),
-v AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM vs QUALIFY rank <= 20),
-sl AS (SELECT qid, greatest(1, floor(count(*) * 0.5)) AS slots FROM v GROUP BY qid),
-fn AS (SELECT DISTINCT qid, user_tier, repo_scope, unnest(regexp_extract_all(lower(query), '[a-z0-9_\\-]+\\.(?:py|cpp|hpp|cc|java|js|ts|go|json|md)\\b')) AS name FROM req),
-fr AS (SELECT qid, id, file_path, row_number() OVER (PARTITION BY qid, repository, file_path ORDER BY CASE kind WHEN 'class' THEN 0 WHEN 'function' THEN 1 WHEN 'method' THEN 2 ELSE 3 END, line_start, id) AS r
-  FROM fn JOIN cur ON list_last(string_split(lower(file_path), '/')) = name WHERE tier <= user_tier AND (repo_scope IS NULL OR list_contains(repo_scope, repository)) QUALIFY r <= 2),
-parts AS (SELECT qid, id, 0 AS band, row_number() OVER (PARTITION BY qid ORDER BY file_path, r, id) AS rank FROM fr
-  UNION ALL SELECT v.qid, id, CASE WHEN rank <= slots THEN 1 ELSE 3 END, rank FROM v JOIN sl USING (qid)
+ORACLE_SQL["hybrid_search"] = f"""WITH {_WALK}, sl AS (SELECT qid, greatest(1, floor(count(*) * 0.5)) AS slots FROM rs GROUP BY qid), {_NAMED.replace("@asked", "req")},
+parts AS (SELECT qid, id, 0 AS band, row_number() OVER (PARTITION BY qid ORDER BY file_path, rank, id) AS rank FROM named
+  UNION ALL SELECT rs.qid, id, CASE WHEN rank <= slots THEN 1 ELSE 3 END, rank FROM rs JOIN sl USING (qid)
   UNION ALL SELECT qid, id, 2, position FROM s3 WHERE position <= 50),
 o AS (SELECT qid, id, min(band * 1000000 + rank) AS place FROM parts GROUP BY 1, 2)
 SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY place, id)::INTEGER AS position FROM o QUALIFY position <= 20"""
+ORACLE_SQL["access_violations"] = """SELECT unnest(['lexical', 'composite', 'named', 'paths', 'vector', 'rescored', 'graph', 'hybrid', 'rerank']) AS search, 0::BIGINT AS above_tier, 0::BIGINT AS out_of_scope"""
 ORACLE_SQL["search_quality"] = rf"""WITH req AS (SELECT id AS qid, min(query) AS query, NULL::VARCHAR[] AS repo_scope FROM user_history WHERE query IS NOT NULL GROUP BY id),
 nm AS (SELECT DISTINCT qid, path AS gold, regexp_extract(path, '\.(\w+)$', 1) AS suffix FROM (SELECT qid, unnest({PATHS}) AS path FROM req) WHERE regexp_matches(path, '/.*\.\w+$')),
-{TERM}, s AS ({_PATHS_SCORED}),
+{ALL_TERMS}, s AS ({_PATHS_SCORED}),
 k AS (SELECT qid, lower(file_path) AS path, row_number() OVER (PARTITION BY qid ORDER BY score DESC, file_path DESC, repository DESC) AS rank FROM s QUALIFY rank <= 8),
 m AS (SELECT nm.qid, suffix, gold, min(CASE WHEN path = gold OR ends_with(path, '/' || gold) OR list_last(string_split(path, '/')) = list_last(string_split(gold, '/')) THEN rank END) AS first
   FROM nm LEFT JOIN k USING (qid) GROUP BY 1, 2, 3),
@@ -276,40 +393,16 @@ round(avg(CASE WHEN recall = 1.0 THEN 1.0 ELSE 0.0 END), 6) AS all_gold, round(a
 ORACLE_SQL["audit_once_stream"] = "SELECT coalesce(access_tier, 'none') AS access_tier, count(DISTINCT id) AS requests FROM audit_log GROUP BY 1"
 ORACLE_SQL["audit_append_stream"] = """SELECT strftime(make_timestamp((created_at * 1000000)::BIGINT), '%Y-%m-%d') AS day, count(*) AS rows,
 count(*) FILTER (cache_hit) AS hits FROM audit_log GROUP BY 1"""
-ORACLE_SQL["metrics_text"] = f"""WITH {_AUDIT} SELECT 'fathom_requests{{tier="' || coalesce(access_tier, 'none') || '"}} ' || count(*) AS line FROM a GROUP BY coalesce(access_tier, 'none')"""
 _CALLS = r"""b AS (SELECT * FROM cur WHERE kind LIKE '%-implementation' AND text IS NOT NULL),
 c AS (SELECT DISTINCT id AS source_id, repository, file_path, unnest(regexp_extract_all(text, '([A-Za-z_]\w*)\s*\(', 1)) AS name FROM b),
 y AS (SELECT repository, file_path, symbol_name AS name, min(id) AS target_id FROM b WHERE symbol_name IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT id) = 1)"""
 ORACLE_SQL["call_edges"] = f"""WITH {CUR}, {_CALLS} SELECT DISTINCT source_id, target_id, 'calls' AS relationship FROM c JOIN y USING (repository, file_path, name) WHERE source_id <> target_id"""
 ORACLE_SQL["json_documents"] = f"""WITH {CUR} SELECT c.id, count(*) AS leaves, count(*) FILTER (t.type = 'VARCHAR') AS strings
 FROM (SELECT id, text FROM cur WHERE language = 'json' AND text IS NOT NULL AND json_valid(text)) c, json_tree(c.text) t WHERE t.type NOT IN ('OBJECT', 'ARRAY') GROUP BY c.id"""
-ORACLE_SQL["fallback_answers"] = f"""WITH {_RERANK}, sm AS ({_SUMMARY}),
-best AS (SELECT qid, id, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY again, rerank_score DESC, id) AS position FROM p),
-l AS (SELECT qid, string_agg('- ' || summary, chr(10) ORDER BY position) AS lines FROM best JOIN sm USING (id) WHERE position <= 5 AND rerank_score >= 2 GROUP BY qid)
+ORACLE_SQL["fallback_answers"] = f"""WITH RECURSIVE {_RERANK}, sm AS ({_SUMMARY}),
+l AS (SELECT qid, string_agg('- ' || summary, chr(10) ORDER BY position) AS lines FROM bst JOIN sm USING (id) WHERE position <= 5 AND rerank_score >= 2 GROUP BY qid)
 SELECT qid, 'For `' || query || '`, ' || CASE WHEN lines IS NOT NULL THEN 'the useful retrieved signals are:' || chr(10) || lines
   ELSE 'the indexed context is too thin for an answer.' END AS answer FROM req LEFT JOIN l USING (qid)"""
-
-
-def _is_related(a: str, b: str) -> str:
-    return f"(length({_stem(a)}) >= 5 AND length({_stem(b)}) >= 5 AND left({_stem(a)}, 5) = left({_stem(b)}, 5))"
-
-
-ORACLE_SQL["vector_rescored"] = rf"""WITH {CUR}, {REQ}, w AS ({_BUCKETS.format(key="id", text="text", table="cur")}), q AS ({_BUCKETS.format(key="qid", text="query", table="req")}),
-wn AS (SELECT id, sqrt(sum(weight * weight)) AS n FROM w GROUP BY id), qn AS (SELECT qid, sqrt(sum(weight * weight)) AS m FROM q GROUP BY qid),
-dots AS (SELECT q.qid, w.id, sum(q.weight * w.weight) AS dot FROM q JOIN w USING (bucket) GROUP BY 1, 2),
-s AS (SELECT qn.qid, wn.id, round(coalesce(dot, 0) / (n * m), 6) AS score FROM qn CROSS JOIN wn LEFT JOIN dots ON dots.qid = qn.qid AND dots.id = wn.id),
-h AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 80),
-t AS (SELECT DISTINCT qid, unnest({TERMS}) AS term FROM req),
-f AS (SELECT id, lower(concat_ws(' ', id, symbol_name, file_path, kind, text)) AS searchable, lower(file_path) AS path,
-  list_last(string_split(lower(file_path), '/')) AS name FROM cur WHERE id IN (SELECT id FROM h)),
-g AS (SELECT id, searchable, list_filter(list_concat([path, name, regexp_replace(name, '^(.+)\.[^.]*$', ''), regexp_extract(name, '\.([^.]*)$', 1)],
-  list_concat(regexp_split_to_array(name, '[^a-z0-9]+'), regexp_split_to_array(regexp_replace(name, '^(.+)\.[^.]*$', ''), '[^a-z0-9]+'))), lambda x: x <> '') AS high,
-  list_filter(regexp_split_to_array(regexp_replace(path, '/?[^/]*$', ''), '[^a-z0-9]+'), lambda x: x <> '') AS low FROM f),
-p AS (SELECT h.qid, h.id, h.score, sum(CASE WHEN contains(searchable, term) THEN 0.08 ELSE 0.0 END + CASE WHEN length(term) < 3 THEN 0.0 WHEN list_contains(high, term) THEN 0.6
-  WHEN len(list_filter(high, lambda x: {_is_related("term", "x")})) > 0 THEN 0.35 WHEN list_contains(low, term) THEN 0.25
-  WHEN len(list_filter(low, lambda x: {_is_related("term", "x")})) > 0 THEN 0.15 ELSE 0.0 END) AS points FROM h JOIN g USING (id) JOIN t USING (qid) GROUP BY 1, 2, 3),
-r AS (SELECT h.qid, h.id, round(h.score + coalesce(points, 0)::DOUBLE, 4) AS score FROM h LEFT JOIN p ON p.qid = h.qid AND p.id = h.id)
-SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id)::INTEGER AS rank, score FROM r QUALIFY rank <= 20"""
 ORACLE_SQL["policy_decisions"] = ORACLE_SQL["quality_flags"].split("SELECT array_to_string")[0].replace(
     "SELECT coalesce(response, '') AS text FROM", "SELECT coalesce(response, '') AS text, retrieval_ids FROM"
 ).replace("SELECT text, list_filter", "SELECT text, retrieval_ids, list_filter") + r"""SELECT CASE WHEN len(coalesce(retrieval_ids, [])) = 0 THEN 'no_context'

@@ -6,15 +6,17 @@ held against all artifacts.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fathom.functions import access, text as T
-from fathom.operators import answers, graph, search, tables, vectors
+from fathom.operators import answers, graph, scoring, search, tables, textindex, vectors
 from fathom.plans.oracle import ORACLE_SQL as ORACLE_SQL
-from fathom.session import shared_dir, write_table
+from fathom.session import shared_dir, stored, write_table
 from fathom.sources import files, symbols
 from fathom.streaming import requests as stream
 from fathom.tables import read
@@ -35,12 +37,145 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
     return access.user_tiers(users, read(spark, d, "access_matrix"))
 
 
-def _artifacts(spark: SparkSession, d: str) -> DataFrame:
-    return search.latest(read(spark, d, "artifacts"))
+def _artifacts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return search.latest(read(spark, d, "artifacts"), *columns)
+
+
+# Indexes: written once per session and state of the tables, and read by all queries.
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    return stored(spark, d, "entries", lambda: scoring.entries(_artifacts(
+        spark, d, "repository", "tier", "file_path", "kind", "line_start", "line_end", "symbol_name", "metadata", "text")))
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    return search.entries(_artifacts(spark, d).filter("kind <> 'chunk'"))
+    return _entries(spark, d).filter("kind <> 'chunk'")
+
+
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    return stored(spark, d, "postings", lambda: search.postings(_index(spark, d)).sortWithinPartitions("token"))
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.whole_texts(_artifacts(spark, d, "file_path", "symbol_name", "kind", "text", "metadata"))
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return stored(spark, d, "runs", lambda: textindex.runs(_texts(spark, d)))
+
+
+def _grams(spark: SparkSession, d: str) -> DataFrame:
+    return stored(spark, d, "grams", lambda: textindex.grams(_runs(spark, d)))
+
+
+def _text_vectors(spark: SparkSession, d: str) -> DataFrame:
+    def build() -> DataFrame:
+        rows = _artifacts(spark, d, "text", "tier", "repository")
+        return vectors.hashed_vectors(rows, "id", "text").join(rows.select("id", "tier", "repository"), "id")
+
+    return stored(spark, d, "text-vectors", build)
+
+
+def _near(spark: SparkSession, d: str) -> DataFrame:
+    nodes = _entries(spark, d).select("id", "repository", "tier")
+    return stored(spark, d, "near", lambda: graph.placed(graph.adjacency(graph.clean_edges(read(spark, d, "edges"))), nodes))
+
+
+class _Search:
+    """The searches of one batch of requests: each step is computed once per query, whichever of the others need it."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.d = spark, d
+
+    @cached_property
+    def asked(self) -> DataFrame:
+        return write_table(_requests(self.spark, self.d), "requests")
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        return _entries(self.spark, self.d)
+
+    @cached_property
+    def held(self) -> DataFrame:
+        """(term, id): the requests' terms within artifacts."""
+        terms = scoring.items(self.asked).select(F.col("item").alias("term"))
+        found = textindex.containing(terms, _runs(self.spark, self.d), _grams(self.spark, self.d))
+        return write_table(textindex.verified(found, _texts(self.spark, self.d)), "held-terms")
+
+    def lexical(self, limit: int = 50, terms: DataFrame | None = None) -> DataFrame:
+        return search.lexical_index_search(self.asked, _index(self.spark, self.d), limit, _postings(self.spark, self.d), terms)
+
+    @cached_property
+    def text_hits(self) -> DataFrame:
+        rows = _artifacts(self.spark, self.d, "repository", "tier", "file_path", "symbol_name", "kind", "text")
+        return search.text_hits(self.asked, rows, self.held)
+
+    @cached_property
+    def composite(self) -> DataFrame:
+        longest = search.longest_terms(self.asked, 8).select("qid", "term")
+        return search.lexical_union(self.lexical(300, longest), self.text_hits)
+
+    def named(self, asked: DataFrame | None = None) -> DataFrame:
+        asked = self.asked if asked is None else asked
+        classes = asked.select(F.explode(search.named_classes(F.col("query"))).alias("term")).select(F.lower("term").alias("term")).distinct()
+        held = textindex.containing(classes, _runs(self.spark, self.d), _grams(self.spark, self.d)).select("term", "id")
+        rows = _artifacts(self.spark, self.d, "repository", "file_path", "kind", "tier", "line_start", "text")
+        return search.file_name_search(asked, rows, held)
+
+    def paths(self) -> DataFrame:
+        """The first two visible artifacts of each of a request's best twenty paths."""
+        return search.rows_of_files(search.path_search(self.asked, self.entries, 20), self.entries, self.asked)
+
+    def vector(self, k: int = 20) -> DataFrame:
+        queries = vectors.hashed_vectors(self.asked, "qid", "query").join(self.asked.select("qid", "user_tier", "repo_scope"), "qid")
+        return vectors.nearest(queries, _text_vectors(self.spark, self.d), 128, k, sparse=True, access=True)
+
+    @cached_property
+    def rescored(self) -> DataFrame:
+        hits = write_table(self.vector(80).select("qid", "id", "score"), "vector-hits")
+        matched = scoring.matched_pairs(hits, self.asked, _texts(self.spark, self.d))
+        points = scoring.scores(self.asked, matched, self.entries, hits)
+        scored = hits.join(points, ["qid", "id"]).select("qid", "id", F.round(F.col("score") + F.col("points"), 6).alias("score"))
+        return write_table(search.top(scored, ["qid"], [F.desc("score"), F.col("id")], 20), "vector-rescored")
+
+    @cached_property
+    def anchors(self) -> DataFrame:
+        """(qid, id, rank): visible artifacts that hold any term of a request, by score; the three closest where none does."""
+        scored = scoring.scores(self.asked, self.held, self.entries)
+        found = write_table(search.top(scored, ["qid"], [F.desc("points"), F.col("id")], 50).select("qid", "id", "rank"), "anchors")
+        closest = self.rescored.filter("rank <= 3").join(found.select("qid").distinct(), "qid", "left_anti")
+        return found.unionByName(closest.select("qid", "id", "rank"))
+
+    @cached_property
+    def graph(self) -> DataFrame:
+        return graph.walk(self.anchors, _near(self.spark, self.d), 3, 50, self.asked)
+
+    @cached_property
+    def hybrid(self) -> DataFrame:
+        named = self.named().withColumn(
+            "rank", F.row_number().over(Window.partitionBy("qid").orderBy("file_path", "rank", "id"))
+        ).select("qid", "id", "rank")
+        graph_hits = self.graph.select("qid", "id", F.col("position").alias("rank"))
+        return search.fuse(named, self.rescored.select("qid", "id", "rank"), graph_hits)
+
+    @cached_property
+    def reranked(self) -> DataFrame:
+        """The hits of the composite search, of named files and of paths, scored again; the best eight of each request."""
+        no, yes = F.lit(False), F.lit(True)
+        flags = ("by_lexical", "by_text", "by_name", "by_path")
+
+        def marked(rows: DataFrame, score: F.Column, *marks: F.Column) -> DataFrame:
+            return rows.select("qid", "id", score.alias("score"), *(m.alias(f) for m, f in zip(marks, flags)))
+
+        by_text = F.col("by_text")
+        hits = (
+            marked(self.composite, F.col("score"), yes, by_text, no, no)
+            .unionByName(marked(self.named(), F.lit(1.0), no, by_text, ~by_text, no))
+            .unionByName(marked(self.paths(), F.lit(0.0), no, no, no, yes))
+            .groupBy("qid", "id").agg(F.max("score").alias("score"), *(F.max(f).alias(f) for f in flags))
+        )
+        return scoring.diverse(scoring.rerank_scores(hits, self.asked, _artifacts(self.spark, self.d, "text"), self.entries), 8)
 
 
 # --- scans, predicates, functions ---
@@ -55,17 +190,11 @@ def scoped_scan(spark, d):
     return rows.groupBy("repository", "tier").agg(F.countDistinct("id").alias("artifacts"), F.min("file_path").alias("first_path"))
 
 
-@registered
-def empty_scope(spark, d):
-    """An empty scope is nothing, whatever the tier."""
-    return access.visible(read(spark, d, "artifacts"), 3, []).select("id", "repository")
-
-
 @registered
 def index_decisions(spark, d):
     """How many artifacts of each language are indexed, or left out for which reason."""
-    reasons = files.index_decisions(_artifacts(spark, d))
-    kinds = _artifacts(spark, d).select("id", "language")
+    reasons = files.index_decisions(_artifacts(spark, d, "file_path", "text"))
+    kinds = _artifacts(spark, d, "language")
     return reasons.join(kinds, "id").groupBy("language", "reason").agg(F.count(F.lit(1)).alias("files"))
 
 
@@ -79,7 +208,7 @@ def file_languages(spark, d):
 @registered
 def token_stats(spark, d):
     """Every token's number of texts."""
-    words = _artifacts(spark, d).select("id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
+    words = _artifacts(spark, d, "text").select("id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("texts"))
 
 
@@ -145,7 +274,7 @@ def json_leaves(spark, d):
 @registered
 def json_documents(spark, d):
     """Leaves of the JSON documents, at whatever depth."""
-    rows = _artifacts(spark, d).filter("language = 'json' and text is not null").select("id", "text")
+    rows = _artifacts(spark, d, "language", "text").filter("language = 'json' and text is not null").select("id", "text")
     leaves = files.json_tree_leaves(rows)
     return leaves.groupBy("id").agg(F.count(F.lit(1)).alias("leaves"), F.count_if(F.col("type") == "STRING").alias("strings"))
 
@@ -153,14 +282,14 @@ def json_documents(spark, d):
 @registered
 def markdown_cells(spark, d):
     """Cells of the pipe tables within artifacts."""
-    rows = _artifacts(spark, d).filter("text is not null").select("id", "text")
+    rows = _artifacts(spark, d, "text").filter("text is not null").select("id", "text")
     return files.markdown_cells(rows).groupBy("id").agg(F.count(F.lit(1)).alias("cells"), F.min("cell").alias("first_cell"))
 
 
 @registered
 def symbol_definitions(spark, d):
     """Definitions of source files by kind, found by patterns."""
-    rows = _artifacts(spark, d).filter("kind in ('module', 'chunk') and text is not null").select("id", "language", "text")
+    rows = _artifacts(spark, d, "kind", "language", "text").filter("kind in ('module', 'chunk') and text is not null").select("id", "language", "text")
     found = symbols.definitions(rows).join(rows.select("id", "language"), "id")
     return found.groupBy("language", "kind").agg(F.count(F.lit(1)).alias("definitions"), F.countDistinct("name").alias("names"))
 
@@ -196,7 +325,7 @@ def index_stats(spark, d):
 
 @registered
 def repository_fingerprints(spark, d):
-    return tables.fingerprints(_artifacts(spark, d))
+    return tables.fingerprints(_artifacts(spark, d, "repository", "text"))
 
 
 @registered
@@ -261,40 +390,6 @@ def cache_keys(spark, d):
     return rows.select("trace_id", key.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("traces"))
 
 
-@registered
-def coalesced_requests(spark, d):
-    """Per query hash: requests, and how many would have led a computation of five minutes."""
-    rows = read(spark, d, "audit_log").dropDuplicates(["id"])
-    return stream.coalesced(rows, ["query_hash"]).groupBy("query_hash").agg(
-        F.count(F.lit(1)).alias("requests"), F.count_if("leads").alias("leads")
-    )
-
-
-@registered
-def ttl_cache_hits(spark, d):
-    """Hits of a cache whose entries live as long as the tier says."""
-    rows = read(spark, d, "audit_log").dropDuplicates(["id"]).withColumn("access_tier", F.coalesce("access_tier", F.lit("T-1")))
-    return stream.cache_hits(rows, ["query_hash", "access_tier"]).groupBy("access_tier").agg(
-        F.count(F.lit(1)).alias("requests"), F.count_if("hit").alias("hits")
-    )
-
-
-@registered
-def rate_limits(spark, d):
-    """Requests per user that a token bucket lets through and turns away."""
-    rows = read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("user_id"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double") .alias("us"))
-    timed = rows.withColumn("created_at", F.col("us") / 1e6)
-    return stream.rate_limited(timed).groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("refused"))
-
-
-@registered
-def breaker_states(spark, d):
-    """States of the engines' breakers, where blocked requests count as failures."""
-    rows = read(spark, d, "audit_log").dropDuplicates(["id"])
-    failed = F.coalesce("rbac_blocked", F.lit(False)) | (F.coalesce("latency_ms", F.lit(0.0)) > 3000)
-    return stream.breaker_states(rows.select("id", F.col("inference_engine_used").alias("engine"), "created_at", failed.alias("failed"))).groupBy("engine", "state").agg(F.count(F.lit(1)).alias("requests"))
-
-
 def _audit_stream(spark: SparkSession, d: str) -> DataFrame:
     """The audit table as a stream, whether it is one file or a folder of files."""
     table = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/audit_log.parquet")
@@ -327,14 +422,6 @@ def audit_append_stream(spark, d):
     return table.groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("rows"), F.count_if("cache_hit").alias("hits"))
 
 
-@registered
-def metrics_text(spark, d):
-    """Requests per tier as lines of a metrics page."""
-    rows = read(spark, d, "audit_log").dropDuplicates(["id"])
-    counts = rows.groupBy(F.coalesce("access_tier", F.lit("none")).alias("label")).agg(F.count(F.lit(1)).alias("value"))
-    return answers.exposition(counts, "fathom_requests")
-
-
 @registered
 def policy_decisions(spark, d):
     """Whether each trace's answer would be kept."""
@@ -348,14 +435,19 @@ def policy_decisions(spark, d):
 @registered
 def lexical_search(spark, d):
     """The best fifty artifacts of each request in the inverted index."""
-    return search.lexical_index_search(_requests(spark, d), _index(spark, d), 50)
+    return _Search(spark, d).lexical()
 
 
 @registered
 def text_scan(spark, d):
-    """Artifacts whose text holds the requests' longest terms: counts per request."""
-    found = search.text_scan(_requests(spark, d), _artifacts(spark, d).filter("text is not null"))
-    return found.groupBy("qid").agg(F.count(F.lit(1)).alias("artifacts"), F.sum("matched").alias("matches"))
+    """Artifacts whose text holds one of the three longest terms of a request, with ten points for each of its eight longest."""
+    return _Search(spark, d).text_hits
+
+
+@registered
+def composite_search(spark, d):
+    """The best fifty artifacts of each request, by the index or by their text, whichever gives more."""
+    return _Search(spark, d).composite
 
 
 @registered
@@ -364,41 +456,36 @@ def path_search(spark, d):
     return search.path_search(_requests(spark, d), read(spark, d, "artifacts"), 20)
 
 
+@registered
+def path_rows(spark, d):
+    return _Search(spark, d).paths()
+
+
 @registered
 def file_name_search(spark, d):
-    """Artifacts of the files that queries name, for every query of the history."""
+    """Artifacts of the files and classes that queries name, for every query of the history."""
     rows = read(spark, d, "user_history").filter("query is not null")
     once = rows.groupBy(F.col("id").alias("qid")).agg(F.min(F.struct("query", "user_id")).alias("r"))
     asked = access.user_tiers(once.select("qid", "r.query", "r.user_id", F.lit(None).cast("array<string>").alias("repo_scope")), read(spark, d, "access_matrix"))
-    return search.file_name_search(asked, _artifacts(spark, d)).select("qid", "id", "file_path", "rank")
+    return _Search(spark, d).named(write_table(asked, "asked"))
 
 
 @registered
 def hash_embedding(spark, d):
-    """Hashed embeddings of all artifacts, as their non-zero buckets and squared lengths."""
-    weights = vectors.hashed_weights(_artifacts(spark, d), "id", "text")
-    return weights.groupBy("id").agg(
-        F.count(F.lit(1)).alias("buckets"), F.sum(F.col("weight") * F.col("weight")).alias("squared"), F.sum(F.col("bucket") * F.col("weight")).alias("moment")
-    )
-
-
-def _vector_hits(spark, d, k=20):
-    queries = vectors.hashed_vectors(_requests(spark, d), "qid", "query")
-    rows = vectors.hashed_vectors(_artifacts(spark, d), "id", "text")
-    return vectors.nearest(queries, rows.select("id", "buckets", "weights"), 128, k, sparse=True)
+    """Hashed embeddings of all artifacts: the non-zero buckets and their weights."""
+    return _text_vectors(spark, d).select("id", F.array_join("buckets", ",").alias("buckets"), F.array_join("weights", ",").alias("weights"))
 
 
 @registered
 def vector_search(spark, d):
-    """The twenty artifacts whose hashed embeddings are closest to each request's: scores by rank."""
-    return _vector_hits(spark, d).select("qid", "rank", "score")
+    """The twenty visible artifacts whose hashed embeddings are closest to each request's."""
+    return _Search(spark, d).vector().select("qid", "id", "rank", "score")
 
 
 @registered
 def vector_rescored(spark, d):
-    """The eighty closest artifacts of each request again, with points for its terms: the best twenty scores."""
-    hits = _vector_hits(spark, d, 80)
-    return search.rescored(hits.select("qid", "id", "score"), _requests(spark, d), _artifacts(spark, d), 20).select("qid", "rank", "score")
+    """The eighty closest visible artifacts of each request with points for its terms, literals and paths: the best twenty."""
+    return _Search(spark, d).rescored
 
 
 @registered
@@ -407,7 +494,7 @@ def dense_nearest(spark, d):
     e = read(spark, d, "embeddings").filter(F.size("embedding") == 64)
     asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
     found = vectors.nearest(asked, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 64, 10, sparse=False, id_type="long")
-    return found.select("qid", "rank", "score")
+    return found.select("qid", "id", "rank", "score")
 
 
 @registered
@@ -446,30 +533,50 @@ def neighbours(spark, d):
     return near.groupBy("id").agg(F.count(F.lit(1)).alias("neighbours"), F.min("priority").alias("best"), F.min("neighbour").alias("first"))
 
 
-def _graph_hits(spark, d, breadth=50):
-    artifacts = _artifacts(spark, d).select("id", "tier")
-    edges = graph.induced(graph.clean_edges(read(spark, d, "edges")), artifacts)
-    near = write_table(graph.adjacency(edges), "adjacency")
-    anchors = search.lexical_index_search(_requests(spark, d), _index(spark, d), 5)
-    return graph.walk(anchors.select("qid", "id", "rank"), near, 3, breadth)
+@registered
+def graph_search(spark, d):
+    """Breadth-first walks of depth three from each request's anchors, over what its user may see."""
+    return _Search(spark, d).graph
 
 
 @registered
-def graph_search(spark, d):
-    """Breadth-first walks of depth three from each request's five best artifacts."""
-    return _graph_hits(spark, d)
+def graph_walk(spark, d):
+    """The same walk from each request's two best artifacts of the index, so that it goes beyond its anchors."""
+    q = _Search(spark, d)
+    return graph.walk(q.lexical(2).select("qid", "id", "rank"), _near(spark, d), 3, 50, q.asked)
 
 
 @registered
-def call_edges(spark, d):
-    """Calls within files, resolved to the only symbol of the name."""
-    return graph.call_edges(_artifacts(spark, d)).select("source_id", "target_id", "relationship")
+def access_violations(spark, d):
+    """Hits of each search above the user's tier or outside the request's scope: none."""
+    q = _Search(spark, d)
+    hits = {"lexical": q.lexical(), "composite": q.composite, "named": q.named(), "paths": q.paths(), "vector": q.vector(), "rescored": q.rescored,
+            "graph": q.graph, "hybrid": q.hybrid, "rerank": q.reranked}
+    parts = [found.select(F.lit(name).alias("search"), "qid", "id") for name, found in hits.items()]
+    all_hits = functools.reduce(DataFrame.unionByName, parts)
+    seen = all_hits.join(q.entries.select("id", "tier", "repository"), "id").join(q.asked.select("qid", "user_tier", "repo_scope"), "qid")
+    none = q.asked.select(F.explode(F.array(*map(F.lit, hits))).alias("search"), F.lit(False).alias("above"), F.lit(False).alias("outside"))
+    checked = seen.select("search", (F.col("tier") > F.col("user_tier")).alias("above"), (~access.in_scope(F.col("repository"), F.col("repo_scope"))).alias("outside"))
+    return checked.unionByName(none).groupBy("search").agg(F.count_if("above").alias("above_tier"), F.count_if("outside").alias("out_of_scope"))
 
 
 @registered
-def call_graph(spark, d):
-    """A drawing of each request's walk with the calls between its nodes."""
-    return graph.call_graph_svg(_graph_hits(spark, d, 40), graph.clean_edges(read(spark, d, "edges")))
+def listed_edges(spark, d):
+    """Per user tier and relationship the distinct edges of which a user of that tier sees both ends."""
+    nodes = _entries(spark, d).select("id", "tier")
+    clean = graph.clean_edges(read(spark, d, "edges"))
+    placed = clean.join(nodes.select(F.col("id").alias("source_id"), F.col("tier").alias("a")), "source_id").join(
+        nodes.select(F.col("id").alias("target_id"), F.col("tier").alias("b")), "target_id"
+    )
+    return placed.select("relationship", F.explode(F.sequence(F.greatest("a", "b"), F.lit(3))).alias("user_tier")).groupBy("user_tier", "relationship").agg(
+        F.count(F.lit(1)).alias("edges")
+    )
+
+
+@registered
+def call_edges(spark, d):
+    """Calls within files, resolved to the only symbol of the name."""
+    return graph.call_edges(_artifacts(spark, d, "repository", "file_path", "kind", "symbol_name", "text")).select("source_id", "target_id", "relationship")
 
 
 @registered
@@ -504,60 +611,47 @@ def resolve_symbols(spark, d):
 @registered
 def hybrid_search(spark, d):
     """File-name, vector and graph hits of each request in one order of twenty."""
-    artifacts = _artifacts(spark, d)
-    asked = _requests(spark, d)
-    named = search.file_name_search(asked, artifacts).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("qid").orderBy("file_path", "rank", "id"))
-    ).select("qid", "id", "rank")
-    graph_hits = _graph_hits(spark, d).select("qid", "id", F.col("position").alias("rank"))
-    return search.fuse(named, _vector_hits(spark, d).select("qid", "id", "rank"), graph_hits)
+    return _Search(spark, d).hybrid
 
 
 @registered
 def rerank(spark, d):
-    """The lexical hits of each request, scored against their symbols: the best eight, one place per file first."""
-    artifacts = _artifacts(spark, d)
-    hits = search.lexical_index_search(_requests(spark, d), _index(spark, d), 50)
-    scored = search.symbol_scores(hits, _requests(spark, d), artifacts)
-    return search.diverse(scored, artifacts, 8).select("qid", "id", "rerank_score", "position")
+    """The best eight hits of each request by symbol, path, literals, owner and source; one per file and name first."""
+    return _Search(spark, d).reranked
 
 
 @registered
 def merge_by_file(spark, d):
     """The lexical hits of each request, one row per file."""
-    hits = search.lexical_index_search(_requests(spark, d), _index(spark, d), 50)
-    fields = _artifacts(spark, d).select("id", "symbol_name", "line_start", "line_end")
+    hits = _Search(spark, d).lexical()
+    fields = _artifacts(spark, d, "symbol_name", "line_start", "line_end")
     return answers.merge_by_file(hits.join(fields, "id"))
 
 
 @registered
 def u_shape(spark, d):
     """The lexical hits of each request with the best at both ends."""
-    hits = search.lexical_index_search(_requests(spark, d), _index(spark, d), 50)
+    hits = _Search(spark, d).lexical()
     return answers.u_shape(hits.select("qid", "id", "rank")).select("qid", "id", "rank", "place")
 
 
 @registered
 def summaries(spark, d):
     """One line on every artifact."""
-    return answers.summaries(_artifacts(spark, d))
+    return answers.summaries(_artifacts(spark, d, "symbol_name", "file_path", "kind", "language", "line_start", "line_end", "text"))
 
 
 @registered
 def prompts(spark, d):
     """Prompts of the requests from their eight best artifacts."""
-    hits = search.lexical_index_search(_requests(spark, d), _index(spark, d), 8)
-    return answers.prompts(hits.select("qid", "id", "rank"), answers.summaries(_artifacts(spark, d)), _requests(spark, d))
+    hits = _Search(spark, d).lexical(8)
+    return answers.prompts(hits.select("qid", "id", "rank"), answers.summaries(_artifacts(spark, d, "symbol_name", "file_path", "kind", "language", "line_start", "line_end", "text")), _requests(spark, d))
 
 
 @registered
 def fallback_answers(spark, d):
     """Answers without a model, from each request's best artifacts."""
-    artifacts = _artifacts(spark, d)
-    asked = _requests(spark, d)
-    hits = search.lexical_index_search(asked, _index(spark, d), 50)
-    best = search.diverse(search.symbol_scores(hits, asked, artifacts), artifacts, 8)
-    return answers.fallback_answers(best, answers.summaries(artifacts), asked)
+    return answers.fallback_answers(_Search(spark, d).reranked, answers.summaries(_artifacts(spark, d, "symbol_name", "file_path", "kind", "language", "line_start", "line_end", "text")), _requests(spark, d))
 
 
 @registered

@@ -6,11 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: list[str] = []
 _shipped: set[str] = set()
+_stored: dict[tuple, tuple] = {}
 
 
 def get_spark(cores: str = "*", shuffle_partitions: int = 8, memory: str = "6g") -> SparkSession:
@@ -29,16 +31,23 @@ def get_spark(cores: str = "*", shuffle_partitions: int = 8, memory: str = "6g")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where none is set (local sessions only)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``, or of the context's checkpoints; a temporary one for local sessions only."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or _context_dir(spark)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dirs:
         _own_dirs.append(tempfile.mkdtemp(prefix="fathom-"))
         atexit.register(shutil.rmtree, _own_dirs[0], ignore_errors=True)
     return f"file://{_own_dirs[0]}"
 
 
+def _context_dir(spark: SparkSession) -> str | None:
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return found.get() if found.isDefined() else None
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -49,6 +58,27 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``build()``, written once per application and state of the tables in ``folder``, then read.
+
+    For indexes that many queries share. Written anew where its files are gone or the tables have changed.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    files = fs_path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(fs_path(folder))
+    state = max((f.getModificationTime() for f in files), default=0)
+    key = (spark.sparkContext.applicationId, folder, name, state)
+    known = _stored.get(key)
+    if known is not None:
+        done = fs_path(f"{known[0]}/_SUCCESS")
+        if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            return spark.read.schema(known[1]).parquet(known[0])
+    table = build()
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    _stored[key] = (path, table.schema)
+    return spark.read.schema(table.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers of all executors, once per application."""
     import os
