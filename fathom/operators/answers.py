@@ -49,7 +49,6 @@ def u_shape(hits: DataFrame) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy("qid"))
     zero = F.col("rank") - 1
     evens = F.ceil(F.col("n") / 2)
-    place = F.when(zero % 2 == 0, zero / 2).otherwise(evens + F.floor((F.col("n") - 1 - zero) / 2) + F.when((F.col("n") - 1) % 2 == 0, 0).otherwise(0))
     odd_rank = F.row_number().over(Window.partitionBy("qid", (F.col("rank") - 1) % 2).orderBy(F.desc("rank")))
     ordered = hits.withColumn("n", n).withColumn("from_end", odd_rank)
     place = F.when(zero % 2 == 0, zero / 2).otherwise(evens + F.col("from_end") - 1)
@@ -140,11 +139,6 @@ def decisions(traces: DataFrame) -> DataFrame:
     return traces.select("trace_id", decision.alias("decision"))
 
 
-def exposition(counts: DataFrame, metric: str) -> DataFrame:
-    """(line): a text exposition of ``counts(label, value)``."""
-    return counts.select(F.format_string('%s{tier="%s"} %d', F.lit(metric), "label", "value").alias("line"))
-
-
 def fallback_answers(scored: DataFrame, texts: DataFrame, requests: DataFrame, most: int = 5, least: int = 2) -> DataFrame:
     """(qid, answer): what can be said without a model: the best artifacts' summaries, or that there is too little.
 

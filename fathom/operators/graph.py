@@ -141,27 +141,3 @@ def call_edges(artifacts: DataFrame) -> DataFrame:
     )
     found = calls.join(symbols, ["repository", "file_path", "name"]).filter("source_id <> target_id")
     return found.select("source_id", "target_id", F.lit("calls").alias("relationship")).distinct()
-
-
-def escape_html(text) -> F.Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return text
-
-
-def call_graph_svg(nodes: DataFrame, edges: DataFrame, most: int = 40) -> DataFrame:
-    """(qid, svg): each walk's first nodes in a row, and the ``calls`` between them as lines."""
-    placed = nodes.filter(F.col("position") <= most).withColumn("x", 70 + 130 * (F.col("position") - 1))
-    label = escape_html(F.try_element_at(F.split("id", ":"), F.lit(-2)))
-    circle = F.format_string('<circle cx="%d" cy="60" r="8"/><text x="%d" y="90">%s</text>', "x", "x", label)
-    drawn = placed.select("qid", F.lit(0).alias("part"), F.col("position").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), circle.alias("item"))
-    calls = edges.filter("relationship = 'calls'").select("source_id", "target_id").distinct()
-    a = placed.select("qid", F.col("id").alias("source_id"), F.col("x").alias("x1"))
-    b = placed.select("qid", F.col("id").alias("target_id"), F.col("x").alias("x2"))
-    lines = calls.join(a, "source_id").join(b, ["qid", "target_id"]).select(
-        "qid", F.lit(1).alias("part"), F.col("x1").cast("long").alias("a"), F.col("x2").cast("long").alias("b"),
-        F.format_string('<line x1="%d" y1="60" x2="%d" y2="60"/>', "x1", "x2").alias("item"),
-    )
-    return drawn.unionByName(lines).groupBy("qid").agg(
-        F.array_sort(F.collect_list(F.struct("part", "a", "b", "item"))).alias("items")
-    ).select("qid", F.concat(F.lit("<svg>"), F.array_join(F.transform("items", lambda i: i["item"]), ""), F.lit("</svg>")).alias("svg"))

@@ -116,10 +116,11 @@ def path_tokens(files: DataFrame) -> DataFrame:
     return files.select("file", F.explode(F.concat(tagged(high, True), tagged(low, False))).alias("t")).select("file", "t.token", "t.high")
 
 
-def file_points(wanted: DataFrame, files: DataFrame, p: Points = RETRIEVAL) -> DataFrame:
+def file_points(wanted: DataFrame, files: DataFrame, runs: DataFrame, grams: DataFrame, p: Points = RETRIEVAL) -> DataFrame:
     """(item, file, path_points, literal_points, in_path, named): what each of ``wanted(item)`` is worth in each file's path.
 
-    ``files`` has file, path, name and suffix. Equal and related words meet by keys; items within paths by the path's runs.
+    ``files`` has file, path, name and suffix; ``runs`` and ``grams`` are the index of their paths. Equal and related words
+    meet by keys, items and paths by the index.
     """
     wanted = wanted.select("item").distinct()
     tokens = path_tokens(files)
@@ -138,9 +139,8 @@ def file_points(wanted: DataFrame, files: DataFrame, p: Points = RETRIEVAL) -> D
         zero.alias("literal_points"), F.lit(False).alias("in_path"), F.lit(False).alias("named"),
     )
     paths = files.select(F.col("file").alias("id"), F.col("path").alias("text"))
-    runs = textindex.runs(paths)
     terms = wanted.select(F.col("item").alias("term"))
-    within = textindex.verified(textindex.containing(terms, runs, textindex.grams(runs)), paths).select(F.col("term").alias("item"), F.col("id").alias("file"))
+    within = textindex.verified(textindex.containing(terms, runs, grams), paths).select(F.col("term").alias("item"), F.col("id").alias("file"))
     item = F.col("item")
     inside = within.join(files.select("file", "path", "name"), "file").select(
         "item", "file", zero.alias("path_points"),
@@ -154,14 +154,16 @@ def file_points(wanted: DataFrame, files: DataFrame, p: Points = RETRIEVAL) -> D
     return best.join(files.select("file", "suffix"), "file").withColumn("literal_points", F.col("literal_points") + ends).drop("suffix")
 
 
-def scores(requests: DataFrame, matched: DataFrame, known: DataFrame, pairs: DataFrame | None = None, p: Points = RETRIEVAL) -> DataFrame:
+def scores(
+    requests: DataFrame, matched: DataFrame, known: DataFrame, points: DataFrame, pairs: DataFrame | None = None, p: Points = RETRIEVAL
+) -> DataFrame:
     """(qid, id, points): the retrieval score without the cosine.
 
-    ``matched(term, id)`` says which artifacts hold which terms, ``known`` are their ``entries``. Without ``pairs(qid, id)``,
+    ``matched(term, id)`` says which artifacts hold which terms, ``known`` are their ``entries``, ``points`` the requests'
+    ``file_points``. Without ``pairs(qid, id)``,
     every artifact that the user may see and that holds a term of the request gets a row.
     """
     asked = items(requests)
-    points = file_points(asked, known.select("file", "path", "name", "suffix").distinct(), p)
     placed = matched.withColumnRenamed("term", "item").join(known.select("id", "file", "repository", "tier"), "id")
     by_item = placed.join(points.filter("in_path").select("item", "file", "in_path"), ["item", "file"], "left").select(
         "item", "id", "repository", "tier", F.when(F.col("in_path"), 0.0).otherwise(p.in_text).alias("in_text")

@@ -112,18 +112,27 @@ def lexical_union(indexed: DataFrame, texts: DataFrame, k: int = 50) -> DataFram
     return top(once, ["qid"], [F.desc("score"), F.col("file_path"), F.col("id")], k)
 
 
-def path_search(requests: DataFrame, artifacts: DataFrame, k: int = 50) -> DataFrame:
+def paths(artifacts: DataFrame) -> DataFrame:
+    """(id, text): the paths in lower case, and what names them in a path index."""
+    return artifacts.select("repository", "file_path").distinct().select(
+        F.concat_ws(":", "repository", "file_path").alias("id"), F.replace(F.lower("file_path"), F.lit("\\"), F.lit("/")).alias("text")
+    )
+
+
+def path_search(requests: DataFrame, artifacts: DataFrame, k: int = 50, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(qid, repository, file_path, score, rank): files whose path the terms name.
 
     A term that is the stem counts 6, one within the basename 4, a directory 3, one within the path 1; the first that
-    holds counts. Terms meet paths through the paths' runs, and a term that many paths hold is spread by the path.
+    holds counts. Terms meet paths through ``index``, the runs and grams of ``paths`` (made where not given), and a term
+    that many paths hold is spread by the path.
     """
-    paths = artifacts.select("repository", "file_path").distinct().select(
-        F.concat_ws(":", "repository", "file_path").alias("id"), "repository", "file_path", F.lower("file_path").alias("text")
-    )
     terms = requests.select("qid", F.explode(T.query_terms(F.col("query"))).alias("term"))
-    runs = textindex.runs(paths.select("id", "text"))
-    touched = textindex.verified(textindex.containing(terms, runs, textindex.grams(runs)), paths).join(paths, "id")
+    known = paths(artifacts)
+    if index is None:
+        runs = textindex.split_runs(textindex.runs(known))
+        index = runs, textindex.grams(runs)
+    whole = artifacts.select(F.concat_ws(":", "repository", "file_path").alias("id"), "repository", "file_path").distinct()
+    touched = textindex.verified(textindex.containing(terms, *index), known).join(whole, "id").join(known, "id")
     name = T.basename(F.col("text"))
     term = F.col("term")
     points = (

@@ -12,9 +12,12 @@ from fathom.functions import text as T
 
 RUN = r"[a-z0-9_]+|[^a-z0-9_\s]+"
 
-#: Keys that many rows share are split into so many parts by the id of the row.
+#: Where few rows meet many, the many of a key are split into so many parts by the id of the row.
 SALTS = 16
 
+#: In the stored index, a run is split into parts of so many texts.
+SPLIT_ROWS = 50_000
+
 
 def salted_join(few: DataFrame, many: DataFrame, key: str, by: str) -> DataFrame:
     """``few`` joined with ``many`` on ``key``; the rows of a frequent key are spread over SALTS tasks by ``by``."""
@@ -27,6 +30,14 @@ def runs(texts: DataFrame) -> DataFrame:
     return texts.select("id", F.explode(F.array_distinct(T.all_matches(F.lower("text"), RUN))).alias("run"))
 
 
+def split_runs(run_table: DataFrame) -> DataFrame:
+    """(id, run, part, parts): ``run_table`` with runs of more than SPLIT_ROWS texts in several parts."""
+    counted = run_table.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPLIT_ROWS)
+    hot = counted.select("run", F.ceil(F.col("n") / SPLIT_ROWS).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    return run_table.join(hot, "run", "left").select("id", "run", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), parts.alias("parts"))
+
+
 def _pieces(text: str, n: int) -> Column:
     return F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n))
@@ -34,9 +45,9 @@ def _pieces(text: str, n: int) -> Column:
 
 
 def grams(run_table: DataFrame) -> DataFrame:
-    """(run, gram): pieces of one to three characters of every distinct run."""
-    return run_table.select("run").distinct().select(
-        "run", F.explode(F.array_distinct(F.concat(*(_pieces("run", n) for n in (1, 2, 3))))).alias("gram")
+    """(run, parts, gram): pieces of one to three characters of every distinct run of a split table."""
+    return run_table.select("run", "parts").distinct().select(
+        "run", "parts", F.explode(F.array_distinct(F.concat(*(_pieces("run", n) for n in (1, 2, 3))))).alias("gram")
     )
 
 
@@ -53,8 +64,10 @@ def containing(terms: DataFrame, run_table: DataFrame, gram_table: DataFrame) ->
     )
     counted = gram_table.join(keys.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = keys.join(counted, "gram", "left").groupBy("piece").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    holds = rarest.join(gram_table, "gram").filter(F.col("run").contains(F.col("piece"))).select("piece", "run")
-    touched = salted_join(holds, run_table, "run", "id").select("piece", "id").distinct()
+    holds = rarest.join(gram_table, "gram").filter(F.col("run").contains(F.col("piece"))).select(
+        "piece", "run", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    )
+    touched = holds.join(run_table, ["run", "part"]).select("piece", "id").distinct()
     return asked.join(touched, "piece").select("term", "id", (F.col("term") == F.col("piece")).alias("whole"))
 
 

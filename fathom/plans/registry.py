@@ -62,13 +62,18 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
-    return stored(spark, d, "runs", lambda: textindex.runs(_texts(spark, d)))
+    return stored(spark, d, "runs", lambda: textindex.split_runs(write_table(textindex.runs(_texts(spark, d)), "all-runs")))
 
 
 def _grams(spark: SparkSession, d: str) -> DataFrame:
     return stored(spark, d, "grams", lambda: textindex.grams(_runs(spark, d)))
 
 
+def _paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    runs = stored(spark, d, "path-runs", lambda: textindex.split_runs(textindex.runs(search.paths(read(spark, d, "artifacts")))))
+    return runs, stored(spark, d, "path-grams", lambda: textindex.grams(runs))
+
+
 def _text_vectors(spark: SparkSession, d: str) -> DataFrame:
     def build() -> DataFrame:
         rows = _artifacts(spark, d, "text", "tier", "repository")
@@ -103,6 +108,11 @@ class _Search:
         found = textindex.containing(terms, _runs(self.spark, self.d), _grams(self.spark, self.d))
         return write_table(textindex.verified(found, _texts(self.spark, self.d)), "held-terms")
 
+    @cached_property
+    def file_points(self) -> DataFrame:
+        files = self.entries.select("file", "path", "name", "suffix").distinct()
+        return write_table(scoring.file_points(scoring.items(self.asked), files, *_paths(self.spark, self.d)), "file-points")
+
     def lexical(self, limit: int = 50, terms: DataFrame | None = None) -> DataFrame:
         return search.lexical_index_search(self.asked, _index(self.spark, self.d), limit, _postings(self.spark, self.d), terms)
 
@@ -125,7 +135,7 @@ class _Search:
 
     def paths(self) -> DataFrame:
         """The first two visible artifacts of each of a request's best twenty paths."""
-        return search.rows_of_files(search.path_search(self.asked, self.entries, 20), self.entries, self.asked)
+        return search.rows_of_files(search.path_search(self.asked, self.entries, 20, _paths(self.spark, self.d)), self.entries, self.asked)
 
     def vector(self, k: int = 20) -> DataFrame:
         queries = vectors.hashed_vectors(self.asked, "qid", "query").join(self.asked.select("qid", "user_tier", "repo_scope"), "qid")
@@ -135,14 +145,14 @@ class _Search:
     def rescored(self) -> DataFrame:
         hits = write_table(self.vector(80).select("qid", "id", "score"), "vector-hits")
         matched = scoring.matched_pairs(hits, self.asked, _texts(self.spark, self.d))
-        points = scoring.scores(self.asked, matched, self.entries, hits)
+        points = scoring.scores(self.asked, matched, self.entries, self.file_points, hits)
         scored = hits.join(points, ["qid", "id"]).select("qid", "id", F.round(F.col("score") + F.col("points"), 6).alias("score"))
         return write_table(search.top(scored, ["qid"], [F.desc("score"), F.col("id")], 20), "vector-rescored")
 
     @cached_property
     def anchors(self) -> DataFrame:
         """(qid, id, rank): visible artifacts that hold any term of a request, by score; the three closest where none does."""
-        scored = scoring.scores(self.asked, self.held, self.entries)
+        scored = scoring.scores(self.asked, self.held, self.entries, self.file_points)
         found = write_table(search.top(scored, ["qid"], [F.desc("points"), F.col("id")], 50).select("qid", "id", "rank"), "anchors")
         closest = self.rescored.filter("rank <= 3").join(found.select("qid").distinct(), "qid", "left_anti")
         return found.unionByName(closest.select("qid", "id", "rank"))
@@ -453,7 +463,7 @@ def composite_search(spark, d):
 @registered
 def path_search(spark, d):
     """The best twenty paths of each request."""
-    return search.path_search(_requests(spark, d), read(spark, d, "artifacts"), 20)
+    return search.path_search(_requests(spark, d), read(spark, d, "artifacts"), 20, _paths(spark, d))
 
 
 @registered

@@ -1,104 +1,8 @@
-"""Stateful operators on the request stream: buckets, breakers, caches, coalescing and windows.
-
-Each has a batch form, a plan over the whole log, and most a streaming form with the same rules.
-"""
+"""The audit log as a stream: windows, repeated deliveries, append tables."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
-
-#: Bucket size and refill per second; failures that open a breaker and seconds until it half-opens. Fixed values.
-CAPACITY, REFILL = 20.0, 20.0 / 60.0
-FAILURES, RECOVERY = 3, 30.0
-
-#: Seconds that a cached answer lives, by tier. Fixed values.
-TTL_T3, TTL_OTHER = 3600.0, 14400.0
-
-
-def coalesced(requests: DataFrame, key: list[str], window_s: float = 300.0) -> DataFrame:
-    """Requests with ``leads``: whether one is the first of its key within a window of ``window_s`` seconds."""
-    bucket = F.floor(F.col("created_at") / window_s)
-    first = F.row_number().over(Window.partitionBy(*key, bucket).orderBy("created_at", "id"))
-    return requests.withColumn("leads", first == 1)
-
-
-def cache_hits(requests: DataFrame, key: list[str]) -> DataFrame:
-    """Requests with ``hit``: whether the previous request of the same key came within the tier's time to live."""
-    before = F.lag("created_at").over(Window.partitionBy(*key).orderBy("created_at", "id"))
-    ttl = F.when(F.col("access_tier") == "T-3", TTL_T3).otherwise(TTL_OTHER)
-    return requests.withColumn("hit", F.coalesce(F.col("created_at") - before <= ttl, F.lit(False)))
-
-
-def _bucket(rows: pd.DataFrame, tokens: float, at: float | None) -> tuple[list[bool], float, float | None]:
-    allowed = []
-    for t in rows["created_at"]:
-        if at is not None:
-            tokens = min(CAPACITY, tokens + max(0.0, t - at) * REFILL)
-        at = t if at is None else max(at, t)
-        allowed.append(tokens >= 1.0)
-        tokens -= 1.0 if allowed[-1] else 0.0
-    return allowed, tokens, at
-
-
-def _breaker(rows: pd.DataFrame, state: str, failures: int, failed_at: float) -> tuple[list[str], str, int, float]:
-    states = []
-    for t, bad in zip(rows["created_at"], rows["failed"]):
-        if state == "OPEN" and t - failed_at > RECOVERY:
-            state = "HALF_OPEN"
-        states.append(state)
-        if state == "OPEN":
-            continue
-        if bad:
-            failures, failed_at = failures + 1, t
-            if failures >= FAILURES:
-                state = "OPEN"
-        else:
-            state, failures = "CLOSED", 0
-    return states, state, failures, failed_at
-
-
-def _in_chunks(key: str, columns: str, start, step, name: str):
-    """A mapInPandas function over rows sorted by key and time that carries a key's state from batch to batch.
-
-    A user's history is never held whole: only the state goes from one batch to the next.
-    """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, start
-        for batch in batches:
-            out = []
-            for value, rows in batch.groupby(key, sort=False, dropna=False):
-                if value != current:
-                    current, state = value, start
-                result, *state = step(rows, *state)
-                out.append(rows.assign(**{name: result}))
-            if out:
-                yield pd.concat(out)[columns.split(",")]
-
-    return run
-
-
-def _by_day(rows: DataFrame, key: str) -> DataFrame:
-    """Rows with ``_key``, the key and the UTC day: a state starts anew at midnight, so that no key is one group."""
-    day = F.floor(F.col("created_at") / 86400).cast("string")
-    keyed = rows.withColumn("_key", F.concat_ws("@", key, day))
-    return keyed.repartition("_key").sortWithinPartitions("_key", "created_at", "id")
-
-
-def rate_limited(requests: DataFrame) -> DataFrame:
-    """(id, user_id, allowed): a continuously refilled token bucket per user, in event order, full at midnight."""
-    rows = requests.select("id", F.coalesce("user_id", F.lit("")).alias("user_id"), "created_at")
-    run = _in_chunks("_key", "id,user_id,allowed", (CAPACITY, None), _bucket, "allowed")
-    return _by_day(rows, "user_id").mapInPandas(run, "id long, user_id string, allowed boolean")
-
-
-def breaker_states(requests: DataFrame) -> DataFrame:
-    """(id, engine, state): the breaker of each engine before each request; closed at midnight."""
-    rows = requests.select("id", F.coalesce("engine", F.lit("")).alias("engine"), "created_at", "failed")
-    run = _in_chunks("_key", "id,engine,state", ("CLOSED", 0, 0.0), _breaker, "state")
-    return _by_day(rows, "engine").mapInPandas(run, "id long, engine string, state string")
+from pyspark.sql import DataFrame, functions as F
 
 
 def audit_stream(spark, path: str, files: str) -> DataFrame:

@@ -1,12 +1,9 @@
-import random
-
 import numpy as np
 from pyspark.sql import functions as F
 
 from fathom.functions import access, text as T
-from fathom.operators import answers, graph, search, tables, vectors
+from fathom.operators import answers, graph, scoring, search, tables, textindex, vectors
 from fathom.sources import files
-from fathom.streaming import requests as stream
 
 
 def column(spark, expression, *values):
@@ -91,31 +88,6 @@ def test_nearest_matches_brute_force(spark):
         assert ids == list(np.argsort(-(unit @ unit[q]), kind="stable")[:5])
 
 
-def test_token_bucket_and_breaker(spark):
-    burst = spark.createDataFrame([(i, "u", 1000.0 + i * 0.01) for i in range(30)] + [(99, "u", 1100.0)], "id long, user_id string, created_at double")
-    allowed = {r.id: r.allowed for r in stream.rate_limited(burst).collect()}
-    assert sum(allowed[i] for i in range(30)) == 20 and allowed[99]
-    calls = [(1, 0.0, True), (2, 1.0, True), (3, 2.0, True), (4, 3.0, False), (5, 40.0, False), (6, 41.0, False)]
-    rows = spark.createDataFrame([(i, "e", t, bad) for i, t, bad in calls], "id long, engine string, created_at double, failed boolean")
-    states = {r.id: r.state for r in stream.breaker_states(rows).collect()}
-    assert states == {1: "CLOSED", 2: "CLOSED", 3: "CLOSED", 4: "OPEN", 5: "HALF_OPEN", 6: "CLOSED"}
-
-
-def test_token_bucket_against_a_plain_loop(spark):
-    random.seed(4)
-    rows, t = [], 500.0
-    for i in range(400):
-        t += random.random() * 4
-        rows.append((i, random.choice("ab"), t))
-    got = {r.id: r.allowed for r in stream.rate_limited(spark.createDataFrame(rows, "id long, user_id string, created_at double")).collect()}
-    state = {}
-    for i, u, t in rows:
-        tokens, at = state.get(u, (stream.CAPACITY, t))
-        tokens = min(stream.CAPACITY, tokens + (t - at) * stream.REFILL)
-        assert got[i] == (tokens >= 1)
-        state[u] = (tokens - (tokens >= 1), t)
-
-
 def test_file_filters(spark):
     rows = spark.createDataFrame(
         [("1", "a/vendor/x.py", "x"), ("2", "a/.env", "x"), ("3", "b.py", "password = 'abcdefghijklm'"), ("4", "c.py", "# Generated by t\n"), ("5", "d.py", "x = 1"), ("6", "e.py", None), ("7", "f.py", "y" * 600)],
@@ -183,3 +155,60 @@ def test_ranking_quality_counts_paths_by_suffix_and_name(spark):
     gold = spark.createDataFrame([(1, "py", "b.py"), (2, "py", "z.py")], "qid long, suffix string, file_path string")
     got = {r.suffix: (r.requests, r.hit, r.mrr) for r in answers.ranking_quality(ranked, gold, "suffix").collect()}
     assert got == {"py": (2, 0.5, 0.25), "total": (2, 0.5, 0.25)}
+
+
+def test_containing_equals_a_plain_scan(spark):
+    texts = ["def run_all(x): return x.y/z", "a=>b -> c", "", None, "UPPER Case_1", "ünïcode häus", "x" * 300 + "yz", "src/a_b.py:12"]
+    terms = ["run", "n_a", "x.y/z", "=>", "upper case", "se_1", "äus", "xyz", "a_b.py:1", "q", "1", "y/z"]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string").filter("text is not null")
+    runs = textindex.split_runs(textindex.runs(rows))
+    asked = spark.createDataFrame([(t,) for t in terms], "term string")
+    got = {(r.term, r.id) for r in textindex.verified(textindex.containing(asked, runs, textindex.grams(runs)), rows).collect()}
+    assert got == {(t, str(i)) for t in terms for i, x in enumerate(texts) if x is not None and t in x.lower()}
+
+
+def test_a_walk_neither_gives_nor_passes_through_what_is_above_the_tier(spark):
+    nodes = spark.createDataFrame([("h", "r", 1), ("s", "r", 2), ("i", "r", 3), ("j", "r", 1), ("o", "other", 1)], "id string, repository string, tier int")
+    edges = spark.createDataFrame([("h", "s", "calls"), ("s", "i", "calls"), ("i", "j", "calls"), ("s", "o", "calls")], "source_id string, target_id string, relationship string")
+    near = graph.placed(graph.adjacency(graph.clean_edges(edges)), nodes)
+    asked = spark.createDataFrame([(1, 2, ["r"]), (2, 3, None)], "qid long, user_tier int, repo_scope array<string>")
+    anchors = spark.createDataFrame([(1, "h", 1), (2, "h", 1)], "qid long, id string, rank int")
+    got = {}
+    for r in graph.walk(anchors, near, 3, 10, asked).collect():
+        got.setdefault(r.qid, set()).add(r.id)
+    assert got == {1: {"h", "s"}, 2: {"h", "s", "i", "j", "o"}}
+
+
+def test_nearest_leaves_out_what_the_user_may_not_see(spark):
+    rows = spark.createDataFrame([("a", "r", 1, [1.0, 0.0]), ("b", "r", 3, [1.0, 0.0]), ("c", "q", 1, [1.0, 0.0]), ("d", "r", 1, [0.0, 1.0])], "id string, repository string, tier int, vector array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0], 2, ["r"]), (2, [1.0, 0.0], 3, None), (3, [1.0, 0.0], 3, [])], "qid long, vector array<float>, user_tier int, repo_scope array<string>")
+    got = {}
+    for r in vectors.nearest(asked, rows, 2, 2, sparse=False, access=True).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.id)
+    assert got == {1: ["a", "d"], 2: ["a", "b"]}
+
+
+def _hit(id_, path, score, rerank, owner=""):
+    return (1, id_, rerank, score, owner, path, path.rsplit("/", 1)[-1].lower())
+
+
+def test_diversity_by_file_name_and_owner(spark):
+    schema = "qid long, id string, rerank_score double, score double, owner string, file_path string, name string"
+    order = lambda hits, m: [r.id for r in scoring.diverse(spark.createDataFrame(hits, schema), m).orderBy("position").collect()]
+    assert order([_hit("a1", "a.py", 1.0, 9.0), _hit("a2", "a.py", 1.0, 8.0), _hit("b1", "b.py", 1.0, 7.0)], 2) == ["a1", "b1"]
+    assert order([_hit("x", "p/cfg.py", 1.0, 9.0), _hit("y", "q/cfg.py", 1.0, 8.0), _hit("z", "r/d.py", 1.0, 1.0)], 3) == ["x", "z", "y"]
+    assert order([_hit("m", "o.py", 1.0, 9.0, "owner"), _hit("n", "o.py", 1.0, 8.0, "owner"), _hit("k", "k.py", 1.0, 7.0)], 2) == ["m", "n"]
+    assert order([_hit("u", "u.py", 1.0, 5.0), _hit("v", "v.py", 2.0, 5.0)], 2) == ["v", "u"]
+
+
+def test_rerank_points_for_paths_symbols_and_owners(spark):
+    artifacts = spark.createDataFrame(
+        [("1", "r", "src/cart/checkout.ts", 1, "method-implementation", "submit", {"qualified_name": "Cart.submit"}, "text", 1, 9),
+         ("2", "r", "docs/checkout.md", 1, "chunk", None, None, "submit the cart", 1, 9), ("3", "r", "Makefile", 1, "chunk", None, None, "x", 1, 2)],
+        "id string, repository string, file_path string, tier int, kind string, symbol_name string, metadata map<string,string>, text string, line_start int, line_end int",
+    )
+    asked = spark.createDataFrame([(1, "How does cart submit?"), (2, "what is in src/cart/checkout.ts"), (3, "the makefile")], "qid long, query string")
+    hits = asked.select("qid").crossJoin(artifacts.select("id")).selectExpr("qid", "id", "0.0D score", "true by_lexical", "false by_text", "false by_name", "false by_path")
+    known = scoring.entries(artifacts)
+    got = {(r.qid, r.id): r.rerank_score for r in scoring.rerank_scores(hits, asked, artifacts, known).collect()}
+    assert got[1, "1"] > got[1, "2"] + 100 and got[2, "1"] > got[2, "2"] + 50 and got[3, "3"] > got[3, "1"] + 60
