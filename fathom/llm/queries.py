@@ -89,7 +89,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_oversized(read(spark, sf_dir, "artifacts")).dropDuplicates(["id", "piece"])
+    return split_oversized(read(spark, sf_dir, "artifacts"))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_texts(read(spark, sf_dir, "documents"))
+    return cut_texts(read(spark, sf_dir, "documents")).select("doc_id")
 
 
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
