@@ -1,9 +1,10 @@
 """Problem 6: the most similar vectors of every vector.
 
 NN-descent: a first graph comes from random hyperplanes (vectors sorted by the signs of their projections are compared
-with those beside them), then rounds of Spark joins compare the neighbours of each vector with one another and keep the
-best. The descent runs on vectors of one byte per value; the resulting pairs are measured again exactly. Queries walk
-the graph greedily.
+with those beside them, in blocks that overlap), then rounds of Spark joins compare the neighbours of each vector with one
+another and keep the best, whatever their similarity, until few edges change. A round looks only at vectors with a new
+edge. The descent runs on vectors of one byte per value; the resulting pairs are measured again exactly. Queries walk the
+graph greedily until no beam improves.
 
 Recall is below 1 by nature of the method; ``tests/llm`` hold it against brute force.
 
@@ -21,14 +22,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from fathom.session import write_table
 
-#: Orderings by hyperplane signs, planes per ordering, rows compared with one another, graph degree, rounds of descent.
-ORDERINGS, PLANES, BESIDE, DEGREE, ROUNDS = 16, 24, 128, 12, 2
+#: Orderings by hyperplane signs, planes per ordering, rows compared with one another, rows that two blocks share, degree.
+ORDERINGS, PLANES, BESIDE, OVERLAP, DEGREE = 10, 24, 128, 32, 12
 
 #: Neighbours of one vector, in and out, that a round compares with one another.
-FAN = 24
+FAN = 16
 
-#: What a byte's rounding may take from a similarity, with room.
-ROUNDING = 0.02
+#: The descent ends with a round that changes at most this share of the edges.
+CHANGED = 0.01
 
 
 def usable(column: str, dimensions: int) -> F.Column:
@@ -93,34 +94,34 @@ def _orderings(dimensions: int):
     return orderings
 
 
-def _best(ids: np.ndarray, x: np.ndarray, least: float, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, s) of each row's ``degree`` most similar other rows with at least ``least``."""
+def _best(ids: np.ndarray, x: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, s) of each row's ``degree`` most similar other rows."""
     s = x @ x.T
     np.fill_diagonal(s, -2)
     if len(ids) > degree + 1:
         limit = np.partition(s, -degree, axis=1)[:, -degree]
-        a, b = np.nonzero((s >= limit[:, None]) & (s >= least))
+        a, b = np.nonzero(s >= limit[:, None])
     else:
-        a, b = np.nonzero(s >= least)
-    return ids[a], ids[b], s[a, b]
+        a, b = np.nonzero(s > -2)
+    keep = ids[a] != ids[b]
+    return ids[a][keep], ids[b][keep], s[a, b][keep]
 
 
-def _compare_beside(dimensions: int, least: float):
+def _compare_beside(dimensions: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_ids, held = np.zeros(0, np.int64), np.zeros((0, dimensions), np.float32)
         for batch in batches:
-            for start in range(0, batch.num_rows, BESIDE):
-                part = batch.slice(start, BESIDE)
-                ids = part.column(1).to_numpy()
-                a, b, s = _best(ids, _from_binary(part.column(2), dimensions), least, DEGREE)
-                keep = a != b
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[keep]), pa.array(b[keep]), pa.array(s[keep], pa.float32())], ["a", "b", "s"]
-                )
+            ids = np.concatenate([held_ids, batch.column(1).to_numpy()])
+            x = np.concatenate([held, _from_binary(batch.column(2), dimensions)])
+            for start in range(0, max(len(ids) - OVERLAP, 1), BESIDE - OVERLAP):
+                a, b, s = _best(ids[start : start + BESIDE], x[start : start + BESIDE], DEGREE)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s, pa.float32())], ["a", "b", "s"])
+            held_ids, held = ids[-OVERLAP:], x[-OVERLAP:]
 
     return compare
 
 
-def _compare_around(dimensions: int, least: float):
+def _compare_around(dimensions: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(0)
@@ -130,7 +131,7 @@ def _compare_around(dimensions: int, least: float):
             out, at = [], 0
             for n in lists.value_lengths().to_pylist():
                 if n > 1:
-                    out.append(_best(ids[at : at + n], x[at : at + n], least, DEGREE))
+                    out.append(_best(ids[at : at + n], x[at : at + n], DEGREE))
                 at += n
             if out:
                 a, b, s = (np.concatenate(c) for c in zip(*out))
@@ -142,15 +143,14 @@ def _compare_around(dimensions: int, least: float):
 
 
 def _keep_best(edges: DataFrame, degree: int) -> DataFrame:
-    once = edges.groupBy("a", "b").agg(F.max("s").alias("s"))
+    """Each vector's ``degree`` best edges; an edge is ``new`` if none of its rows is old."""
+    once = edges.groupBy("a", "b").agg(F.max("s").alias("s"), *([F.min("new").alias("new")] if "new" in edges.columns else []))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))
     return once.withColumn("rank", rank).filter(F.col("rank") <= degree).drop("rank")
 
 
-def neighbour_graph(
-    rows: DataFrame, id_col: str, vector_col: str, dimensions: int, least: float = -1.0
-) -> tuple[DataFrame, DataFrame]:
-    """(vectors(v, id, x), edges(a, b, s)): each vector's most similar others of at least ``least``, approximately.
+def neighbour_graph(rows: DataFrame, id_col: str, vector_col: str, dimensions: int) -> tuple[DataFrame, DataFrame]:
+    """(vectors(v, id, x), edges(a, b, s)): each vector's most similar others, approximately.
 
     Both tables are written to the shared folder.
     """
@@ -162,25 +162,25 @@ def neighbour_graph(
     )
     vectors = write_table(clean, "vectors")
     edge = "a long, b long, s float"
-    floor = least - ROUNDING
     coded = write_table(vectors.select("v", "x").mapInArrow(_quantise(dimensions), "v long, q binary"), "coded")
     keyed = coded.mapInArrow(_orderings(dimensions), "key long, v long, q binary")
-    beside = (
-        keyed.repartitionByRange(F.col("key")).sortWithinPartitions("key")
-        .mapInArrow(_compare_beside(dimensions, floor), edge)
-    )
-    edges = write_table(_keep_best(beside, DEGREE), "edges")
-    for _ in range(ROUNDS):
-        both = edges.select("a", "b", "s").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
-        around = _keep_best(both, FAN).select(F.col("a").alias("centre"), F.col("b").alias("u"))
-        around = around.unionByName(edges.select(F.col("a").alias("centre"), F.col("a").alias("u")).distinct())
+    beside = keyed.repartitionByRange(F.col("key")).sortWithinPartitions("key").mapInArrow(_compare_beside(dimensions), edge)
+    edges = write_table(_keep_best(beside, DEGREE).withColumn("new", F.lit(True)), "edges")
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "s", "new"))
+        fans = _keep_best(both, FAN)
+        moved = fans.groupBy("a").agg(F.max("new").alias("new")).filter("new").select(F.col("a").alias("centre"))
+        around = fans.select(F.col("a").alias("centre"), F.col("b").alias("u")).join(moved, "centre", "left_semi")
+        around = around.unionByName(moved.select("centre", F.col("centre").alias("u")))
         lists = (
             around.join(coded.select(F.col("v").alias("u"), "q"), "u")
             .groupBy("centre").agg(F.collect_list(F.struct("u", "q")).alias("members")).select("members")
         )
-        found = lists.mapInArrow(_compare_around(dimensions, floor), edge)
-        edges = write_table(_keep_best(edges.unionByName(found), DEGREE), "edges")
-    return vectors, edges
+        found = lists.mapInArrow(_compare_around(dimensions), edge).withColumn("new", F.lit(True))
+        edges = write_table(_keep_best(edges.withColumn("new", F.lit(False)).unionByName(found), DEGREE), "edges")
+        counts = edges.agg(F.count(F.lit(1)).alias("n"), F.count_if("new").alias("new")).first()
+        if counts["new"] <= CHANGED * counts["n"]:
+            return vectors, edges.drop("new")
 
 
 def _cosines(dimensions: int):
@@ -208,7 +208,7 @@ def similar_pairs(
     dimensions: int = 128,
 ) -> DataFrame:
     """(id_a, id_b), id_a < id_b: one is among the other's ``k`` most similar, with a cosine of at least ``least``."""
-    vectors, edges = neighbour_graph(rows, id_col, vector_col, dimensions, least)
+    vectors, edges = neighbour_graph(rows, id_col, vector_col, dimensions)
     pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     exact = write_table(measure(pairs, vectors, dimensions).filter(F.col("s") >= least), "cosines")
     both = exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
@@ -222,12 +222,13 @@ def similar_pairs(
 
 def graph_search(
     queries: DataFrame, vectors: DataFrame, edges: DataFrame, dimensions: int, k: int = 10,
-    beam: int = 32, steps: int = 6, entries: int = 64,
+    beam: int = 32, entries: int = 64,
 ) -> DataFrame:
     """(q, v, s, rank): greedy search of the graph for ``queries(q, x)``, a beam of nodes per query, all queries at once.
 
     Each step joins the beam's nodes that were not expanded yet with their neighbours, in both directions, measures the
-    new ones and keeps the best ``beam``. Entry points are the ``entries`` nodes with the least hash: a fixed number.
+    new ones and keeps the best ``beam``; the search ends when no beam has a node left to expand. Entry points are the
+    ``entries`` nodes with the least hash: a fixed number, broadcast.
     """
     known = vectors.select("v", "x")
     both = edges.select("a", "b", "s").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "s"))
@@ -248,7 +249,7 @@ def graph_search(
     start = known.select("v").orderBy(F.xxhash64("v")).limit(entries)
     first = asked.select("q").join(F.broadcast(start), how="cross")
     held = write_table(best(scored(first), beam).drop("rank").withColumn("expanded", F.lit(False)), "beam")
-    for _ in range(steps):
+    while not held.filter(~F.col("expanded")).isEmpty():
         reached = (
             held.filter(~F.col("expanded")).select("q", F.col("v").alias("a")).join(links, "a")
             .select("q", F.col("b").alias("v")).distinct().join(held.select("q", "v"), ["q", "v"], "left_anti")
