@@ -1,8 +1,8 @@
 """Problem 5: near-equal bodies among a collection too large for pairwise comparison.
 
 Order MinHash: of each body's occurrence-labelled token triples, several sketches each keep the smallest ones and their
-order in the text, so that bodies within a small edit distance share sketches. Bodies that share one are aligned within
-a band, then compared exactly. Exact copies are one representative until the end.
+order in the text, so that bodies within a small edit distance share sketches. Bodies that share one and whose numbers of
+triples allow the similarity are aligned within a band, then compared exactly; a frequent sketch is split over tasks. Exact copies are one representative until the end.
 
 Defined results: null texts and bodies of fewer than three tokens are in no pair; an id counts once, however often its
 row is delivered; other columns are ignored.
@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from fathom.llm.hot import pairs_sharing
 from fathom.session import spread, write_table
 
 #: Sketches per body and smallest triples per sketch. A pair of Jaccard index 0.7 shares no sketch with p < 1e-5.
@@ -82,8 +83,9 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([xxhash.xxh128_digest(j) for j in joined], pa.binary()),
                 pa.array(joined, pa.string()),
                 pa.array([sketch(w, hashes) for w in words], pa.list_(pa.int64())),
+                pa.array([len(set(zip(w, w[1:], w[2:]))) for w in words], pa.int32()),
             ],
-            ["id", "content", "tokens", "sketches"],
+            ["id", "content", "tokens", "sketches", "n"],
         )
 
 
@@ -139,7 +141,7 @@ def near_copies(bodies: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, D
     """
     usable = bodies.filter(F.col("text").isNotNull()).select("id", "text")
     rows = write_table(
-        spread(usable).mapInArrow(_sketch_rows, "id string, content binary, tokens string, sketches array<long>")
+        spread(usable).mapInArrow(_sketch_rows, "id string, content binary, tokens string, sketches array<long>, n int")
         .filter(F.size("sketches") > 0),
         "sketches",
     )
@@ -147,13 +149,9 @@ def near_copies(bodies: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, D
     members = write_table(rows.join(classes, "content").select("id", "rep").distinct(), "members")
     reps = rows.join(
         members.filter(F.col("id") == F.col("rep")).select("id"), "id", "left_semi"
-    ).select("id", "tokens", "sketches").dropDuplicates(["id"])
-    keys = reps.select("id", F.explode("sketches").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    keys = write_table(keys.join(shared, "key", "left_semi"), "sketch-keys")
-    left = keys.select("key", F.col("id").alias("rep_a"))
-    right = keys.select("key", F.col("id").alias("rep_b"))
-    pairs = left.join(right, "key").filter("rep_a < rep_b").select("rep_a", "rep_b").distinct()
+    ).select("id", "tokens", "sketches", "n").dropDuplicates(["id"])
+    keys = reps.select(F.col("id").alias("x"), "n", F.explode("sketches").alias("key"))
+    pairs = pairs_sharing(keys, threshold).select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"))
     texts = reps.select("id", "tokens")
     candidates = (
         pairs.join(texts.select(F.col("id").alias("rep_a"), F.col("tokens").alias("tokens_a")), "rep_a")
