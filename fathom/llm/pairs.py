@@ -1,8 +1,8 @@
 """Problem 3: defective pairs of a query and a response.
 
 Responses are sorted by text, so that a shortened version comes right before its longer one, and neighbours' common
-prefixes are compared; lengths at which unfinished responses pile up mark length limits. Then come the rules for empty,
-copied, refusing, truncated and wrong-language responses, in that order: a pair has one defect at most.
+prefixes are compared; lengths at which unfinished responses pile up mark length limits; short responses that the traces'
+quality flags call empty time and again are placeholders. Then come the rules for empty, copied, refusing, truncated and wrong-language responses, in that order: a pair has one defect at most.
 
 Defined results: a null response is empty; a null query can't be copied and has no language; a key delivered several
 times counts once (its least response, nulls last); other columns are ignored.
@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -24,7 +24,16 @@ from fathom.session import write_table
 #: A length is a limit if so many unfinished responses have it, and so many times the mean of the lengths around it.
 SPIKE_ROWS, SPIKE_TIMES, SPIKE_AROUND = 8, 6, 10
 
-_MARKUP = re.compile(r"<[^<>]{0,60}>|```\w*|[\W_]+")
+#: Shorter responses that begin like another one count as cut only within a word.
+SHORT_CHARS = 20
+
+#: A short response is a placeholder if so many traces have it and half of them are flagged as empty.
+FLAGGED_TRACES = 3
+
+_TAG = re.compile(r"<[^<>]*>|```\w*")
+_MARKS = re.compile(r"[\W_]+")
+#: A text with so many letters outside tags is no placeholder.
+_LETTERS = re.compile(r"(?:[\W_]*[^\W_]){31}")
 _PLACEHOLDERS = {
     "", "na", "null", "none", "nil", "nan", "undefined", "noanswer", "noresponse", "tbd", "todo", "empty", "placeholder",
     "answer", "noanswerprovided", "nodata", "notavailable", "keineantwort", "sansréponse", "sinrespuesta",
@@ -74,7 +83,10 @@ _ASKS = re.compile(
 
 
 def is_empty(response: str | None) -> bool:
-    return response is None or _MARKUP.sub("", response).lower() in _PLACEHOLDERS
+    if response is None:
+        return True
+    body = _TAG.sub("", response)
+    return not _LETTERS.match(body) and _MARKS.sub("", body).lower() in _PLACEHOLDERS
 
 
 def _words(text: str) -> list[str]:
@@ -83,8 +95,6 @@ def _words(text: str) -> list[str]:
 
 def is_echo(query: str, response: str) -> bool:
     """Whether the response is made of the query's words, but for a few, and holds most of them."""
-    if len(response) > 3 * len(query) + 60:
-        return False
     q = _words(query)
     r = _words(_LEADS.sub("", response.strip().lstrip(">\"'“«*_ \t")))
     if len(q) < 3 or not r:
@@ -118,8 +128,8 @@ def is_wrong_language(query: str, response: str) -> bool:
     return answered not in wanted
 
 
-def defect(query: str | None, response: str | None, shortened: bool, at_limit: bool) -> str | None:
-    if is_empty(response):
+def defect(query: str | None, response: str | None, shortened: bool, at_limit: bool, flagged: bool = False) -> str | None:
+    if is_empty(response) or flagged:
         return "empty"
     if query is not None and is_echo(query, response):
         return "echo"
@@ -132,6 +142,15 @@ def defect(query: str | None, response: str | None, shortened: bool, at_limit: b
     return None
 
 
+def is_shortened(text: str, longer: str) -> bool:
+    """Whether ``longer`` begins with ``text`` and goes on. Short answers may begin like others: those of less than
+    SHORT_CHARS characters must stop within a word that isn't their first one."""
+    if len(longer) <= len(text) or not longer.startswith(text):
+        return False
+    within = text[-1:].isalnum() and longer[len(text)].isalnum()
+    return len(text) >= SHORT_CHARS or (within and len(text.split()) > 1)
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted texts: (response, part, edge, shortened): whether the next one begins with the whole text.
 
@@ -146,7 +165,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((text, part, True, False))
                 first = False
             if previous is not None:
-                rows.append((previous, part, False, len(text) > len(previous) and text.startswith(previous)))
+                rows.append((previous, part, False, is_shortened(previous, text)))
             previous = text
         if rows:
             yield _neighbour_batch(rows)
@@ -163,7 +182,7 @@ def _neighbour_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def shortened_responses(pairs: DataFrame) -> DataFrame:
     """(response) of the texts that a longer response in the collection begins with."""
-    texts = pairs.select("response").filter(F.length("response") >= 20).distinct()
+    texts = pairs.select("response").filter(F.length("response") > 0).distinct()
     ordered = texts.repartitionByRange("response").sortWithinPartitions("response")
     rows = write_table(
         ordered.mapInArrow(_neighbours, "response string, part int, edge boolean, shortened boolean"), "neighbours"
@@ -171,7 +190,11 @@ def shortened_responses(pairs: DataFrame) -> DataFrame:
     # one row a partition: the last text of each against the first of the next that isn't empty
     edges = rows.filter(F.col("edge") | F.col("shortened").isNull())
     lead = F.lead("response").over(Window.orderBy("part", F.expr("not edge")))
-    across = edges.withColumn("next", lead).filter(~F.col("edge") & F.col("next").startswith(F.col("response")))
+    n = F.length("response")
+    within = F.substring("response", -1, 1).rlike(r"[\p{L}\p{N}]") & F.substring("next", n + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]") & F.trim("response").rlike(r"\s")
+    across = edges.withColumn("next", lead).filter(
+        ~F.col("edge") & F.col("next").startswith(F.col("response")) & (F.length("next") > n) & ((n >= SHORT_CHARS) | within)
+    )
     return rows.filter("not edge and shortened").select("response").unionByName(across.select("response")).distinct()
 
 
@@ -186,10 +209,20 @@ def length_limits(pairs: DataFrame) -> DataFrame:
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    judged = lru_cache(maxsize=50_000)(defect)
+    known: dict[bytes, str | None] = {}
+
+    def judged(q: str | None, r: str | None, *marks: bool) -> str | None:
+        # equal pairs are judged once; what is held is their digests
+        key = xxhash.xxh128_digest(repr((q, r, marks)))
+        if key not in known:
+            if len(known) > 200_000:
+                known.clear()
+            known[key] = defect(q, r, *marks)
+        return known[key]
+
     for batch in batches:
-        q, r, s, limit = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
-        defects = pa.array([judged(*x) for x in zip(q, r, s, limit)], pa.string())
+        columns = (batch.column(i).to_pylist() for i in range(2, 7))
+        defects = pa.array([judged(*x) for x in zip(*columns)], pa.string())
         keep = defects.is_valid()
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).filter(keep), batch.column(1).filter(keep), defects.filter(keep)],
@@ -197,6 +230,23 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _plain(response: str) -> F.Column:
+    """A response of few letters without its markup; null for others."""
+    body = F.lower(F.regexp_replace(F.regexp_replace(response, r"<[^<>]*>|```\w*", ""), r"[^\p{L}\p{N}]+", ""))
+    return F.when(F.length(body).between(1, 30), body)
+
+
+def flagged_responses(harness_traces: DataFrame) -> DataFrame:
+    """(plain) of the short responses that the traces' quality flags call empty.
+
+    A flag by itself is noisy: FLAGGED_TRACES different traces must have the response, and half of them the flag.
+    """
+    rows = harness_traces.select("trace_id", _plain("response").alias("plain"), F.array_contains("quality_flags", "empty").alias("flag"))
+    once = rows.filter("plain is not null and flag is not null").groupBy("trace_id", "plain").agg(F.max("flag").alias("flag"))
+    counts = once.groupBy("plain").agg(F.count(F.lit(1)).alias("n"), F.count_if("flag").alias("flagged"))
+    return counts.filter((F.col("n") >= FLAGGED_TRACES) & (2 * F.col("flagged") >= F.col("n"))).select("plain")
+
+
 def defective_pairs(user_history: DataFrame, harness_traces: DataFrame) -> DataFrame:
     """(origin, record_key, defect): one row per defective key of either table."""
     def keyed(rows: DataFrame, origin: str, key: str) -> DataFrame:
@@ -212,12 +262,13 @@ def defective_pairs(user_history: DataFrame, harness_traces: DataFrame) -> DataF
     answered = pairs.filter(F.col("response").isNotNull())
     short = shortened_responses(answered).withColumn("shortened", F.lit(True))
     limits = length_limits(answered).withColumn("at_limit", F.lit(True))
+    flagged = flagged_responses(harness_traces).withColumn("flagged", F.lit(True))
     marked = (
-        pairs.withColumn("n_chars", F.length("response"))
-        .join(short, "response", "left").join(limits, "n_chars", "left")
+        pairs.withColumn("n_chars", F.length("response")).withColumn("plain", _plain("response"))
+        .join(short, "response", "left").join(limits, "n_chars", "left").join(flagged, "plain", "left")
         .select(
             "origin", "record_key", "query", "response",
-            F.coalesce("shortened", F.lit(False)), F.coalesce("at_limit", F.lit(False)),
+            F.coalesce("shortened", F.lit(False)), F.coalesce("at_limit", F.lit(False)), F.coalesce("flagged", F.lit(False)),
         )
     )
     return marked.mapInArrow(_judge, "origin string, record_key string, defect string")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 #: Frequent function words by language. Fixed values.
 FUNCTION_WORDS = {
@@ -33,7 +32,6 @@ _KANA = re.compile(r"[぀-ヿ]")
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
 
 
-@lru_cache(maxsize=20_000)
 def language(text: str) -> str | None:
     """The language of the prose in ``text``, without code, paths and names; None where too little tells."""
     prose = _CODE.sub(" ", text)
