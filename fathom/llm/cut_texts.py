@@ -1,9 +1,9 @@
 """Problem 10: texts cut off by field limits or in transfer.
 
-Near copies are found by min-hash banding over five-word shingles, verified, and aligned from the end: the copy whose
-last words lie before the other's end was cut. Records without such a copy are scored by how they close: marks that
-tools append, open code blocks and brackets, sentences without an end, and closing words that the corpus knows only
-as the beginnings of others.
+Near copies are found by min-hash banding over five-word shingles, verified, and their ends are aligned: the copy whose
+last words lie before the other's end, not at the end of a sentence, was cut. Only records that no alignment calls cut are
+then scored by how they close: marks that tools append, open code blocks and brackets, sentences without an end, lengths
+at a limit of their source, and closing words that the corpus knows only as the beginnings of others.
 
 Defined results: null, empty and blank texts and placeholders are no cases; equal texts are judged once and all their
 ids come out; other columns are ignored.
@@ -19,20 +19,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from fathom.llm.hot import pairs_sharing
 from fathom.llm.pairs import is_empty
 from fathom.llm.prose import CUT_MARK, ALL_FUNCTION_WORDS, has_function_words, last_line, odd_marks, tail
 from fathom.session import write_table
 
-#: Marks stand in the last so many characters.
-MARK_CHARS = 160
-
 #: A length is a source's limit if so many open-ended texts have it, and so many times the mean of the lengths around.
 SPIKE_ROWS, SPIKE_TIMES, SPIKE_AROUND = 6, 8, 10
 
+#: Words at the end of a text that are aligned with its near copies, and edits within them.
+TAIL, EDITS = 12, 3
+
 #: Words per shingle, least similarity of near copies, bands, hashes per band. Misses a pair of 0.8 with p = 0.0003.
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 14, 4
 
 _TERMINAL = re.compile(r"[.!?。？！]['\"”’»)\]*_]*\Z")
+_CLOSED = re.compile(r"(?:[.!?。？！]['\"”’»)\]*_]*|```)\Z")
 _DOTS = re.compile(r"\s*(?:\.\.\.|…)\Z")
 _WORD = re.compile(r"\w+")
 _ENTRY = re.compile(r"\s*(?:[-*+•]|\d+[.)])\s+")
@@ -48,9 +50,9 @@ _ERROR = re.compile(r"[A-Z]\w*(?:Error|Exception|Warning|Fault)(?:: .*)?\Z")
 def judge(text: str) -> tuple[bool | None, str | None]:
     """(cut, closing word): None with a word where the corpus must tell whether the word is one."""
     stripped = text.rstrip().rstrip("​﻿\x00").rstrip()
-    if not _WORD.search(stripped) or ((len(stripped) <= 200 or stripped[0] == "<") and is_empty(stripped)):
+    if not _WORD.search(stripped) or is_empty(stripped):
         return False, None
-    end = stripped[-MARK_CHARS:]
+    end = last_line(stripped)
     if end.endswith("�") or CUT_MARK.search(end) or _DOTS.search(end):
         return True, None
     if stripped.count("```") % 2:
@@ -110,7 +112,8 @@ _SEEDS = _mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E37
 def unmarked(text: str) -> str:
     """The text without the mark that a tool appended."""
     text = text.rstrip()
-    return text[:-MARK_CHARS] + CUT_MARK.sub("", text[-MARK_CHARS:])
+    at = text.rfind("\n") + 1
+    return (text[:at] + CUT_MARK.sub("", text[at:])).rstrip()
 
 
 def words_of(text: str) -> list[str]:
@@ -140,47 +143,78 @@ def bands(words: list[str], hashes: dict[str, int]) -> list[int]:
     return key.view(np.int64).tolist()
 
 
-def _judge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes: dict[str, int] = {}
     for batch in batches:
         if len(hashes) > 1_000_000:
             hashes.clear()
-        texts = batch.column(1).to_pylist()
-        verdicts = [judge(t) for t in texts]
-        keys = [bands(words_of(unmarked(t)), hashes) for t in texts]
+        words = [words_of(unmarked(t)) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0),
-                pa.array([v[0] for v in verdicts], pa.bool_()),
-                pa.array([v[1] for v in verdicts], pa.string()),
-                pa.array(keys, pa.list_(pa.int64())),
+                batch.column(0), pa.array([bands(w, hashes) for w in words], pa.list_(pa.int64())),
+                pa.array([len(set(zip(*(w[i:] for i in range(SHINGLE))))) for w in words], pa.int32()),
             ],
-            ["content", "cut", "closing", "bands"],
+            ["content", "bands", "n"],
+        )
+
+
+def _judge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        verdicts = [judge(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([v[0] for v in verdicts], pa.bool_()), pa.array([v[1] for v in verdicts], pa.string())],
+            ["content", "cut", "closing"],
         )
 
 
+def _aligned_end(x: list[str], y: list[str]) -> int | None:
+    """Where in ``y`` the last words ``x`` of a text end, by the alignment of least edits; the last such place."""
+    last = x[-SHINGLE:]
+    for at in range(len(y) - SHINGLE, -1, -1):
+        if y[at : at + SHINGLE] == last:
+            return at + SHINGLE - 1
+    # semi-global edit distance: any beginning in y is free, and the last word of x may be the beginning of y's
+    row = [0] * (len(y) + 1)
+    for i, w in enumerate(x):
+        above, row = row, [i + 1]
+        closing = i == len(x) - 1
+        for j, v in enumerate(y):
+            same = v.startswith(w) if closing else v == w
+            row.append(min(above[j] + (not same), above[j + 1] + 1, row[j] + 1))
+    least = min(row)
+    if least > EDITS or 2 * least >= len(x):
+        return None
+    return max(j for j, d in enumerate(row) if d == least) - 1
+
+
 def ends_early(a: str, b: str) -> bool:
-    """Whether ``a`` stops where ``b``, a near copy, goes on: its last words lie in ``b`` before the end of ``b``."""
+    """Whether ``a`` breaks off where ``b``, a near copy, goes on.
+
+    The last words of ``a`` are aligned with ``b``. Nothing is missing where ``b`` ends there, too, or where both end a sentence.
+    """
     a = _DOTS.sub("", unmarked(a)).rstrip("� \n")
-    x, y = words_of(a), words_of(b)
+    x, spans = list(_WORD.finditer(a.lower())), list(_WORD.finditer(b.lower()))
+    y = [m[0] for m in spans]
     if len(x) < SHINGLE + 1 or len(y) <= SHINGLE + 1:
         return False
-    for last in (x[-SHINGLE:], x[-SHINGLE - 1 : -1]):
-        for at in range(len(y) - SHINGLE, -1, -1):
-            if y[at : at + SHINGLE] == last:
-                left = len(y) - at - SHINGLE
-                if last is not x[-SHINGLE:] and last != x[-SHINGLE:]:
-                    # the last word of a may be the beginning of b's next one
-                    return left >= 1 and y[at + SHINGLE].startswith(x[-1]) and (y[at + SHINGLE] != x[-1])
-                return left >= 1
-    return False
+    at = _aligned_end([m[0] for m in x[-TAIL:]], y)
+    if at is None or at < 0:
+        return False
+    if y[at] != x[-1][0] and y[at].startswith(x[-1][0]):
+        return not _TERMINAL.search(a)  # within a word
+    if at + 1 >= len(y):
+        return False
+    if not _CLOSED.search(a):
+        return True
+    # a mark closes a sentence only if it stands before a blank in the copy, too
+    return not re.match(r"[\W_]*[.!?。？！`'\"”’»)\]*_]+(?:\s|\Z)|\s*\n", b[spans[at].end() : spans[at + 1].start()])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cut = []
         for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns)):
-            x, y = words_of(ta), words_of(tb)
+            x, y = words_of(unmarked(ta)), words_of(unmarked(tb))
             s = {tuple(x[i : i + SHINGLE]) for i in range(len(x) - SHINGLE + 1)}
             t = {tuple(y[i : i + SHINGLE]) for i in range(len(y) - SHINGLE + 1)}
             if len(s & t) < SIMILAR * len(s | t):
@@ -189,7 +223,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cut.append(a)
             if ends_early(tb, ta):
                 cut.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(cut, pa.int64())], ["content"])
+        yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary())], ["content"])
 
 
 def _open(column: str) -> F.Column:
@@ -205,7 +239,7 @@ def at_limits(rows: DataFrame) -> DataFrame:
     around = Window.partitionBy("source", band).orderBy("n_chars").rangeBetween(-SPIKE_AROUND, SPIKE_AROUND)
     mean = (F.sum("n").over(around) - F.col("n")) / (2 * SPIKE_AROUND)
     limits = counts.withColumn("mean", mean).filter(
-        (F.col("n") >= SPIKE_ROWS) & (F.col("n") > SPIKE_TIMES * F.col("mean")) & (F.col("n_chars") >= 100)
+        (F.col("n") >= SPIKE_ROWS) & (F.col("n") > SPIKE_TIMES * F.col("mean"))
     )
     return ended.join(limits.select("source", "n_chars"), ["source", "n_chars"], "left_semi").select("content")
 
@@ -213,15 +247,24 @@ def at_limits(rows: DataFrame) -> DataFrame:
 def cut_texts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
-    """(doc_id) of the documents whose text ends before its content does."""
+    """(doc_id, reason) of the documents whose text ends before its content does."""
     rows = docs.filter(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("content"), F.col(text_col).alias("text"),
+        F.col(id_col).alias("doc_id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("content"), F.col(text_col).alias("text"),
         F.coalesce(F.col(source_col), F.lit("")).alias("source"),
     )
     texts = write_table(rows.groupBy("content").agg(F.min("text").alias("text")), "texts")
-    judged = write_table(
-        texts.mapInArrow(_judge_rows, "content long, cut boolean, closing string, bands array<long>"), "judged"
+    # near copies first: texts are joined only with the pairs whose numbers of shingles allow the similarity
+    banded = texts.mapInArrow(_band_rows, "content binary, bands array<long>, n int")
+    pairs = pairs_sharing(banded.select(F.col("content").alias("x"), "n", F.explode("bands").alias("key")), SIMILAR)
+    candidates = (
+        pairs.join(texts.select(F.col("content").alias("a"), F.col("text").alias("text_a")), "a")
+        .join(texts.select(F.col("content").alias("b"), F.col("text").alias("text_b")), "b")
+        .select("a", "b", "text_a", "text_b")
     )
+    early = write_table(candidates.mapInArrow(_verify, "content binary").distinct(), "early-ends")
+    # then the closing of all others
+    others = texts.join(early, "content", "left_anti")
+    judged = write_table(others.mapInArrow(_judge_rows, "content binary, cut boolean, closing string"), "judged")
     # words that stand before another word of their line, by distinct texts
     inner = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]++)(?=[^\p{L}\p{N}_\n]+[\p{L}\p{N}_])"), F.lit(1)))
     asked = judged.filter(F.col("cut").isNull() & F.col("closing").isNotNull()).select("content", "closing")
@@ -234,31 +277,25 @@ def cut_texts(
         asked.filter(~F.col("closing").rlike(r"^[\d_]+$"))
         .join(known.select(F.col("word").alias("closing")), "closing", "left_anti").select("content")
     )
-    keys = judged.filter(F.size("bands") > 0).select("content", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    keys = write_table(keys.join(shared, "key", "left_semi"), "band-keys")
-    open_texts = texts.filter(_open("text")).select("content")
-    left = keys.select("key", F.col("content").alias("a")).join(open_texts.select(F.col("content").alias("a")), "a", "left_semi")
-    right = keys.select("key", F.col("content").alias("b"))
-    pairs = left.join(right, "key").filter("a <> b").select("a", "b").distinct()
-    candidates = (
-        pairs.join(texts.select(F.col("content").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("content").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
-    )
-    early = candidates.mapInArrow(_verify, "content long").join(open_texts, "content", "left_semi")
-    cut = (
-        judged.filter("cut").select("content").unionByName(fragments).unionByName(early)
-        .unionByName(at_limits(rows)).distinct()
+    reasons = (
+        early.withColumn("reason", F.lit("alignment"))
+        .unionByName(judged.filter("cut").select("content", F.lit("closing").alias("reason")))
+        .unionByName(fragments.withColumn("reason", F.lit("fragment")))
+        .unionByName(at_limits(rows).withColumn("reason", F.lit("limit")))
+        .groupBy("content").agg(F.min("reason").alias("reason"))
     )
-    return rows.select("doc_id", "content").join(cut, "content", "left_semi").select("doc_id").distinct()
+    return rows.select("doc_id", "content").join(reasons, "content").select("doc_id", "reason").distinct()
 
 
 def cut_rates(docs: DataFrame) -> DataFrame:
-    """(source, texts, cut, rate): how often each source cuts its texts."""
-    cut = cut_texts(docs).withColumn("is_cut", F.lit(1))
-    return (
-        docs.filter(F.col("text").isNotNull()).select("doc_id", "source").join(cut, "doc_id", "left")
-        .groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum("is_cut"), F.lit(0)).alias("cut"))
-        .withColumn("rate", F.round(F.col("cut") / F.col("texts"), 4))
+    """(source, reason, texts, cut, rate): how often each source cuts its texts, in all and by what told."""
+    cut = cut_texts(docs)
+    known = docs.filter(F.col("text").isNotNull()).select("doc_id", "source")
+    texts = known.groupBy("source").agg(F.count(F.lit(1)).alias("texts"))
+    found = known.join(cut, "doc_id").groupBy("source", "reason").agg(F.count(F.lit(1)).alias("cut"))
+    total = found.groupBy("source").agg(F.sum("cut").alias("cut")).withColumn("reason", F.lit("all"))
+    none = texts.select("source", F.lit("all").alias("reason"), F.lit(0).cast("long").alias("cut"))
+    counts = found.unionByName(total).unionByName(none).groupBy("source", "reason").agg(F.sum("cut").alias("cut"))
+    return counts.join(texts, counts["source"].eqNullSafe(texts["source"])).select(
+        counts["source"], "reason", "texts", "cut", F.round(F.col("cut") / F.col("texts"), 4).alias("rate")
     )
