@@ -22,14 +22,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from fathom.session import write_table
 
-#: Orderings by hyperplane signs, planes per ordering, rows compared with one another, rows that two blocks share, degree.
-ORDERINGS, PLANES, BESIDE, OVERLAP, DEGREE = 10, 24, 128, 32, 12
+#: Orderings by hyperplane signs, planes per ordering, rows compared with one another, rows that two blocks share, and the
+#: best of them that an ordering proposes.
+ORDERINGS, PLANES, BESIDE, OVERLAP, PROPOSED = 8, 24, 128, 32, 6
 
-#: Neighbours of one vector, in and out, that a round compares with one another.
-FAN = 16
+#: Edges per vector, and neighbours of one vector, in and out, that a round compares with one another.
+DEGREE, FAN = 10, 12
 
 #: The descent ends with a round that changes at most this share of the edges.
-CHANGED = 0.01
+CHANGED = 0.03
 
 
 def usable(column: str, dimensions: int) -> F.Column:
@@ -114,7 +115,7 @@ def _compare_beside(dimensions: int):
             ids = np.concatenate([held_ids, batch.column(1).to_numpy()])
             x = np.concatenate([held, _from_binary(batch.column(2), dimensions)])
             for start in range(0, max(len(ids) - OVERLAP, 1), BESIDE - OVERLAP):
-                a, b, s = _best(ids[start : start + BESIDE], x[start : start + BESIDE], DEGREE)
+                a, b, s = _best(ids[start : start + BESIDE], x[start : start + BESIDE], PROPOSED)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s, pa.float32())], ["a", "b", "s"])
             held_ids, held = ids[-OVERLAP:], x[-OVERLAP:]
 
@@ -122,16 +123,21 @@ def _compare_beside(dimensions: int):
 
 
 def _compare_around(dimensions: int):
+    """Members of one neighbourhood with one another; only pairs of which one is new to it and that beat the worst edge."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(0)
             inner = lists.flatten()
-            ids = inner.field("u").to_numpy(zero_copy_only=False)
+            ids, new, worst = (inner.field(c).to_numpy(zero_copy_only=False) for c in ("u", "new", "worst"))
             x = _from_binary(inner.field("q"), dimensions) if len(ids) else None
             out, at = [], 0
             for n in lists.value_lengths().to_pylist():
-                if n > 1:
-                    out.append(_best(ids[at : at + n], x[at : at + n], DEGREE))
+                part = slice(at, at + n)
+                s = x[part] @ x[part].T
+                fresh = new[part]
+                a, b = np.nonzero((s > worst[part][:, None]) & (fresh[:, None] | fresh[None, :]))
+                keep = a != b
+                out.append((ids[part][a[keep]], ids[part][b[keep]], s[a[keep], b[keep]]))
                 at += n
             if out:
                 a, b, s = (np.concatenate(c) for c in zip(*out))
@@ -168,16 +174,17 @@ def neighbour_graph(rows: DataFrame, id_col: str, vector_col: str, dimensions: i
     edges = write_table(_keep_best(beside, DEGREE).withColumn("new", F.lit(True)), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "s", "new"))
-        fans = _keep_best(both, FAN)
-        moved = fans.groupBy("a").agg(F.max("new").alias("new")).filter("new").select(F.col("a").alias("centre"))
-        around = fans.select(F.col("a").alias("centre"), F.col("b").alias("u")).join(moved, "centre", "left_semi")
-        around = around.unionByName(moved.select("centre", F.col("centre").alias("u")))
-        lists = (
-            around.join(coded.select(F.col("v").alias("u"), "q"), "u")
-            .groupBy("centre").agg(F.collect_list(F.struct("u", "q")).alias("members")).select("members")
+        fans = write_table(_keep_best(both, FAN).select(F.col("a").alias("centre"), F.col("b").alias("u"), "new"), "fans")
+        moved = fans.groupBy("centre").agg(F.max("new").alias("moved")).filter("moved").select("centre")
+        around = fans.join(moved, "centre", "left_semi").unionByName(moved.select("centre", F.col("centre").alias("u"), F.lit(False).alias("new")))
+        limits = edges.groupBy("a").agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= DEGREE)
+        known = coded.join(limits.select(F.col("a").alias("v"), "s"), "v", "left").select(
+            F.col("v").alias("u"), "q", F.coalesce("s", F.lit(-1.0).cast("float")).alias("worst")
         )
-        found = lists.mapInArrow(_compare_around(dimensions), edge).withColumn("new", F.lit(True))
-        edges = write_table(_keep_best(edges.withColumn("new", F.lit(False)).unionByName(found), DEGREE), "edges")
+        lists = around.join(known, "u").groupBy("centre").agg(F.collect_list(F.struct("u", "q", "new", "worst")).alias("members")).select("members")
+        found = lists.mapInArrow(_compare_around(dimensions), edge).groupBy("a", "b").agg(F.max("s").alias("s"))
+        fresh = _keep_best(found, DEGREE).withColumn("new", F.lit(True))
+        edges = write_table(_keep_best(edges.withColumn("new", F.lit(False)).unionByName(fresh), DEGREE), "edges")
         counts = edges.agg(F.count(F.lit(1)).alias("n"), F.count_if("new").alias("new")).first()
         if counts["new"] <= CHANGED * counts["n"]:
             return vectors, edges.drop("new")
