@@ -207,7 +207,7 @@ def ends_early(a: str, b: str) -> bool:
     if not _CLOSED.search(a):
         return True
     # a mark closes a sentence only if it stands before a blank in the copy, too
-    return not re.match(r"[\W_]*[.!?。？！`'\"”’»)\]*_]+(?:\s|\Z)|\s*\n", b[spans[at].end() : spans[at + 1].start()])
+    return not re.match(r"[\W_]*[.!?。？！`'\"”’»)\]*_]+\s|\s*\n", b[spans[at].end() : spans[at + 1].start()])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,10 +14,10 @@ from fathom.llm.near_copies import near_copies, near_copy_pairs
 from fathom.llm.neighbours import graph_search, neighbour_graph, similar_pairs
 from fathom.llm.pack import pack_corpus
 from fathom.llm.pairs import defective_pairs
-from fathom.llm.parsing import invalid_files, invalid_rates
+from fathom.llm.parsing import invalid_files, invalid_rates, parsed_files
 from fathom.llm.secrets import find_secrets, redact
 from fathom.llm.split import oversized, split_oversized
-from fathom.llm.tokenize import encode_corpus
+from fathom.llm.tokenize import decode_corpus, encode_corpus
 from fathom.tables import read
 
 
@@ -39,6 +39,11 @@ def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invalid_rates(read(spark, sf_dir, "artifacts"))
 
 
+def p2_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first unrecoverable error of every invalid file: its line and token."""
+    return parsed_files(read(spark, sf_dir, "artifacts")).filter(F.col("error_line").isNotNull())
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return defective_pairs(read(spark, sf_dir, "user_history"), read(spark, sf_dir, "harness_traces"))
 
@@ -96,6 +101,11 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(read(spark, sf_dir, "documents"))
 
 
+def p8_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text, decoded from its ids again."""
+    return decode_corpus(encode_corpus(read(spark, sf_dir, "documents")))
+
+
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_corpus(read(spark, sf_dir, "documents"))
 
@@ -108,24 +118,38 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_rates(read(spark, sf_dir, "documents"))
 
 
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers by how full they are, in tenths; none holds more than its capacity."""
+    held = pack_corpus(read(spark, sf_dir, "documents")).groupBy("container").agg(F.sum("size").alias("held"))
+    tenth = F.ceil(F.col("held") * 10 / 2048).cast("int").alias("tenth")
+    return held.groupBy(tenth).agg(F.count(F.lit(1)).alias("containers"), F.max("held").alias("most"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found,
-    "p1_reasons": p1_reasons,
-    "p2_found": p2_found,
-    "p2_rates": p2_rates,
-    "p3_found": p3_found,
-    "p4_found": p4_found,
-    "p4_redacted": p4_redacted,
-    "p5_found": p5_found,
-    "p5_classes": p5_classes,
-    "p6_found": p6_found,
-    "p6_search": p6_search,
-    "p7_found": p7_found,
-    "p7_pieces": p7_pieces,
-    "p8_ids": p8_ids,
-    "p9_containers": p9_containers,
-    "p10_found": p10_found,
-    "p10_rates": p10_rates,
+    q.__name__: q
+    for q in (
+        p1_found, p1_reasons, p2_found, p2_rates, p2_errors, p3_found, p4_found, p4_redacted, p5_found, p5_classes, p6_found, p6_search,
+        p7_found, p7_pieces, p8_ids, p8_text, p9_containers, p9_fill, p10_found, p10_rates,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_TRIPLES = """b AS (SELECT id, any_value(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM artifacts
+  WHERE kind LIKE '%-implementation' AND text IS NOT NULL GROUP BY id),
+s AS (SELECT id, t, list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS x FROM b WHERE len(t) >= 3)"""
+_COSINES = """v AS (SELECT id, any_value(embedding)::DOUBLE[] AS e FROM artifacts
+  WHERE len(embedding) = 128 AND len(list_filter(embedding, lambda x: isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY id),
+c AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.id <> b.id)"""
+
+#: SQL where it can say the same over whole tables; the other operators are tested by brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "p5_found": f"""WITH {_TRIPLES} SELECT a.id AS id_a, b.id AS id_b FROM s a JOIN s b ON a.id < b.id
+WHERE len(list_intersect(a.x, b.x)) >= 0.7 * (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x)))""",
+    "p5_classes": f"""WITH {_TRIPLES}, r AS (SELECT min(id) AS rep, t, any_value(x) AS x FROM s GROUP BY t),
+l AS (SELECT a.rep, count(*) AS links FROM r a JOIN r b ON a.rep <> b.rep
+  WHERE len(list_intersect(a.x, b.x)) >= 0.7 * (len(a.x) + len(b.x) - len(list_intersect(a.x, b.x))) GROUP BY a.rep)
+SELECT s.id, r.rep, coalesce(l.links, 0) AS links FROM s JOIN r USING (t) LEFT JOIN l ON l.rep = r.rep""",
+    "p6_found": f"""WITH {_COSINES}, k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM k WHERE s >= 0.8""",
+    "p7_found": "SELECT DISTINCT id FROM artifacts WHERE length(text) > 4000",
+    "p8_text": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
