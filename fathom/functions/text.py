@@ -134,3 +134,8 @@ def join_terms(terms: Column) -> Column:
         .when(n == 2, F.concat_ws(" and ", F.try_element_at(terms, F.lit(1)), F.try_element_at(terms, F.lit(2))))
         .otherwise(many)
     )
+
+
+def artifact_id(repository: Column, path: Column, symbol: Column, tier: Column) -> Column:
+    """``repository:path:symbol:T<tier>``, blanks of the symbol as underscores."""
+    return F.concat(repository, F.lit(":"), path, F.lit(":"), F.replace(symbol, F.lit(" "), F.lit("_")), F.lit(":T"), tier.cast("string"))

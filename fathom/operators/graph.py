@@ -128,16 +128,27 @@ def betweenness(edges: DataFrame, pivots: DataFrame, depth: int = 6) -> DataFram
 
 
 def call_edges(artifacts: DataFrame) -> DataFrame:
-    """(source_id, target_id, relationship): calls within a file, from each implementation to the only symbol so named.
+    """(source_id, target_id, relationship): calls within a file, resolved in order.
 
-    A call is a name before an opening bracket; a name that several symbols of the file bear resolves to none.
+    A call is a name, perhaps qualified, before an opening bracket. It means the symbol whose qualified name it is; after
+    ``self.``, ``cls.`` or ``this.`` the one of the caller's own class; other qualified names mean none; a short name means
+    the only symbol of the file that bears it.
     """
-    bodies = artifacts.filter(F.col("kind").endswith("-implementation") & F.col("text").isNotNull())
-    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_]\w*)\s*\("), F.lit(1)))
-    calls = bodies.select(F.col("id").alias("source_id"), "repository", "file_path", F.explode(names).alias("name"))
-    symbols = (
-        bodies.filter("symbol_name is not null").groupBy("repository", "file_path", F.col("symbol_name").alias("name"))
-        .agg(F.min("id").alias("target_id"), F.countDistinct("id").alias("n")).filter("n = 1").drop("n")
+    bodies = artifacts.filter(F.col("kind").endswith("-implementation")).withColumn("qualified", F.coalesce(F.col("metadata")["qualified_name"], F.col("symbol_name")))
+    names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][\w.]*)\s*\("), F.lit(1)))
+    owner = F.regexp_extract("qualified", r"^(.*)\.[^.]*$", 1)
+    file = ["repository", "file_path"]
+    calls = bodies.filter("text is not null").select(F.col("id").alias("source_id"), *file, owner.alias("owner"), F.explode(names).alias("reference"))
+    dotted = F.col("reference").contains(".")
+    own = F.when(F.col("reference").rlike(r"^(self|cls|this)\.") & (F.col("owner") != ""), F.concat("owner", F.lit("."), F.regexp_replace("reference", r"^\w+\.", "")))
+    asked = calls.select("source_id", *file, F.when(dotted, F.col("reference")).alias("exact"), own.alias("own"), F.when(~dotted, F.col("reference")).alias("short"))
+    qualified = bodies.filter("qualified is not null").groupBy(*file, "qualified").agg(F.min("id").alias("target"))
+    short = bodies.filter("symbol_name is not null").select(*file, F.regexp_extract("symbol_name", r"([^.:]*)$", 1).alias("short"), "id").groupBy(*file, "short").agg(
+        F.min("id").alias("by_short"), F.countDistinct("id").alias("n")).filter("n = 1").drop("n")
+    found = (
+        asked.join(qualified.select(*file, F.col("qualified").alias("exact"), F.col("target").alias("by_exact")), [*file, "exact"], "left")
+        .join(qualified.select(*file, F.col("qualified").alias("own"), F.col("target").alias("by_own")), [*file, "own"], "left")
+        .join(short, [*file, "short"], "left")
     )
-    found = calls.join(symbols, ["repository", "file_path", "name"]).filter("source_id <> target_id")
-    return found.select("source_id", "target_id", F.lit("calls").alias("relationship")).distinct()
+    target = F.coalesce("by_exact", "by_own", "by_short")
+    return found.select("source_id", target.alias("target_id"), F.lit("calls").alias("relationship")).filter("target_id is not null and source_id <> target_id").distinct()

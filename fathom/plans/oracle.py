@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from fathom.functions.text import PATH_LIKE, QUERY_STOPWORDS
+from fathom.operators.answers import PATH, RAW_CODE
+from fathom.operators.evaluation import CODE_PATTERNS, REFUSAL_MARKERS
 from fathom.operators.scoring import (
     OPERATIONAL_FOLDERS, OPERATIONAL_KINDS, OPERATIONAL_SUFFIXES, OPERATIONAL_TERMS, POLICY_TERMS, RERANK, RERANK_STOPWORDS, RETRIEVAL, SCHEMA_ROLE,
 )
@@ -112,15 +114,8 @@ ORACLE_SQL["joined_terms"] = """WITH e AS (SELECT user_id, list_sort(list_distin
 WHERE inference_engine_used IS NOT NULL GROUP BY user_id)
 SELECT user_id, CASE len(l) WHEN 1 THEN l[1] WHEN 2 THEN l[1] || ' and ' || l[2]
 ELSE array_to_string(l[1:len(l) - 1], ', ') || ', and ' || l[len(l)] END AS phrase FROM e"""
-ORACLE_SQL["sliding_chunks"] = """WITH s AS (SELECT doc_id AS id, text, unnest(range(0, length(text), 150)) AS start FROM documents WHERE length(text) > 0)
-SELECT id, count(*) AS chunks, max(start)::INTEGER AS last_start, max(md5(substr(text, start + 1, 200))) AS digest FROM s GROUP BY id"""
 ORACLE_SQL["json_leaves"] = """SELECT key, count(*) AS n, sum(json_extract_string(props, '$.' || key)::BIGINT)::BIGINT AS total
 FROM (SELECT props, unnest(json_keys(props)) AS key FROM events) GROUP BY key"""
-ORACLE_SQL["markdown_cells"] = rf"""WITH {CUR}, l AS (SELECT id, unnest(string_split(text, chr(10))) AS line FROM cur),
-t AS (SELECT id, unnest(string_split(regexp_replace(regexp_replace(line, '^\s*\|', ''), '\|\s*$', ''), '|')) AS cell FROM l
-  WHERE regexp_matches(line, '^\s*\|.*\|\s*$') AND NOT regexp_matches(line, '^[\s|:\-]+$'))
-SELECT id, count(*) AS cells, min(trim(cell, ' ')) AS first_cell FROM t GROUP BY id"""
-ORACLE_SQL["upsert_latest"] = f"""WITH {CUR} SELECT repository, count(*) AS artifacts, round(sum(updated_at), 0) AS total_time FROM cur GROUP BY repository"""
 ORACLE_SQL["delete_repository"] = """WITH a AS (SELECT DISTINCT id, repository FROM artifacts),
 big AS (SELECT repository FROM a GROUP BY repository ORDER BY count(*) DESC, repository LIMIT 1),
 gone AS (SELECT id FROM a WHERE repository IN (SELECT repository FROM big))
@@ -396,9 +391,6 @@ count(*) FILTER (cache_hit) AS hits FROM audit_log GROUP BY 1"""
 _CALLS = r"""b AS (SELECT * FROM cur WHERE kind LIKE '%-implementation' AND text IS NOT NULL),
 c AS (SELECT DISTINCT id AS source_id, repository, file_path, unnest(regexp_extract_all(text, '([A-Za-z_]\w*)\s*\(', 1)) AS name FROM b),
 y AS (SELECT repository, file_path, symbol_name AS name, min(id) AS target_id FROM b WHERE symbol_name IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT id) = 1)"""
-ORACLE_SQL["call_edges"] = f"""WITH {CUR}, {_CALLS} SELECT DISTINCT source_id, target_id, 'calls' AS relationship FROM c JOIN y USING (repository, file_path, name) WHERE source_id <> target_id"""
-ORACLE_SQL["json_documents"] = f"""WITH {CUR} SELECT c.id, count(*) AS leaves, count(*) FILTER (t.type = 'VARCHAR') AS strings
-FROM (SELECT id, text FROM cur WHERE language = 'json' AND text IS NOT NULL AND json_valid(text)) c, json_tree(c.text) t WHERE t.type NOT IN ('OBJECT', 'ARRAY') GROUP BY c.id"""
 ORACLE_SQL["fallback_answers"] = f"""WITH RECURSIVE {_RERANK}, sm AS ({_SUMMARY}),
 l AS (SELECT qid, string_agg('- ' || summary, chr(10) ORDER BY position) AS lines FROM bst JOIN sm USING (id) WHERE position <= 5 AND rerank_score >= 2 GROUP BY qid)
 SELECT qid, 'For `' || query || '`, ' || CASE WHEN lines IS NOT NULL THEN 'the useful retrieved signals are:' || chr(10) || lines
@@ -410,3 +402,68 @@ ORACLE_SQL["policy_decisions"] = ORACLE_SQL["quality_flags"].split("SELECT array
   WHEN len(lines) > 0 AND (lower(lines[1]) IN ('relevant files:', 'files:', 'source files:', 'sources:', 'paths:', 'file paths:')
     OR len(list_filter(lines, lambda x: regexp_matches(x, '^[-*]') AND regexp_matches(x, $p$(?i)\b(?:[A-Z]:[\\/]|(?:\.{1,2}|src|tests?|scripts?|evaluation|[A-Za-z0-9_.-]+)[\\/])[^\s`'"),]+$p$))) >= greatest(1, len(lines) - 1))
   THEN 'path_list' ELSE 'kept' END AS decision, count(*) AS traces FROM l GROUP BY 1"""
+
+ORACLE_SQL["sliding_chunks"] = """WITH s AS (SELECT doc_id AS id, text, unnest(range(0, length(text), 150)) AS start FROM documents WHERE length(text) > 0),
+c AS (SELECT id, start, left(text, start) AS before, substr(text, start + 1, 200) AS chunk FROM s),
+l AS (SELECT *, 1 + length(before) - length(replace(before, chr(10), '')) AS line FROM c)
+SELECT id, start::INTEGER AS start, line::INTEGER AS line_start, (line + length(chunk) - length(replace(chunk, chr(10), '')))::INTEGER AS line_end, md5(chunk) AS digest FROM l"""
+ORACLE_SQL["text_heads"] = rf"""WITH {CUR} SELECT id, (1 + length(left(text, 4000)) - length(replace(left(text, 4000), chr(10), '')))::INTEGER AS line_end, md5(left(text, 4000)) AS digest
+FROM cur WHERE language LIKE 'text%' AND kind = 'chunk' AND regexp_matches(left(text, 4000), '\S')"""
+ORACLE_SQL["sniffed_languages"] = rf"""WITH {CUR}, r AS (SELECT text, regexp_replace(regexp_replace(file_path, '\.(cpp|py)$', '.h'), '\.json$', '') AS p FROM cur),
+n AS (SELECT text, p, CASE regexp_extract(lower(p), '[^/](\.[^./]+)$', 1) {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LANGUAGES.items())} ELSE 'text' END AS l FROM r)
+SELECT CASE WHEN ends_with(lower(p), '.h') AND regexp_matches(left(text, 8192), '\b(class|namespace|template)\b|::|\b(public|private|protected):') THEN 'cpp'
+  WHEN l = 'text' AND regexp_matches(text, '^\s*[\{{\[]') THEN 'json' ELSE l END AS language, count(*) AS artifacts FROM n GROUP BY 1"""
+ORACLE_SQL["artifact_ids"] = f"""WITH {CUR} SELECT kind, count(*) AS artifacts, count(*) FILTER (id = repository || ':' || file_path || ':'
+  || replace(CASE WHEN kind = 'module' THEN 'module' ELSE coalesce(metadata['qualified_name'], symbol_name, 'chunk-1') END, ' ', '_') || ':T' || tier) AS derived FROM cur GROUP BY kind"""
+ORACLE_SQL["json_documents"] = f"""WITH {CUR} SELECT c.id, regexp_replace(replace(t.fullkey, '"', ''), '^\\$\\.?', '') AS path,
+  CASE WHEN t.type = 'VARCHAR' THEN t.atom ->> '$' WHEN t.type = 'NULL' THEN NULL ELSE t.atom::VARCHAR END AS value, t.type = 'VARCHAR' AS is_text
+FROM (SELECT id, text FROM cur WHERE language = 'json' AND text IS NOT NULL AND json_valid(text)) c, json_tree(c.text) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')"""
+_SCHEMA = """json_valid(text) AND json_type(CASE WHEN json_valid(text) THEN text END) = 'OBJECT' AND (json_exists(CASE WHEN json_valid(text) THEN text END, '$."$schema"')
+  OR coalesce(json_type(CASE WHEN json_valid(text) THEN text END, '$.properties') = 'OBJECT', false) OR coalesce(json_type(CASE WHEN json_valid(text) THEN text END, '$."$defs"') = 'OBJECT', false)
+  OR coalesce(json_type(CASE WHEN json_valid(text) THEN text END, '$.definitions') = 'OBJECT', false))"""
+_DOCS = rf"""dc AS (SELECT id, repository, file_path, text, lower(file_path) AS path, {_NAME} AS name, ltrim({_SUFFIX}, '.') AS sfx, {_STEM_OF} AS stem, regexp_extract(lower(file_path), '^(.*/)[^/]*$', 1) AS parent,
+  coalesce({_SCHEMA}, false) AS is_schema FROM cur WHERE kind = 'json-document' AND text IS NOT NULL),
+cd AS (SELECT *, list_concat(CASE WHEN sfx = '' THEN [] ELSE ['schemas/' || sfx || '.schema.json', 'schema/' || sfx || '.schema.json', parent || sfx || '.schema.json'] END,
+  ['schemas/' || stem || '.schema.json', 'schema/' || stem || '.schema.json', parent || stem || '.schema.json', parent || name || '.schema.json']) AS l FROM dc)"""
+ORACLE_SQL["schema_documents"] = f"WITH {CUR}, {_DOCS} SELECT id, is_schema, array_to_string({_ordered_distinct('l')}, '|') AS candidates FROM cd"
+ORACLE_SQL["markdown_cells"] = rf"""WITH {CUR}, l AS (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM cur),
+t AS (SELECT id, line_no, string_split(regexp_replace(regexp_replace(line, '^\s*\|', ''), '\|\s*$', ''), '|') AS cells FROM l
+  WHERE regexp_matches(line, '^\s*\|.*\|\s*$') AND NOT regexp_matches(line, '^[\s|:\-]+$'))
+SELECT id, line_no::INTEGER AS line_no, (generate_subscripts(cells, 1) - 1)::INTEGER AS col, trim(unnest(cells), ' ') AS cell FROM t"""
+ORACLE_SQL["upsert_latest"] = """WITH c AS (SELECT id, min(repository) AS repository FROM artifacts GROUP BY id), i AS (SELECT id, max(updated_at) AS t FROM artifacts WHERE tier >= 2 GROUP BY id)
+SELECT repository, count(*) AS artifacts, round(sum(coalesce(t, 0.0)), 0) AS total_time FROM c LEFT JOIN i USING (id) GROUP BY repository"""
+ORACLE_SQL["tier_upserts"] = """WITH t AS (SELECT user_id, trace_id, max(created_at) AS w, max_by(access_tier, (created_at, access_tier)) AS tier FROM harness_traces WHERE access_tier IS NOT NULL GROUP BY 1, 2),
+l AS (SELECT user_id, tier FROM t QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY w DESC, trace_id DESC) = 1)
+SELECT * FROM l UNION ALL SELECT user_id, tier FROM access_matrix WHERE user_id NOT IN (SELECT user_id FROM l)"""
+ORACLE_SQL["scope_grants"] = """SELECT group_name, count(*) AS repositories, min(repository) AS first FROM (SELECT * FROM group_scopes
+UNION SELECT coalesce(access_tier, 'none'), unnest(repo_scopes) FROM harness_traces) GROUP BY 1"""
+ORACLE_SQL["edge_upserts"] = "SELECT relationship, count(*) AS edges FROM (SELECT DISTINCT * FROM edges) GROUP BY 1"
+_CALLS = r"""b AS (SELECT *, coalesce(metadata['qualified_name'], symbol_name) AS qualified FROM cur WHERE kind LIKE '%-implementation'),
+c AS (SELECT DISTINCT id AS source_id, repository, file_path, regexp_extract(qualified, '^(.*)\.[^.]*$', 1) AS owner, unnest(regexp_extract_all(text, '([A-Za-z_][\w.]*)\s*\(', 1)) AS reference FROM b WHERE text IS NOT NULL),
+q AS (SELECT repository, file_path, qualified, min(id) AS target FROM b WHERE qualified IS NOT NULL GROUP BY 1, 2, 3),
+y AS (SELECT repository, file_path, regexp_extract(symbol_name, '([^.:]*)$', 1) AS short, min(id) AS target FROM b WHERE symbol_name IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT id) = 1),
+f AS (SELECT source_id, coalesce(e.target, o.target, y.target) AS target_id FROM c
+  LEFT JOIN q e ON e.repository = c.repository AND e.file_path = c.file_path AND contains(reference, '.') AND e.qualified = reference
+  LEFT JOIN q o ON o.repository = c.repository AND o.file_path = c.file_path AND owner <> '' AND regexp_matches(reference, '^(self|cls|this)\.') AND o.qualified = owner || '.' || regexp_replace(reference, '^\w+\.', '')
+  LEFT JOIN y ON y.repository = c.repository AND y.file_path = c.file_path AND NOT contains(reference, '.') AND y.short = reference)"""
+ORACLE_SQL["call_edges"] = f"""WITH {CUR}, {_CALLS} SELECT DISTINCT source_id, target_id, 'calls' AS relationship FROM f WHERE target_id IS NOT NULL AND source_id <> target_id"""
+ORACLE_SQL["blended_rescoring"] = f"""WITH RECURSIVE {_RERANK}, {_VECTOR}, bl AS (SELECT b.qid, b.id, b.file_path, round(0.4 * coalesce(dot / (n * m), 0.0) + 0.6 * least(rerank_score / 20, 1.0), 6)::DOUBLE AS score
+  FROM bst b LEFT JOIN dots ON dots.qid = b.qid AND dots.id = b.id LEFT JOIN wn ON wn.id = b.id LEFT JOIN qn ON qn.qid = b.qid)
+SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, file_path DESC, id)::INTEGER AS rank FROM bl"""
+_LEAKS = " OR ".join(f"regexp_matches(r, $p${p}$p$)" for p in CODE_PATTERNS)
+_REFUSES = " OR ".join(f"""contains(lower(r), '{m.replace("'", "''")}')""" for m in REFUSAL_MARKERS)
+ORACLE_SQL["refusal_scores"] = f"""SELECT trace_id, CASE WHEN ({_REFUSES}) AND NOT ({_LEAKS}) THEN 1 ELSE 0 END AS score
+FROM (SELECT trace_id, coalesce(min(response), '') AS r FROM harness_traces GROUP BY trace_id)"""
+_GRADED = f"""g AS (SELECT trace_id AS id, (m).model_id AS model, coalesce((m).response, '') AS r, (m).query AS query, (m).retrieval_ids AS ids FROM
+  (SELECT trace_id, min(struct_pack(query := query, response := response, model_id := model_id, retrieval_ids := retrieval_ids)) AS m FROM harness_traces GROUP BY trace_id)),
+h AS (SELECT id, coalesce(model, 'none') AS model, CASE WHEN trim(r, ' ') = '' THEN 'thin-evidence' ELSE 'useful-answer' END AS category, list_concat(
+  list_transform(list_filter(coalesce(regexp_extract_all(query, '`([^`]+)`', 1), []), lambda x: NOT contains(r, x)), lambda x: 'missing expected text: ' || x), list_concat(
+  list_transform(list_filter(coalesce(ids, []), lambda x: x <> '' AND contains(r, x)), lambda x: 'forbidden text present: ' || x), list_filter([
+  CASE WHEN regexp_matches(r, $p${PATH}$p$) THEN 'path leak' END, CASE WHEN regexp_matches(r, $p${RAW_CODE}$p$) THEN 'raw code leak' END,
+  CASE WHEN trim(r, ' ') = '' THEN 'missing insufficiency language' END], lambda x: x IS NOT NULL))) AS failures FROM g)"""
+ORACLE_SQL["case_grades"] = f"WITH {_GRADED} SELECT id, category, array_to_string(failures, '|') AS failures FROM h"
+ORACLE_SQL["eval_report"] = f"""WITH {_GRADED} SELECT format('| {{}} | {{}} | {{}} | {{:.3f}} |', model, count(*), count(*) FILTER (len(failures) = 0), round(count(*) FILTER (len(failures) = 0) / count(*), 6)) AS line FROM h GROUP BY model
+UNION ALL SELECT '| no cases | 0 | 0 | 1.000 |'"""
+ORACLE_SQL["markdown_questions"] = r"""WITH u AS (SELECT id, min(query) AS query FROM user_history WHERE query IS NOT NULL GROUP BY id)
+SELECT (id % 10)::VARCHAR AS path, 1 AS seed, 'src/' || id || '.py' AS expected, 2 AS difficulty, 'one' AS hops,
+md5(trim(regexp_replace(lower(replace(query, '**', '')), '[ \t\n\r\f\v]+', ' ', 'g'), ' ')) AS digest FROM u WHERE trim(query, ' ') <> ''"""

@@ -14,10 +14,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fathom.functions import access, text as T
-from fathom.operators import answers, graph, scoring, search, tables, textindex, vectors
+from fathom.operators import answers, evaluation, graph, scoring, search, tables, textindex, vectors
 from fathom.plans.oracle import ORACLE_SQL as ORACLE_SQL
 from fathom.session import shared_dir, stored, write_table
-from fathom.sources import files, symbols
+from fathom.sources import files, links, symbols
 from fathom.streaming import requests as stream
 from fathom.tables import read
 
@@ -264,12 +264,33 @@ def joined_terms(spark, d):
 
 @registered
 def sliding_chunks(spark, d):
-    """Overlapping chunks of the texts of documents: numbers and a digest per document."""
+    """Overlapping chunks of the texts of documents, with their lines and a digest."""
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    chunks = files.sliding_chunks(docs)
-    return chunks.groupBy("id").agg(
-        F.count(F.lit(1)).alias("chunks"), F.max("start").alias("last_start"), F.max(F.md5(F.col("chunk").cast("binary"))).alias("digest")
-    )
+    return files.sliding_chunks(docs).select("id", "start", "line_start", "line_end", F.md5(F.col("chunk").cast("binary")).alias("digest"))
+
+
+@registered
+def text_heads(spark, d):
+    """What is indexed of text files: their first 4,000 characters."""
+    rows = _artifacts(spark, d, "language", "kind", "text").filter("language like 'text%' and kind = 'chunk'")
+    return files.text_heads(rows).select("id", "line_end", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@registered
+def sniffed_languages(spark, d):
+    """Languages by name and content, as if half of the files were headers, and half of the others had no extension."""
+    rows = _artifacts(spark, d, "file_path", "text").select("id", "text", F.regexp_replace("file_path", r"\.(cpp|py)$", ".h").alias("p"))
+    renamed = rows.withColumn("p", F.regexp_replace("p", r"\.json$", ""))
+    return renamed.groupBy(files.sniffed_language(F.col("p"), F.col("text")).alias("language")).agg(F.count(F.lit(1)).alias("artifacts"))
+
+
+@registered
+def artifact_ids(spark, d):
+    """Artifacts by kind whose id is what their fields give."""
+    rows = _artifacts(spark, d, "repository", "file_path", "kind", "symbol_name", "metadata", "tier")
+    symbol = F.when(F.col("kind") == "module", "module").otherwise(F.coalesce(F.col("metadata")["qualified_name"], "symbol_name", F.lit("chunk-1")))
+    same = T.artifact_id(F.col("repository"), F.col("file_path"), symbol, F.col("tier")) == F.col("id")
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("artifacts"), F.count_if(same).alias("derived"))
 
 
 @registered
@@ -281,19 +302,35 @@ def json_leaves(spark, d):
     )
 
 
+def _json_leaves(spark: SparkSession, d: str) -> DataFrame:
+    rows = _artifacts(spark, d, "language", "text").filter("language = 'json' and text is not null").select("id", "text")
+    return files.json_tree_leaves(rows)
+
+
 @registered
 def json_documents(spark, d):
-    """Leaves of the JSON documents, at whatever depth."""
-    rows = _artifacts(spark, d, "language", "text").filter("language = 'json' and text is not null").select("id", "text")
-    leaves = files.json_tree_leaves(rows)
-    return leaves.groupBy("id").agg(F.count(F.lit(1)).alias("leaves"), F.count_if(F.col("type") == "STRING").alias("strings"))
+    """Leaves of the JSON documents, at whatever depth, with their path."""
+    return _json_leaves(spark, d).select("id", F.regexp_replace("path", r"^\$\.?", "").alias("path"), "value", (F.col("type") == "STRING").alias("is_text"))
+
+
+@registered
+def schema_documents(spark, d):
+    """JSON documents that are schemas, and where the schema of each may lie."""
+    rows = _artifacts(spark, d, "file_path", "kind", "text").filter("kind = 'json-document' and text is not null")
+    return rows.select("id", links.is_schema(F.try_parse_json("text")).alias("is_schema"), F.array_join(links.candidate_schema_paths(F.col("file_path")), "|").alias("candidates"))
+
+
+@registered
+def cross_file_edges(spark, d):
+    """Links of the JSON documents to their schemas and to the files that they name."""
+    return links.cross_file_edges(_artifacts(spark, d, "repository", "file_path", "kind", "tier", "text"), _json_leaves(spark, d))
 
 
 @registered
 def markdown_cells(spark, d):
     """Cells of the pipe tables within artifacts."""
-    rows = _artifacts(spark, d, "text").filter("text is not null").select("id", "text")
-    return files.markdown_cells(rows).groupBy("id").agg(F.count(F.lit(1)).alias("cells"), F.min("cell").alias("first_cell"))
+    rows = _artifacts(spark, d, "text").filter("text is not null")
+    return files.markdown_cells(rows)
 
 
 @registered
@@ -309,14 +346,38 @@ def symbol_definitions(spark, d):
 
 @registered
 def upsert_latest(spark, d):
-    """The artifacts after their late deliveries: per repository the rows and the sum of the times."""
-    rows = read(spark, d, "artifacts").select("id", "repository", "updated_at")
-    empty = rows.limit(0)
-    return tables.upsert(empty, rows, "id", "updated_at").groupBy("repository").agg(
+    """A table of all artifacts as first written, after the deliveries of tier 2 and above: rows and times per repository."""
+    rows = read(spark, d, "artifacts").select("id", "repository", "tier", "updated_at")
+    current = rows.groupBy("id").agg(F.min("repository").alias("repository"), F.min("tier").alias("tier")).withColumn("updated_at", F.lit(0.0))
+    return tables.upsert(current, rows.filter("tier >= 2"), "id", "updated_at").groupBy("repository").agg(
         F.count(F.lit(1)).alias("artifacts"), F.round(F.sum("updated_at"), 0).alias("total_time")
     )
 
 
+@registered
+def tier_upserts(spark, d):
+    """The users' tiers after each trace's tier was set, the latest last."""
+    traces = read(spark, d, "harness_traces").filter("access_tier is not null").groupBy("user_id", "trace_id").agg(F.max(F.struct("created_at", "access_tier")).alias("t"))
+    incoming = traces.select("user_id", F.col("t.access_tier").alias("tier"), F.struct("t.created_at", "trace_id").alias("at"))
+    current = read(spark, d, "access_matrix").select("user_id", "tier", F.lit(None).cast(incoming.schema["at"].dataType).alias("at"))
+    return tables.upsert(current, incoming, "user_id", "at").select("user_id", "tier")
+
+
+@registered
+def scope_grants(spark, d):
+    """The groups' scopes after every tier was granted the repositories of its traces; what is there already changes nothing."""
+    grants = read(spark, d, "harness_traces").select(F.coalesce("access_tier", F.lit("none")).alias("group_name"), F.explode("repo_scopes").alias("repository"))
+    current = read(spark, d, "group_scopes")
+    return tables.insert_missing(current, grants).groupBy("group_name").agg(F.count(F.lit(1)).alias("repositories"), F.min("repository").alias("first"))
+
+
+@registered
+def edge_upserts(spark, d):
+    """The edges after their second delivery: a set, by relationship."""
+    edges = read(spark, d, "edges")
+    return tables.insert_missing(edges.distinct(), edges).groupBy("relationship").agg(F.count(F.lit(1)).alias("edges"))
+
+
 @registered
 def delete_repository(spark, d):
     """What is left of the graph without its largest repository's artifacts."""
@@ -586,7 +647,7 @@ def listed_edges(spark, d):
 @registered
 def call_edges(spark, d):
     """Calls within files, resolved to the only symbol of the name."""
-    return graph.call_edges(_artifacts(spark, d, "repository", "file_path", "kind", "symbol_name", "text")).select("source_id", "target_id", "relationship")
+    return graph.call_edges(_artifacts(spark, d, "repository", "file_path", "kind", "symbol_name", "metadata", "text"))
 
 
 @registered
@@ -664,6 +725,72 @@ def fallback_answers(spark, d):
     return answers.fallback_answers(_Search(spark, d).reranked, answers.summaries(_artifacts(spark, d, "symbol_name", "file_path", "kind", "language", "line_start", "line_end", "text")), _requests(spark, d))
 
 
+@registered
+def blended_rescoring(spark, d):
+    """The re-ranked hits again: 0.4 of the hashed cosine and 0.6 of the re-ranker's points, up to 20 of them."""
+    q = _Search(spark, d)
+    hits = q.reranked
+    words = vectors.hashed_weights(q.asked, "qid", "query")
+    lengths = words.groupBy("qid").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("m"))
+    texts = _text_vectors(spark, d).join(hits.select("id").distinct(), "id", "left_semi").select("id", F.explode(F.arrays_zip("buckets", "weights")).alias("w"))
+    each = texts.select("id", F.col("w.buckets").alias("bucket"), F.col("w.weights").alias("x"))
+    norms = each.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
+    dots = hits.select("qid", "id").join(each, "id").join(words, ["qid", "bucket"]).groupBy("qid", "id").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    cosine = F.coalesce(F.col("dot") / (F.col("n") * F.col("m")), F.lit(0.0))
+    blend = F.round(0.4 * cosine + 0.6 * F.least(F.col("rerank_score") / 20, F.lit(1.0)), 6)
+    scored = hits.join(dots, ["qid", "id"], "left").join(norms, "id", "left").join(lengths, "qid", "left").select("qid", "id", "file_path", blend.alias("score"))
+    return search.top(scored, ["qid"], [F.desc("score"), F.desc("file_path"), F.col("id")], 8)
+
+
+@registered
+def refusal_scores(spark, d):
+    """Traces whose response refuses without giving anything away."""
+    rows = read(spark, d, "harness_traces").groupBy("trace_id").agg(F.min("response").alias("response"))
+    return rows.select("trace_id", evaluation.refusal_score(F.col("response")).alias("score"))
+
+
+def _graded(spark: SparkSession, d: str) -> DataFrame:
+    """The traces as cases, written as JSON lines and read again: literals of the query are expected, retrieved ids forbidden."""
+    rows = read(spark, d, "harness_traces").groupBy("trace_id").agg(F.min(F.struct("query", "response", "model_id", "retrieval_ids")).alias("r"))
+    flags = answers.quality_flags(F.col("r.response"))
+    cases = rows.select(
+        F.col("trace_id").alias("id"), F.when(F.array_contains(flags, "empty"), "thin-evidence").otherwise("useful-answer").alias("category"), F.col("r.query").alias("query"),
+        F.col("r.model_id").alias("language"), F.coalesce("r.response", F.lit("")).alias("model_output"), F.array().cast("array<string>").alias("summaries"),
+        T.all_matches(F.col("r.query"), "`([^`]+)`", 1).alias("expected_contains"), F.col("r.retrieval_ids").alias("forbidden"),
+    )
+    path = f"{shared_dir(spark)}/cases-{uuid.uuid4().hex}"
+    cases.write.json(path)
+    read_back = evaluation.load_cases(spark, path)
+    return read_back.select("id", "category", F.coalesce("language", F.lit("none")).alias("model"), evaluation.failures(
+        F.col("category"), F.col("model_output"), F.col("expected_contains"), F.col("forbidden")).alias("failures"))
+
+
+@registered
+def case_grades(spark, d):
+    """Why the traces' responses fail as answers to their queries."""
+    return _graded(spark, d).select("id", "category", F.array_join("failures", "|").alias("failures"))
+
+
+@registered
+def eval_report(spark, d):
+    """Pass rates per model as lines of a table; a model without cases passes."""
+    graded = _graded(spark, d)
+    models = graded.select("model").unionByName(spark.createDataFrame([("no cases",)], "model string")).distinct()
+    return evaluation.report_lines(evaluation.pass_rates(graded, models, "model"), "model")
+
+
+@registered
+def markdown_questions(spark, d):
+    """Queries that name files under src/, as a question list in Markdown and read from it again."""
+    rows = read(spark, d, "user_history").filter("query is not null").groupBy(F.col("id").alias("qid")).agg(F.min("query").alias("query"))
+    asked = rows.select("qid", "query", (F.col("qid") % 10).alias("n"))
+    entry = F.concat(F.lit("### Q"), F.col("qid").cast("string"), F.lit("\n**Query**: "), F.regexp_replace(F.trim("query"), r"\*\*", ""), F.lit("\n**Expected**: `src/"), F.col("qid").cast("string"), F.lit(".py`\n**Hops**: one\n"))
+    parts = asked.groupBy("n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("qid", entry.alias("e")))), lambda x: x["e"]), "\n").alias("body"))
+    lists = parts.select(F.col("n").cast("string").alias("path"), F.concat(F.lit("# List\n\n## Seed 1\n"), "body").alias("text"))
+    found = evaluation.load_questions(lists)
+    return found.select("path", "seed", F.array_join("expected", ",").alias("expected"), "difficulty", "hops", F.md5(T.squeeze(F.col("query"))).alias("digest"))
+
+
 @registered
 def quality_flags(spark, d):
     """Flags of every trace's response, by their combination."""

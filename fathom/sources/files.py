@@ -73,6 +73,20 @@ def looks_like_json(text: Column) -> Column:
     return F.ltrim(text).rlike(r"^\s*[{\[]")
 
 
+#: What tells a C++ header from a C one. Fixed value.
+CPP_HEADER = r"\b(class|namespace|template)\b|::|\b(public|private|protected):"
+
+
+def sniffed_language(path: Column, text: Column) -> Column:
+    """The language by name and, for headers and files of no known name, by what the text holds."""
+    head = F.substring(F.coalesce(text, F.lit("")), 1, 8192)
+    by_name = language_of(path)
+    return (
+        F.when(F.lower(path).endswith(".h") & head.rlike(CPP_HEADER), "cpp").when((by_name == "text") & F.coalesce(looks_like_json(text), F.lit(False)), "json")
+        .otherwise(by_name)
+    )
+
+
 def language_of(path: Column) -> Column:
     suffix = F.regexp_extract(F.lower(path), r"[^/](\.[^./]+)$", 1)
     out = F.lit("text")
@@ -92,14 +106,23 @@ def index_decisions(artifacts: DataFrame) -> DataFrame:
 
 
 def sliding_chunks(rows: DataFrame, size: int = 200, overlap: int = 50) -> DataFrame:
-    """(id, start, chunk): windows of ``size`` characters, each beginning ``size - overlap`` after the last."""
+    """(id, start, line_start, line_end, chunk): windows of ``size`` characters, each beginning ``size - overlap`` after the last."""
     step = size - overlap
     starts = F.sequence(F.lit(0), F.greatest(F.char_length("text") - 1, F.lit(0)), F.lit(step))
+    chunk = F.substring("text", F.col("start") + 1, F.lit(size))
+    lines = lambda c: F.char_length(c) - F.char_length(F.replace(c, F.lit("\n"), F.lit("")))
+    first = lines(F.substring("text", F.lit(1), F.col("start"))) + 1
     return rows.filter(F.char_length("text") > 0).select("id", "text", F.explode(starts).alias("start")).select(
-        "id", "start", F.substring("text", F.col("start") + 1, F.lit(size)).alias("chunk")
+        "id", "start", first.alias("line_start"), (first + lines(chunk)).alias("line_end"), chunk.alias("chunk")
     )
 
 
+def text_heads(rows: DataFrame, most: int = 4000) -> DataFrame:
+    """(id, text, line_end): the first ``most`` characters of texts that aren't blank."""
+    head = F.substring("text", 1, most)
+    return rows.filter(F.trim(F.regexp_replace(head, r"\s+", " ")) != "").select("id", head.alias("text"), T.line_count(head).alias("line_end"))
+
+
 def json_leaves(rows: DataFrame, column: str) -> DataFrame:
     """(id, key, value): the top-level leaves of a JSON object column."""
     pairs = F.from_json(column, "map<string,string>")
@@ -116,7 +139,7 @@ def markdown_cells(rows: DataFrame) -> DataFrame:
     )
 
 
-def json_tree_leaves(rows: DataFrame, most_levels: int = 64) -> DataFrame:
+def json_tree_leaves(rows: DataFrame) -> DataFrame:
     """(id, path, value, type): every leaf of the JSON documents ``rows(id, text)``, with its path (``$.a.b[0]``).
 
     A level is opened per step, for all documents at once; texts that aren't JSON give no rows.
@@ -124,7 +147,7 @@ def json_tree_leaves(rows: DataFrame, most_levels: int = 64) -> DataFrame:
     spark = rows.sparkSession
     frontier = rows.select("id", F.lit("$").alias("path"), F.try_parse_json("text").alias("v"))
     leaves = None
-    for _ in range(most_levels):
+    while True:
         opened = frontier.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(
             "id", F.concat("path", F.coalesce(F.concat(F.lit("."), "key"), F.format_string("[%d]", "pos"))).alias("path"),
             F.schema_of_variant("value").alias("type"), F.to_json("value").alias("json"), F.col("value").cast("string").alias("value"),

@@ -2,8 +2,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fathom.functions import access, text as T
-from fathom.operators import answers, graph, scoring, search, tables, textindex, vectors
-from fathom.sources import files
+from fathom.operators import answers, evaluation, graph, scoring, search, tables, textindex, vectors
+from fathom.sources import files, links
 
 
 def column(spark, expression, *values):
@@ -128,13 +128,44 @@ def test_fallback_answer_says_when_there_is_too_little(spark):
     assert got[1].endswith("signals are:\n- A does.") and "too thin" in got[2]
 
 
-def test_call_edges_resolve_only_unique_names(spark):
+def test_call_edges_resolve_in_order(spark):
+    q = lambda name: {"qualified_name": name}
+    kind = "method-implementation"
     rows = spark.createDataFrame(
-        [("a", "r", "f.py", "function-implementation", "run", "def run():\n  helper(1)\n  twice()"), ("b", "r", "f.py", "function-implementation", "helper", "def helper(x): pass"),
-         ("c", "r", "f.py", "function-implementation", "twice", "x"), ("d", "r", "f.py", "method-implementation", "twice", "x"), ("e", "r", "g.py", "function-implementation", "helper", None)],
-        "id string, repository string, file_path string, kind string, symbol_name string, text string",
+        [("a", "r", "f.py", kind, "run", q("A.run"), "def run():\n  self.helper(1)\n  twice()\n  B.go(1)\n  x.helper()\n  once()"),
+         ("b", "r", "f.py", kind, "helper", q("A.helper"), "def helper(x): pass"), ("c", "r", "f.py", kind, "helper", q("B.helper"), "x"),
+         ("d", "r", "f.py", kind, "go", q("B.go"), "x"), ("e", "r", "f.py", "function-implementation", "twice", None, "x"), ("f", "r", "f.py", kind, "twice", q("B.twice"), "x"),
+         ("g", "r", "f.py", "function-implementation", "once", None, None), ("h", "r", "g.py", "function-implementation", "once", None, None)],
+        "id string, repository string, file_path string, kind string, symbol_name string, metadata map<string,string>, text string",
     )
-    assert {(r.source_id, r.target_id) for r in graph.call_edges(rows).collect()} == {("a", "b")}
+    assert {(r.source_id, r.target_id) for r in graph.call_edges(rows).collect()} == {("a", "b"), ("a", "d"), ("a", "g")}
+
+
+def test_documents_link_to_schemas_and_files(spark):
+    rows = spark.createDataFrame(
+        [("s", "r", "schemas/part.schema.json", "json-document", 1, '{"$schema": "x", "properties": {}}'), ("p", "r", "examples/widget.part", "json-document", 1, '{"material": "Steel"}'),
+         ("j", "r", "examples/assembly.json", "json-document", 1, '{"uses": ["./widget.part", "https://a/b.c", "../schemas/part.schema.json", "word"], "out": "../../x.py"}'),
+         ("x", "other", "examples/widget.part", "chunk", 1, "t"), ("b", "r", "bad.json", "json-document", 1, "{"), ("n", "r", "n.json", "json-document", 1, None)],
+        "id string, repository string, file_path string, kind string, tier int, text string",
+    )
+    leaves = files.json_tree_leaves(rows.filter("kind = 'json-document'").select("id", "text"))
+    got = {tuple(r) for r in links.cross_file_edges(rows, leaves).collect()}
+    assert got == {("p", "s", "validated-by"), ("j", "p", "references"), ("j", "s", "references")}
+
+
+def test_question_lists_cases_and_reports(spark, tmp_path):
+    text = "# t\n## Seed 1\nno questions\n## Seed 2\n### Q1\n**Query**: where\nis it\n**Expected**: `src/a.py`, `src/b.py`\n**Difficulty**: 3\n**Hops**: two\n### Q2\n**Query**: nothing\n### Q3\n**Query**: last `src/c.py`"
+    got = [tuple(r) for r in evaluation.load_questions(spark.createDataFrame([("q.md", text), ("e", ""), ("n", None)], "path string, text string")).orderBy("query").collect()]
+    assert got == [("q.md", 1, "last `src/c.py`", ["src/c.py"], 2, ""), ("q.md", 1, "where is it", ["src/a.py", "src/b.py"], 3, "two")]
+    (tmp_path / "c.jsonl").write_text('{"id": "1", "category": "thin-evidence", "query": "q", "model_output": "see src/x.py"}\n\n{"id": "2", "category": "useful-answer", "query": "q", "expected_contains": ["keel"], "model_output": "a keel"}\n')
+    cases = evaluation.load_cases(spark, str(tmp_path / "c.jsonl"))
+    graded = cases.select("id", "category", evaluation.failures(F.col("category"), F.col("model_output"), F.col("expected_contains"), F.col("forbidden")).alias("failures"))
+    assert {r.id: len(r.failures) for r in graded.collect()} == {"1": 2, "2": 0}
+    groups = spark.createDataFrame([("thin-evidence",), ("useful-answer",), ("none",)], "category string")
+    assert {r.category: r.rate for r in evaluation.pass_rates(graded, groups, "category").collect()} == {"thin-evidence": 0.0, "useful-answer": 1.0, "none": 1.0}
+    assert column(spark, evaluation.refusal_score, "I cannot say.", "I cannot, but def f(x)", "Sure", None) == [1, 0, 0, 0]
+    manifest = evaluation.manifest(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    assert len(manifest) == 1 and len(manifest[0].sha256) == 64 and manifest[0].bytes > 0
 
 
 def test_reading_files_and_partition_overwrite(spark, tmp_path):
