@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fathom.functions.access import in_scope
@@ -92,16 +94,29 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.count(F.lit(1)).alias("degree"))
 
 
-def betweenness(edges: DataFrame, pivots: DataFrame, depth: int = 6) -> DataFrame:
+#: Sources of shortest paths that are followed at once.
+PIVOT_BLOCK = 2000
+
+
+def betweenness(edges: DataFrame, pivots: DataFrame, block: int = PIVOT_BLOCK) -> DataFrame:
     """(id, score): shortest-path betweenness over undirected edges, summed over ``pivots(pivot)`` as sources.
 
-    All sources go one level out per step (counting paths), then one level back per step (adding up dependencies).
-    Paths longer than ``depth`` don't count.
+    The sources are taken in blocks. All of a block go one level out per step (counting paths) until no new node is
+    reached, then one level back per step (adding up dependencies). With all nodes as sources the score is exact and the
+    work grows with nodes times edges; give a sample of them for large graphs.
     """
     near = write_table(adjacency(edges).select("id", "neighbour"), "near")
-    levels = [write_table(pivots.select("pivot", F.col("pivot").alias("id"), F.lit(1.0).alias("paths")), "level")]
+    sources = write_table(pivots.select("pivot").distinct(), "pivots")
+    blocks = max(1, -(-sources.count() // block))
+    parts = [_dependencies(near, sources.filter(F.pmod(F.xxhash64("pivot"), F.lit(blocks)) == b)) for b in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.sum("credit").alias("score")).filter("score > 0")
+
+
+def _dependencies(near: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, credit): the dependencies of ``sources(pivot)`` on each node, added up over the sources."""
+    levels = [write_table(sources.select("pivot", F.col("pivot").alias("id"), F.lit(1.0).alias("paths")), "level")]
     seen = levels[0].select("pivot", "id")
-    for _ in range(depth):
+    while not levels[-1].isEmpty():
         out = (
             levels[-1].join(near, "id").groupBy("pivot", F.col("neighbour").alias("id")).agg(F.sum("paths").alias("paths"))
             .join(seen, ["pivot", "id"], "left_anti")
@@ -109,7 +124,7 @@ def betweenness(edges: DataFrame, pivots: DataFrame, depth: int = 6) -> DataFram
         levels.append(write_table(out, "level"))
         seen = seen.unionByName(levels[-1].select("pivot", "id"))
     credit = levels[-1].select("pivot", "id", "paths", F.lit(0.0).alias("credit"))
-    credits = []
+    total = credit.select("id", "credit")
     for level in reversed(levels[:-1]):
         back = (
             credit.select("pivot", F.col("id").alias("child"), ((1 + F.col("credit")) / F.col("paths")).alias("share"))
@@ -120,11 +135,14 @@ def betweenness(edges: DataFrame, pivots: DataFrame, depth: int = 6) -> DataFram
             level.join(back, ["pivot", "id"], "left")
             .select("pivot", "id", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("credit")), "credit",
         )
-        credits.append(credit.filter("id <> pivot").select("id", "credit"))
-    all_credits = credits[0]
-    for c in credits[1:]:
-        all_credits = all_credits.unionByName(c)
-    return all_credits.groupBy("id").agg(F.sum("credit").alias("score")).filter("score > 0")
+        total = total.unionByName(credit.filter("id <> pivot").select("id", "credit"))
+    return total.groupBy("id").agg(F.sum("credit").alias("credit"))
+
+
+def central(scores: DataFrame, share: float = 0.1) -> DataFrame:
+    """``scores(id, score)`` with ``is_central``: whether a node is among the ``share`` of highest scores."""
+    limit = scores.agg(F.percentile("score", F.lit(1 - share)).alias("limit"))
+    return scores.join(F.broadcast(limit)).select("id", "score", (F.col("score") >= F.col("limit")).alias("is_central"))
 
 
 def call_edges(artifacts: DataFrame) -> DataFrame:

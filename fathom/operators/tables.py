@@ -35,12 +35,11 @@ def overwrite_repositories(artifacts: DataFrame, path: str) -> None:
 
 
 def index_stats(artifacts: DataFrame) -> DataFrame:
-    """(artifacts, repositories, newest): counts of distinct ids and the sorted names of repositories."""
-    return artifacts.agg(
-        F.countDistinct("id").alias("artifacts"),
-        F.array_join(F.array_sort(F.collect_set("repository")), ",").alias("repositories"),
-        F.round(F.coalesce(F.max("updated_at"), F.lit(0.0)), 3).alias("newest"),
-    )
+    """(repository, artifacts, newest): distinct ids and the last update of each repository, and of all (``total``)."""
+    each = artifacts.groupBy("repository", "id").agg(F.max("updated_at").alias("updated_at"))
+    return each.rollup("repository").agg(
+        F.count(F.lit(1)).alias("artifacts"), F.round(F.coalesce(F.max("updated_at"), F.lit(0.0)), 3).alias("newest")
+    ).withColumn("repository", F.coalesce("repository", F.lit("total")))
 
 
 def fingerprints(artifacts: DataFrame) -> DataFrame:

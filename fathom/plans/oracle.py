@@ -122,8 +122,8 @@ gone AS (SELECT id FROM a WHERE repository IN (SELECT repository FROM big))
 SELECT 'artifacts' AS what, count(*) AS n FROM a WHERE id NOT IN (SELECT id FROM gone) UNION ALL
 SELECT 'edges', count(*) FROM (SELECT DISTINCT source_id, target_id, relationship FROM edges WHERE source_id <> target_id
 AND source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone))"""
-ORACLE_SQL["index_stats"] = """SELECT count(DISTINCT id) AS artifacts, string_agg(DISTINCT repository, ',' ORDER BY repository) AS repositories,
-round(max(updated_at), 3) AS newest FROM artifacts"""
+ORACLE_SQL["index_stats"] = """SELECT coalesce(repository, 'total') AS repository, count(DISTINCT id) AS artifacts, round(max(updated_at), 3) AS newest
+FROM artifacts GROUP BY ROLLUP (repository)"""
 ORACLE_SQL["repository_fingerprints"] = f"""WITH {CUR}, h AS (SELECT DISTINCT repository, id, ('0x' || substr(sha256(id || chr(31) || coalesce(text, '')), 1, 10))::BIGINT AS number FROM cur),
 s AS (SELECT repository, count(*) AS artifacts, sum(number)::VARCHAR AS sum FROM h GROUP BY repository)
 SELECT repository, artifacts, sha256(repository || ':' || artifacts || ':' || sum) AS fingerprint FROM s"""

@@ -657,10 +657,10 @@ def degree_centrality(spark, d):
 
 @registered
 def central_nodes(spark, d):
-    """Betweenness over shortest paths of up to six steps from every node whose hash is divisible by 50."""
+    """Betweenness of all nodes over all shortest paths, and whether a node is in the highest tenth."""
     edges = graph.clean_edges(read(spark, d, "edges"))
-    nodes = graph.degrees(edges).select(F.col("id").alias("pivot")).filter(F.pmod(F.xxhash64("pivot"), F.lit(50)) == 0)
-    return graph.betweenness(edges, nodes).select("id", F.round("score", 6).alias("score"))
+    nodes = graph.degrees(edges).select(F.col("id").alias("pivot"))
+    return graph.central(graph.betweenness(edges, nodes).select("id", F.round("score", 6).alias("score")))
 
 
 @registered
