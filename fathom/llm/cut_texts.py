@@ -254,7 +254,7 @@ def cut_texts(
     )
     texts = write_table(rows.groupBy("content").agg(F.min("text").alias("text")), "texts")
     # near copies first: texts are joined only with the pairs whose numbers of shingles allow the similarity
-    banded = texts.mapInArrow(_band_rows, "content binary, bands array<long>, n int")
+    banded = write_table(texts.mapInArrow(_band_rows, "content binary, bands array<long>, n int"), "bands")
     pairs = pairs_sharing(banded.select(F.col("content").alias("x"), "n", F.explode("bands").alias("key")), SIMILAR)
     candidates = (
         pairs.join(texts.select(F.col("content").alias("a"), F.col("text").alias("text_a")), "a")
