@@ -42,12 +42,12 @@ _INTERESTING = re.compile(
 )
 
 _NAMED = re.compile(
-    r"""(?<![\w+/=])(?P<name>[A-Za-z_][\w\-.]{1,60})["'`]?\s*(?:\]\s*)?(?::\s*[A-Za-z_][\w<>\[\]. ]{0,40}=|:=|=>|=|:|,|\s)\s*
+    r"""(?<![\w+/=])(?<!\w[\-.])(?P<name>[A-Za-z_][\w\-.]++)["'`]?\s*(?:\]\s*)?(?::\s*[A-Za-z_][\w<>\[\]. ]*=|:=|=>|=|:|,|\s)\s*
         (?:[rbuf]|std::string\(|String\()?(?P<quote>["'`])(?P<value>(?:(?!(?P=quote))[^\\\n]|\\.){6,})(?P=quote)
         (?:\s*[+.]?\s*(?P<q2>["'`])(?P<rest>(?:(?!(?P=q2))[^\\\n]|\\.){1,})(?P=q2))?""",
     re.X,
 )
-_BARE = re.compile(r"(?<![\w+/=])(?P<name>[A-Za-z_][\w\-.]{1,60})\s*(?:=|:)\s*(?P<value>[^\s\"'`{}()\[\],;<>$]{6,})(?=[\s;,]|$)")
+_BARE = re.compile(r"(?<![\w+/=])(?<!\w[\-.])(?P<name>[A-Za-z_][\w\-.]++)\s*(?:=|:)\s*(?P<value>[^\s\"'`{}()\[\],;<>$]{6,})(?=[\s;,]|$)")
 _URL = re.compile(r"[a-z][a-z0-9+.\-]*://[^\s/\"'@:]*:(?P<value>[^\s/\"'@]+)@")
 _HEADER = re.compile(r"\b(?:bearer|basic|token|apikey)[ :]+(?P<value>[A-Za-z0-9+/=._\-]{16,})", re.I)
 _JWT = re.compile(r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}")
@@ -114,7 +114,7 @@ def structured(name: str, value: str) -> bool:
     """Whether a literal in the place of ``name`` is structured like a live credential."""
     if _EMBEDDED.match(value) or _LIST.fullmatch(value) or _placeholder(value) or (name and _HARMLESS_NAME.search(name)):
         return False
-    if len(name) > 40 or sum(c.isdigit() for c in name) > 2:
+    if sum(c.isdigit() for c in name) > 2:
         return False  # a literal beside another one, not a name
     if _PASSWORD_NAME.search(name) and _passwordlike(value) and not _REFERENCE.match(value):
         return True
