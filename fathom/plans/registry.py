@@ -87,6 +87,12 @@ def _near(spark: SparkSession, d: str) -> DataFrame:
     return stored(spark, d, "near", lambda: graph.placed(graph.adjacency(graph.clean_edges(read(spark, d, "edges"))), nodes))
 
 
+def build_indexes(spark: SparkSession, d: str) -> None:
+    """Writes all indexes of the tables in ``d``, so that the first search doesn't have to."""
+    for index in (_entries, _postings, _runs, _grams, _text_vectors, _near, _paths):
+        index(spark, d)
+
+
 class _Search:
     """The searches of one batch of requests: each step is computed once per query, whichever of the others need it."""
 
@@ -154,6 +160,12 @@ class _Search:
         """(qid, id, rank): visible artifacts that hold any term of a request, by score; the three closest where none does."""
         scored = scoring.scores(self.asked, self.held, self.entries, self.file_points)
         found = write_table(search.top(scored, ["qid"], [F.desc("points"), F.col("id")], 50).select("qid", "id", "rank"), "anchors")
+        # only requests without an anchor, but with something to see, need the closest artifacts
+        repositories = self.entries.groupBy("repository").agg(F.min("tier").alias("tier"))
+        lacking = self.asked.join(found.select("qid").distinct(), "qid", "left_anti")
+        seeing = lacking.join(repositories, (F.col("tier") <= F.col("user_tier")) & access.in_scope(F.col("repository"), F.col("repo_scope")), "left_semi")
+        if "rescored" not in self.__dict__ and seeing.isEmpty():
+            return found
         closest = self.rescored.filter("rank <= 3").join(found.select("qid").distinct(), "qid", "left_anti")
         return found.unionByName(closest.select("qid", "id", "rank"))
 
