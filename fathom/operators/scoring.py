@@ -197,7 +197,7 @@ def scores(
 def matched_pairs(pairs: DataFrame, requests: DataFrame, texts: DataFrame) -> DataFrame:
     """(term, id): which of the requests' terms lie in the texts of ``pairs(qid, id)``; each (term, id) is looked at once."""
     wanted = pairs.select("qid", "id").join(items(requests).select("qid", F.col("item").alias("term")), "qid").select("term", "id").distinct()
-    return wanted.join(texts, "id").filter(F.lower("text").contains(F.col("term"))).select("term", "id")
+    return textindex.held_terms(wanted, texts)
 
 
 # --- the re-ranker ---
@@ -225,9 +225,14 @@ def rerank_terms(query: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(words, stems, T.path_like_terms(query), inner), lambda t: t != ""))
 
 
-def _related(left: Column, right: Column) -> Column:
-    a, b = T.light_stem_rerank(left), T.light_stem_rerank(right)
-    return (F.length(a) >= 5) & (F.length(b) >= 5) & (F.left(a, F.lit(5)) == F.left(b, F.lit(5)))
+def _stem_key(word: Column) -> Column:
+    """What related words have in common: the first five characters of stems that have as many, else null."""
+    stem = T.light_stem_rerank(word)
+    return F.when(F.length(stem) >= 5, F.left(stem, F.lit(5)))
+
+
+def _stem_keys(words: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(words, _stem_key), lambda k: k.isNotNull()))
 
 
 def rerank_scores(hits: DataFrame, requests: DataFrame, artifacts: DataFrame, known: DataFrame, p: Points = RERANK) -> DataFrame:
@@ -247,13 +252,15 @@ def rerank_scores(hits: DataFrame, requests: DataFrame, artifacts: DataFrame, kn
         F.filter(F.split("qualified", r"::|\.|#"), lambda x: x != "").alias("owners"),
         full(F.concat(F.array("path", name, stem, F.ltrim(F.col("suffix"), F.lit("."))), pieces(name), pieces(stem))).alias("high"),
         full(pieces(F.regexp_replace("path", "/?[^/]*$", ""))).alias("low"),
-    )
+    ).withColumns({"high_keys": _stem_keys(F.col("high")), "low_keys": _stem_keys(F.col("low"))})
     asked = requests.select(
         "qid", rerank_terms(F.col("query")).alias("terms"), F.concat(T.query_literals(F.col("query")), T.path_like_terms(F.col("query"))).alias("named")
     )
+    asked = asked.withColumn("keyed", F.transform("terms", lambda t: F.struct(t.alias("term"), _stem_key(t).alias("key"))))
     path = F.col("path")
 
-    def of_term(t: Column) -> Column:
+    def of_term(x: Column) -> Column:
+        t, related = x["term"], lambda keys: F.coalesce(F.array_contains(keys, x["key"]), F.lit(False))
         of_symbol = (
             F.when(
                 t == F.col("symbol"),
@@ -263,8 +270,8 @@ def rerank_scores(hits: DataFrame, requests: DataFrame, artifacts: DataFrame, kn
             .when(F.concat_ws(" ", "symbol", "whole").contains(t), 6.0).otherwise(0.0)
         )
         of_path = (
-            F.when(F.length(t) < 3, 0.0).when(F.array_contains("high", t), p.name).when(F.exists("high", lambda x: _related(t, x)), p.related_name)
-            .when(F.array_contains("low", t), p.folder).when(F.exists("low", lambda x: _related(t, x)), p.related_folder).otherwise(0.0)
+            F.when(F.length(t) < 3, 0.0).when(F.array_contains("high", t), p.name).when(related("high_keys"), p.related_name)
+            .when(F.array_contains("low", t), p.folder).when(related("low_keys"), p.related_folder).otherwise(0.0)
         )
         return F.when(F.col("searchable").contains(t), p.term).otherwise(0.0) + of_symbol + of_path
 
@@ -283,7 +290,7 @@ def rerank_scores(hits: DataFrame, requests: DataFrame, artifacts: DataFrame, kn
     )
     marks = sum((F.when(F.col(c), w).otherwise(0.0) for c, w in (("by_path", 6.0), ("by_name", 5.0), ("by_lexical", 4.0), ("by_text", 2.0))), F.lit(0.0))
     points = (
-        total("terms", of_term) + total("named", of_named) + F.when(F.array_contains("terms", "schema") & ~has(POLICY_TERMS) & F.col("schema_doc"), p.schema).otherwise(0.0)
+        total("keyed", of_term) + total("named", of_named) + F.when(F.array_contains("terms", "schema") & ~has(POLICY_TERMS) & F.col("schema_doc"), p.schema).otherwise(0.0)
         + F.when(has(OPERATIONAL_TERMS) & F.col("operational"), p.operational).otherwise(0.0)
         + F.when(F.col("config") & F.arrays_overlap("terms", "high"), p.config).otherwise(0.0) + F.when(owner_action, 60.0).otherwise(0.0) + marks
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fathom.functions import text as T
+from fathom.session import write_table
 
 RUN = r"[a-z0-9_]+|[^a-z0-9_\s]+"
 
@@ -55,16 +56,18 @@ def containing(terms: DataFrame, run_table: DataFrame, gram_table: DataFrame) ->
     """(term, id, whole): texts whose runs hold the longest run of each of ``terms(term)``.
 
     ``whole`` says that the term is that run, so that the text holds it for sure; else the text itself must tell.
+    What the terms give is written first, so that Spark plans the scans of the index by its real size.
     """
     found = T.all_matches(F.col("term"), RUN)
     longest = F.get(F.sort_array(F.transform(found, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))), asc=False), F.lit(0))["x"]
-    asked = terms.select("term").distinct().select("term", longest.alias("piece")).filter("piece is not null")
+    asked = write_table(terms.select("term").distinct().select("term", longest.alias("piece")).filter("piece is not null"), "terms")
     keys = asked.select("piece").distinct().select(
         "piece", F.explode(F.when(F.length("piece") < 3, F.array("piece")).otherwise(F.array_distinct(_pieces("piece", 3)))).alias("gram")
     )
+    keys = write_table(keys, "keys")
     counted = gram_table.join(keys.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     rarest = keys.join(counted, "gram", "left").groupBy("piece").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    holds = rarest.join(gram_table, "gram").filter(F.col("run").contains(F.col("piece"))).select(
+    holds = write_table(rarest, "rarest").join(gram_table, "gram").filter(F.col("run").contains(F.col("piece"))).select(
         "piece", "run", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     )
     touched = holds.join(run_table, ["run", "part"]).select("piece", "id").distinct()
@@ -73,6 +76,17 @@ def containing(terms: DataFrame, run_table: DataFrame, gram_table: DataFrame) ->
 
 def verified(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     """(term, id) of the ``candidates(term, id, whole)`` whose text in ``texts(id, text)`` holds the term."""
+    candidates = write_table(candidates, "candidates")
     open_ones = candidates.filter(~F.col("whole")).select("term", "id")
-    held = open_ones.join(texts.select("id", "text"), "id").filter(F.lower("text").contains(F.col("term"))).select("term", "id")
-    return candidates.filter("whole").select("term", "id").unionByName(held)
+    return candidates.filter("whole").select("term", "id").unionByName(held_terms(open_ones, texts))
+
+
+def held_terms(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(term, id) of ``wanted(term, id)`` where the text of ``texts(id, text)`` holds the term in lower case.
+
+    A text is read once for all of its terms: these are at most the distinct terms of a batch of requests.
+    """
+    of_text = wanted.groupBy("id").agg(F.collect_set("term").alias("terms"))
+    lower = texts.select("id", F.lower("text").alias("text"))
+    held = of_text.join(lower, "id").select("id", F.filter("terms", lambda t: F.col("text").contains(t)).alias("terms"))
+    return held.select(F.explode("terms").alias("term"), "id")
