@@ -139,6 +139,97 @@ def decisions(traces: DataFrame) -> DataFrame:
     return traces.select("trace_id", decision.alias("decision"))
 
 
+#: What a response is when nothing of it can be used, and lines that say nothing. Fixed values.
+UNUSABLE = "The cached response matched code artifacts but did not contain a usable behavioral summary."
+VACUOUS_LINES = ("answer comes from", "the answer comes from", "see", "from", "in")
+LIST_MARKS = ("-", "*")
+
+#: Headers of files, lines of code besides RAW_CODE, and answers that only name what an artifact is. Fixed values.
+FILE_HEADER = r"(?m)^--- File: .*?---$"
+CODE_LINES = (
+    r"^[A-Za-z_][A-Za-z0-9_:]*:$",
+    r"^[A-Za-z_][A-Za-z0-9_:.\->]*\s*\([^)]*\)\s*:?$",
+    r"^[A-Za-z_][A-Za-z0-9_]*\s*=",
+    r"^[A-Za-z_][A-Za-z0-9_:.\->]*\s*\([^)]*\)\s*;?$",
+    r"^(?:\{|\}|\};)$",
+)
+LANGUAGE_NAMES = r"(?:Python|TypeScript|JavaScript|C\+\+|C#|Go|Rust|Java)"
+ABSTRACT = rf"(?i)^[A-Za-z_][A-Za-z0-9_:]* is an? (?:{LANGUAGE_NAMES} )?(?:class|function|method|artifact)(?: in {LANGUAGE_NAMES})?\.?\s*$"
+LABEL = r"(?i)\b(?:class|struct|interface|method|function)-implementation tied to\b"
+
+
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def shaped(response: Column) -> Column:
+    """The response without file headers, fences, paths and lines of code; UNUSABLE where nothing is left, empty stays empty."""
+    text = _stripped(F.coalesce(response, F.lit("")))
+    bare = F.replace(F.regexp_replace(text, FILE_HEADER, ""), F.lit("```"), F.lit(""))
+    lines = F.transform(F.split(bare, r"\r\n|\n|\r"), lambda x: _stripped(F.regexp_replace(F.regexp_replace(x, PATH, " "), "[ \t]{2,}", " ")))
+    says = lambda x: (
+        (x != "") & ~F.lower(x).isin(*PATH_HEADINGS, *LIST_MARKS) & ~F.btrim(F.lower(x), F.lit(" .:")).isin(*VACUOUS_LINES)
+        & ~x.rlike("|".join((RAW_CODE, *CODE_LINES)))
+    )
+    kept = F.array_join(F.filter(lines, says), "\n")
+    return F.when(text == "", "").when(kept == "", UNUSABLE).otherwise(kept)
+
+
+def all_flags(response: Column) -> Column:
+    """The flags of a response, then those that only its shaped form has."""
+    return F.array_distinct(F.concat(quality_flags(response), quality_flags(shaped(response))))
+
+
+def applied_policy(traces: DataFrame) -> DataFrame:
+    """(trace_id, response, source, flags): the shaped answer, or null with source ``fallback`` where it can't stand.
+
+    Without retrieved ids and summary there is no context; else an answer falls if nothing usable is left of it, if it
+    reports an error, only declares or labels an artifact, or leaks paths or code, or is a list of paths.
+    """
+    filled = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0
+    context = filled(F.col("retrieval_ids")) | (F.trim(F.coalesce("prompt_summary", F.lit(""))) != "")
+    each = traces.select("trace_id", context.alias("context"), shaped(F.col("response")).alias("shaped"), all_flags(F.col("response")).alias("flags"))
+    said = F.transform(F.split("shaped", "\n"), lambda x: F.regexp_replace(F.trim(x), r"^\s*(?:[-*]\s*)?", ""))
+    falls = (
+        F.col("shaped").isin("", UNUSABLE) | F.col("shaped").rlike(INFERENCE_ERROR) | F.exists(said, lambda x: x.rlike(ABSTRACT))
+        | F.col("shaped").rlike(LABEL) | F.arrays_overlap("flags", F.array(*map(F.lit, ("path_leak", "raw_code", "path_list"))))
+    )
+    why = F.when(~F.col("context"), "no_retrieval_context").when(falls, "fallback_used")
+    return each.select(
+        "trace_id", F.when(why.isNull(), F.col("shaped")).alias("response"), F.when(why.isNull(), "model").otherwise("fallback").alias("source"),
+        F.array_compact(F.concat("flags", F.array(why))).alias("flags"),
+    )
+
+
+def sanitised(response: Column) -> Column:
+    """A cached response as it may be given again: shaped; null where nothing is left or what is left leaks paths or code."""
+    text = shaped(response)
+    leaks = F.arrays_overlap(quality_flags(text), F.array(F.lit("path_leak"), F.lit("raw_code")))
+    return F.when(~text.isin("", UNUSABLE) & ~leaks, text)
+
+
+#: Verbs that names begin with, and plurals of what they end with. Fixed values.
+VERBS = {
+    "is": "checks", "acquire": "acquires", "append": "appends", "build": "builds", "collect": "collects", "dedupe": "deduplicates",
+    "delete": "deletes", "detect": "detects", "find": "finds", "generate": "generates", "get": "gets", "index": "indexes", "iter": "iterates",
+    "merge": "merges", "parse": "parses", "publish": "publishes", "release": "releases", "resolve": "resolves", "search": "searches",
+    "set": "sets", "upsert": "upserts", "validate": "validates", "warm": "warms",
+}
+PLURALS = {"file": "files", "path": "paths", "repository": "repositories"}
+
+
+def behaviour_phrase(name: Column) -> Column:
+    """What a name says its bearer does: ``build_path`` builds paths; empty where its first word is no known verb."""
+    words = F.transform(T.all_matches(F.coalesce(name, F.lit("")), r"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z]|[^A-Za-z0-9]|$)|[0-9]+"), F.lower)
+    table = lambda d: F.create_map(*(F.lit(x) for pair in d.items() for x in pair))
+    verb = F.try_element_at(table(VERBS), F.get(words, F.lit(0)))
+    rest = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    last = F.get(rest, F.size(rest) - 1)
+    ended = F.concat(F.slice(rest, F.lit(1), F.greatest(F.size(rest) - 1, F.lit(0))), F.array(F.coalesce(F.try_element_at(table(PLURALS), last), last)))
+    of = F.when(F.size(rest) == 0, "state").when((F.size(rest) == 1) & (last == "excluded"), "excluded paths").otherwise(F.array_join(ended, " "))
+    return F.coalesce(F.concat_ws(" ", verb, F.when(verb.isNotNull(), of)), F.lit(""))
+
+
 def fallback_answers(scored: DataFrame, texts: DataFrame, requests: DataFrame, most: int = 5, least: int = 2) -> DataFrame:
     """(qid, answer): what can be said without a model: the best artifacts' summaries, or that there is too little.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fathom.functions.text import PATH_LIKE, QUERY_STOPWORDS
-from fathom.operators.answers import PATH, RAW_CODE
+from fathom.operators.answers import ABSTRACT, CODE_LINES, FILE_HEADER, LABEL, LIST_MARKS, PATH, PATH_HEADINGS, RAW_CODE, UNUSABLE, VACUOUS_LINES
 from fathom.operators.evaluation import CODE_PATTERNS, REFUSAL_MARKERS
 from fathom.operators.scoring import (
     OPERATIONAL_FOLDERS, OPERATIONAL_KINDS, OPERATIONAL_SUFFIXES, OPERATIONAL_TERMS, POLICY_TERMS, RERANK, RERANK_STOPWORDS, RETRIEVAL, SCHEMA_ROLE,
@@ -467,3 +467,32 @@ UNION ALL SELECT '| no cases | 0 | 0 | 1.000 |'"""
 ORACLE_SQL["markdown_questions"] = r"""WITH u AS (SELECT id, min(query) AS query FROM user_history WHERE query IS NOT NULL GROUP BY id)
 SELECT (id % 10)::VARCHAR AS path, 1 AS seed, 'src/' || id || '.py' AS expected, 2 AS difficulty, 'one' AS hops,
 md5(trim(regexp_replace(lower(replace(query, '**', '')), '[ \t\n\r\f\v]+', ' ', 'g'), ' ')) AS digest FROM u WHERE trim(query, ' ') <> ''"""
+
+
+def _strip(text: str) -> str:
+    return rf"regexp_replace({text}, '^[\s\x0b]+|[\s\x0b]+$', '', 'g')"
+
+
+def _flags(text: str) -> str:
+    lines = f"list_filter(list_transform(string_split({text}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '')"
+    return f"""[CASE WHEN regexp_matches({text}, $p${PATH}$p$) THEN 'path_leak' END, CASE WHEN regexp_matches({text}, $p${RAW_CODE}$p$) THEN 'raw_code' END,
+  CASE WHEN len({lines}) > 0 AND (list_contains({_list(PATH_HEADINGS)}, lower({lines}[1])) OR len(list_filter({lines}, lambda x: regexp_matches(x, '^[-*]')
+    AND regexp_matches(x, $p${PATH}$p$))) >= greatest(1, len({lines}) - 1)) THEN 'path_list' END, CASE WHEN trim({text}, ' ') = '' THEN 'empty' END]"""
+
+
+_SHAPED = rf"""ln AS (SELECT *, list_transform(string_split_regex(replace(regexp_replace({_strip("text")}, $p${FILE_HEADER}$p$, '', 'g'), '```', ''), '\r\n|\n|\r'),
+  lambda x: {_strip(f"regexp_replace(regexp_replace(x, $p${PATH}$p$, ' ', 'g'), '[ \t]{{2,}}', ' ', 'g')")}) AS lines FROM given),
+kp AS (SELECT * EXCLUDE (lines), array_to_string(list_filter(lines, lambda x: x <> '' AND NOT list_contains({_list(PATH_HEADINGS + LIST_MARKS)}, lower(x))
+  AND NOT list_contains({_list(VACUOUS_LINES)}, trim(lower(x), ' .:')) AND NOT regexp_matches(x, $p${"|".join((RAW_CODE, *CODE_LINES))}$p$)), chr(10)) AS kept FROM ln),
+sh AS (SELECT * EXCLUDE (kept), CASE WHEN {_strip("text")} = '' THEN '' WHEN kept = '' THEN '{UNUSABLE}' ELSE kept END AS shaped FROM kp)"""
+ORACLE_SQL["policy_applied"] = rf"""WITH given AS (SELECT trace_id, coalesce(response, '') AS text, len(coalesce(retrieval_ids, [])) > 0 OR trim(coalesce(prompt_summary, ''), ' ') <> '' AS context
+  FROM harness_traces QUALIFY row_number() OVER (PARTITION BY trace_id) = 1), {_SHAPED},
+a AS (SELECT trace_id, context, shaped, {_flags("text")} AS a, {_flags("shaped")} AS b FROM sh),
+f AS (SELECT trace_id, context, shaped, list_filter(list_concat(a, list_filter(b, lambda x: NOT coalesce(list_contains(a, x), false))), lambda x: x IS NOT NULL) AS flags FROM a),
+w AS (SELECT *, CASE WHEN NOT context THEN 'no_retrieval_context' WHEN shaped IN ('', '{UNUSABLE}') OR regexp_matches(shaped, '(?i)\[Inference Error:.*?\]')
+  OR len(list_filter(string_split(shaped, chr(10)), lambda x: regexp_matches(regexp_replace(trim(x, ' '), '^\s*(?:[-*]\s*)?', ''), $p${ABSTRACT}$p$))) > 0
+  OR regexp_matches(shaped, $p${LABEL}$p$) OR list_has_any(flags, ['path_leak', 'raw_code', 'path_list']) THEN 'fallback_used' END AS why FROM f)
+SELECT trace_id, CASE WHEN why IS NULL THEN 'model' ELSE 'fallback' END AS source, array_to_string(CASE WHEN why IS NULL THEN flags ELSE list_append(flags, why) END, ',') AS flags,
+  CASE WHEN why IS NULL THEN md5(shaped) END AS digest FROM w"""
+ORACLE_SQL["cached_answers"] = rf"""WITH given AS (SELECT DISTINCT response AS text FROM user_history WHERE response IS NOT NULL), {_SHAPED}
+SELECT md5(text) AS given, CASE WHEN shaped NOT IN ('', '{UNUSABLE}') AND {_flags("shaped")}[1] IS NULL AND {_flags("shaped")}[2] IS NULL THEN md5(shaped) END AS kept FROM sh"""

@@ -37,11 +37,15 @@ def _requests(spark: SparkSession, d: str) -> DataFrame:
     return access.user_tiers(users, read(spark, d, "access_matrix"))
 
 
-def _artifacts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return search.latest(read(spark, d, "artifacts"), *columns)
+# Indexes: written once per session and state of the tables, and read by all queries.
 
+FIELDS = ("repository", "file_path", "language", "text", "tier", "symbol_name", "line_start", "line_end", "kind", "metadata")
 
-# Indexes: written once per session and state of the tables, and read by all queries.
+
+def _artifacts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """``columns`` of the last delivery of each id."""
+    once = stored(spark, d, "latest", lambda: search.latest(read(spark, d, "artifacts"), *FIELDS))
+    return once.select("id", *columns)
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
@@ -134,8 +138,10 @@ class _Search:
 
     def named(self, asked: DataFrame | None = None) -> DataFrame:
         asked = self.asked if asked is None else asked
-        classes = asked.select(F.explode(search.named_classes(F.col("query"))).alias("term")).select(F.lower("term").alias("term")).distinct()
-        held = textindex.containing(classes, _runs(self.spark, self.d), _grams(self.spark, self.d)).select("term", "id")
+        classes = write_table(asked.select(F.explode(search.named_classes(F.col("query"))).alias("term")).select(F.lower("term").alias("term")).distinct(), "classes")
+        held = None
+        if not classes.isEmpty():
+            held = textindex.containing(classes, _runs(self.spark, self.d), _grams(self.spark, self.d)).select("term", "id")
         rows = _artifacts(self.spark, self.d, "repository", "file_path", "kind", "tier", "line_start", "text")
         return search.file_name_search(asked, rows, held)
 
@@ -512,6 +518,27 @@ def policy_decisions(spark, d):
     return answers.decisions(rows).groupBy("decision").agg(F.count(F.lit(1)).alias("traces"))
 
 
+@registered
+def policy_applied(spark, d):
+    """Every trace's answer after the policy: where it comes from, its flags, and a digest of what is left of it."""
+    rows = read(spark, d, "harness_traces").dropDuplicates(["trace_id"])
+    return answers.applied_policy(rows).select("trace_id", "source", F.array_join("flags", ",").alias("flags"), F.md5(F.col("response").cast("binary")).alias("digest"))
+
+
+@registered
+def cached_answers(spark, d):
+    """Distinct responses of the history that may be given again, cleaned."""
+    rows = read(spark, d, "user_history").filter("response is not null").select("response").distinct()
+    return rows.select(F.md5(F.col("response").cast("binary")).alias("given"), F.md5(answers.sanitised(F.col("response")).cast("binary")).alias("kept"))
+
+
+@registered
+def behaviour_phrases(spark, d):
+    """What the names of symbols say that they do."""
+    names = read(spark, d, "artifacts").filter("symbol_name is not null").select("symbol_name").distinct()
+    return names.select("symbol_name", answers.behaviour_phrase(F.col("symbol_name")).alias("phrase"))
+
+
 # --- search ---
 
 

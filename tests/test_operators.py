@@ -243,3 +243,36 @@ def test_rerank_points_for_paths_symbols_and_owners(spark):
     known = scoring.entries(artifacts)
     got = {(r.qid, r.id): r.rerank_score for r in scoring.rerank_scores(hits, asked, artifacts, known).collect()}
     assert got[1, "1"] > got[1, "2"] + 100 and got[2, "1"] > got[2, "2"] + 50 and got[3, "3"] > got[3, "1"] + 60
+
+
+def test_shaped_answers(spark):
+    text = "--- File: a.py ---\n```python\ndef run(x):\n    total = 1\n```\nThe loader in src/a/b.py keeps   order.\nsee:\nFiles:\n- \n"
+    got = column(spark, answers.shaped, text, " \n", None, "x = 1\nfoo(bar)")
+    assert got == ["python\nThe loader in keeps order.", "", "", answers.UNUSABLE]
+    assert column(spark, answers.sanitised, "It keeps order.", "", "x = 1", None) == ["It keeps order.", None, None, None]
+
+
+def test_policy(spark):
+    kept = "The store keeps its rows sorted."
+    rows = [
+        ("a", ["i"], None, kept), ("b", [], "", kept), ("c", None, "some context", kept), ("d", ["i"], None, "Foo is a Python class."),
+        ("e", ["i"], None, "[Inference Error: none]"), ("f", ["i"], None, "It lies in src/a.py somewhere."), ("g", ["i"], None, None),
+        ("h", ["i"], None, "Foo is a method-implementation tied to bar."),
+    ]
+    df = spark.createDataFrame(rows, "trace_id string, retrieval_ids array<string>, prompt_summary string, response string")
+    got = {r.trace_id: (r.response, r.source, r.flags) for r in answers.applied_policy(df).collect()}
+    assert got["a"] == got["c"] == (kept, "model", [])
+    assert got["b"] == (None, "fallback", ["no_retrieval_context"])
+    assert got["d"] == got["e"] == got["h"] == (None, "fallback", ["fallback_used"])
+    assert got["f"] == (None, "fallback", ["path_leak", "fallback_used"]) and got["g"] == (None, "fallback", ["empty", "fallback_used"])
+
+
+def test_behaviour_phrases(spark):
+    got = column(spark, answers.behaviour_phrase, "build_path", "isExcluded", "get", "parseHTTPFile", "_find_all_repository", "Store", "", None)
+    assert got == ["builds paths", "checks excluded paths", "gets state", "parses http files", "finds all repositories", "", "", ""]
+
+
+def test_held_terms_reads_a_text_once(spark):
+    wanted = spark.createDataFrame([("ab", "1"), ("zz", "1"), ("ab", "2"), ("ab", "9"), ("ab", "1")], "term string, id string")
+    texts = spark.createDataFrame([("1", "xABx"), ("2", None)], "id string, text string")
+    assert [(r.term, r.id) for r in textindex.held_terms(wanted, texts).collect()] == [("ab", "1")]
