@@ -276,3 +276,43 @@ def test_held_terms_reads_a_text_once(spark):
     wanted = spark.createDataFrame([("ab", "1"), ("zz", "1"), ("ab", "2"), ("ab", "9"), ("ab", "1")], "term string, id string")
     texts = spark.createDataFrame([("1", "xABx"), ("2", None)], "id string, text string")
     assert [(r.term, r.id) for r in textindex.held_terms(wanted, texts).collect()] == [("ab", "1")]
+
+
+def _brute_betweenness(edges, pivots):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    score = dict.fromkeys(near, 0.0)
+    for s in pivots:
+        level, paths, order = {s: 0}, {s: 1.0}, [s]
+        for x in order:
+            for y in sorted(near[x]):
+                if y not in level:
+                    level[y], paths[y] = level[x] + 1, 0.0
+                    order.append(y)
+                if level[y] == level[x] + 1:
+                    paths[y] += paths[x]
+        credit = dict.fromkeys(order, 0.0)
+        for y in reversed(order):
+            for x in near[y]:
+                if level[x] == level[y] - 1:
+                    credit[x] += paths[x] / paths[y] * (1 + credit[y])
+            if y != s:
+                score[y] += credit[y]
+    return {x: v for x, v in score.items() if v > 0}
+
+
+def test_betweenness_equals_brute_force_and_needs_no_step_per_level(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    edges = {(f"a{i}", f"a{(i + 1) % 30}") for i in range(30)} | {(f"a{x}", f"a{y}") for x, y in rng.integers(0, 30, (12, 2)) if x < y}
+    edges |= {(f"t{i}", f"t{rng.integers(0, i)}" if i % 3 else f"a{rng.integers(0, 30)}") for i in range(1, 40)} | {("p", "q"), ("u", "v"), ("v", "w"), ("w", "u"), ("w", "x")}
+    names = sorted({x for e in edges for x in e})
+    table = spark.createDataFrame([(*e, "calls") for e in edges], "source_id string, target_id string, relationship string")
+    written, write = [], graph.write_table
+    monkeypatch.setattr(graph, "write_table", lambda df, name: written.append(name) or write(df, name))
+    for chosen in (names, names[::3]):
+        got = {r.id: r.score for r in graph.betweenness(table, spark.createDataFrame([(x,) for x in chosen], "pivot string"), 7).collect()}
+        want = _brute_betweenness(edges, chosen)
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-6 for x in want)
+    assert len(written) == 2
