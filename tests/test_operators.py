@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fathom.functions import access, text as T
-from fathom.operators import answers, evaluation, graph, scoring, search, tables, textindex, vectors
+from fathom.operators import answers, evaluation, graph, scan, scoring, search, tables, textindex, vectors
 from fathom.sources import files, links
 
 
@@ -316,3 +316,63 @@ def test_betweenness_equals_brute_force_and_needs_no_step_per_level(spark, monke
         want = _brute_betweenness(edges, chosen)
         assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-6 for x in want)
     assert len(written) == 2
+
+
+def _requests_and_artifacts(spark):
+    queries = ["Where is `Cart.submit` in src/cart/checkout.ts?", "which schema validates the cart config", "run the build script for a_b.py 12", "the makefile", "zzz nothing here", "submit `the cart` order"]
+    asked = spark.createDataFrame(
+        [(q, x, 1 + q % 3, scope) for q, (x, scope) in enumerate(zip(queries, (None, ["r"], ["r", "s"], None, ["r"], ["s", None])))],
+        "qid long, query string, user_tier int, repo_scope array<string>",
+    )
+    rows = [
+        (f"{repo}{n}", repo, path, "py", text, tier, symbol, 1, end, kind, meta)
+        for repo in ("r", "s") for n, (path, text, tier, symbol, end, kind, meta) in enumerate((
+            ("src/cart/checkout.ts", "def submit(the cart): return 12", 1, "submit", 9, "method", {"qualified_name": "Cart.submit"}),
+            ("src\\cart\\a_b.py", None, 2, None, 9, "chunk", None), ("Makefile", "build: a_b.py\n\trun ./script", 1, None, 2, "chunk", None),
+            ("conf/cart.schema.json", '{"order": 1, "Cart": "x"}', 3, None, 3, "json-document", {}), ("carts/building/scripts.py", "Submit THE cart orders configs", 2, "runner", 5, "module", {"a": "12"}),
+        ))
+    ]
+    artifacts = spark.createDataFrame(rows, "id string, repository string, file_path string, language string, text string, tier int, symbol_name string, line_start int, line_end int, kind string, metadata map<string,string>")
+    return asked, artifacts
+
+
+def _refuse(*args, **named):
+    raise AssertionError("a table of pairs")
+
+
+def test_anchors_are_those_of_all_scores_without_tables_of_terms(spark, monkeypatch):
+    asked, artifacts = _requests_and_artifacts(spark)
+    texts, known = scoring.whole_texts(artifacts), scoring.entries(artifacts)
+    runs = textindex.split_runs(textindex.runs(texts))
+    terms = scoring.items(asked).select(F.col("item").alias("term"))
+    held = textindex.verified(textindex.containing(terms, runs, textindex.grams(runs)), texts)
+    path_runs = textindex.split_runs(textindex.runs(search.paths(artifacts)))
+    points = scoring.file_points(scoring.items(asked), known.select("file", "path", "name", "suffix").distinct(), path_runs, textindex.grams(path_runs))
+    order = [F.desc("points"), F.col("id")]
+    want = {k: sorted(map(tuple, search.top(scoring.scores(asked, held, known, points), ["qid"], order, k).select("qid", "id", "points").collect())) for k in (2, 50)}
+    pairs = asked.select("qid").crossJoin(artifacts.select("id"))
+    of_pairs = sorted(map(tuple, scoring.scores(asked, held, known, points, pairs).select("qid", "id", "points").collect()))
+    for name in ("salted_join", "containing", "verified", "held_terms"):
+        monkeypatch.setattr(textindex, name, _refuse)
+    for k in want:
+        assert sorted(map(tuple, scoring.best_scored(asked, artifacts, k).select("qid", "id", "points").collect())) == want[k]
+    assert len(want[50]) > len(want[2]) > 5
+    assert sorted(map(tuple, scoring.scores_of_pairs(asked, pairs, artifacts).collect())) == of_pairs
+
+
+def test_path_search_writes_no_pairs_and_keeps_order(spark, monkeypatch):
+    asked, artifacts = _requests_and_artifacts(spark)
+    for name in ("salted_join", "containing", "verified", "runs", "grams"):
+        monkeypatch.setattr(textindex, name, _refuse)
+    got = {}
+    for r in search.path_search(asked, artifacts, 2).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.repository, r.file_path, r.score))
+    assert got[0] == [("s", "src/cart/checkout.ts", 17), ("r", "src/cart/checkout.ts", 17)]
+    assert got[3] == [("s", "Makefile", 6), ("r", "Makefile", 6)] and {x[0] for x in got[5]} == {"s"}
+
+
+def test_latest_shuffles_only_repeated_ids(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "z", None), (None, "u", 1.0), (None, "v", 3.0)], "id string, text string, updated_at double")
+    for most in (search.MOST_AGAIN, 0):
+        monkeypatch.setattr(search, "MOST_AGAIN", most)
+        assert {(r.id, r.text) for r in search.latest(rows).select("id", "text").collect()} == {("a", "y"), ("b", "z"), (None, "v")}
