@@ -371,6 +371,13 @@ def test_path_search_writes_no_pairs_and_keeps_order(spark, monkeypatch):
     assert got[3] == [("s", "Makefile", 6), ("r", "Makefile", 6)] and {x[0] for x in got[5]} == {"s"}
 
 
+def test_row_vectors_equal_hashed_vectors(spark):
+    _, artifacts = _requests_and_artifacts(spark)
+    want = {(r.id, *r.buckets, *r.weights) for r in vectors.hashed_vectors(artifacts, "id", "text").collect()}
+    found = vectors.row_vectors(artifacts)
+    assert {(r.id, *r.buckets, *r.weights) for r in found.collect()} == want and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_latest_shuffles_only_repeated_ids(spark, monkeypatch):
     rows = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "z", None), (None, "u", 1.0), (None, "v", 3.0)], "id string, text string, updated_at double")
     for most in (search.MOST_AGAIN, 0):
