@@ -360,6 +360,22 @@ def test_anchors_are_those_of_all_scores_without_tables_of_terms(spark, monkeypa
     assert sorted(map(tuple, scoring.scores_of_pairs(asked, pairs, artifacts).collect())) == of_pairs
 
 
+def test_best_text_hits_are_those_of_the_whole_scan(spark):
+    asked, artifacts = _requests_and_artifacts(spark)
+    longest = search.longest_terms(asked, 8)
+    texts = scoring.whole_texts(artifacts)
+    held = scan.holding(scoring.items(asked).select(F.col("item").alias("term")), texts)
+    all_hits = search.text_hits(asked, artifacts, held)
+    order = [F.desc("score"), F.col("file_path"), F.col("id")]
+    listed = scan.text_requests(asked, longest, 3)
+    for k in (1, 50):
+        got = search.top(search.best_text_hits(listed, artifacts, k), ["qid"], order, k).select("qid", "id", "score").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, search.top(all_hits, ["qid"], order, k).select("qid", "id", "score").collect()))
+    pairs = asked.select("qid").crossJoin(artifacts.select("id"))
+    seen = {tuple(r) for r in all_hits.select("qid", "id").collect()}
+    assert seen and seen <= {tuple(r) for r in search.are_text_hits(listed, pairs, artifacts).collect()}
+
+
 def test_path_search_writes_no_pairs_and_keeps_order(spark, monkeypatch):
     asked, artifacts = _requests_and_artifacts(spark)
     for name in ("salted_join", "containing", "verified", "runs", "grams"):
@@ -371,6 +387,16 @@ def test_path_search_writes_no_pairs_and_keeps_order(spark, monkeypatch):
     assert got[3] == [("s", "Makefile", 6), ("r", "Makefile", 6)] and {x[0] for x in got[5]} == {"s"}
 
 
+def test_a_request_meets_its_hits_before_their_texts(spark):
+    asked, artifacts = _requests_and_artifacts(spark)
+    hits = asked.select("qid").crossJoin(artifacts.select("id")).selectExpr("qid", "id", "0.0D score", "true by_lexical", "false by_text", "false by_name", "false by_path")
+    scored = scoring.rerank_scores(hits, asked, artifacts.select("id", "text"), scoring.entries(artifacts))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "UsingJoin" not in plan
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert "id#" in joins[0] and "qid#" not in joins[0]
+
+
 def test_row_vectors_equal_hashed_vectors(spark):
     _, artifacts = _requests_and_artifacts(spark)
     want = {(r.id, *r.buckets, *r.weights) for r in vectors.hashed_vectors(artifacts, "id", "text").collect()}
