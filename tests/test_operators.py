@@ -1,8 +1,12 @@
+import os
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from fathom import session
 from fathom.functions import access, text as T
 from fathom.operators import answers, evaluation, graph, scan, scoring, search, tables, textindex, vectors
+from fathom.plans import registry
 from fathom.sources import files, links
 
 
@@ -409,3 +413,36 @@ def test_latest_shuffles_only_repeated_ids(spark, monkeypatch):
     for most in (search.MOST_AGAIN, 0):
         monkeypatch.setattr(search, "MOST_AGAIN", most)
         assert {(r.id, r.text) for r in search.latest(rows).select("id", "text").collect()} == {("a", "y"), ("b", "z"), (None, "v")}
+
+
+def test_access_violations_count_the_hits_of_every_request(spark, monkeypatch, tmp_path):
+    history = [(1, "u", "a", ["r"]), (1, "u", "a", ["r"]), (7, "v", "b", None), (50, "u", "c", ["s"]), (99, "u", None, ["s"])]
+    tables_of = {
+        "user_history": spark.createDataFrame(history, "id long, user_id string, query string, repo_scope array<string>"),
+        "access_matrix": spark.createDataFrame([("v", "T-3")], "user_id string, tier string"),
+    }
+    for name, table in tables_of.items():
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    entries = spark.createDataFrame([("low", 1, "r"), ("high", 2, "r")], "id string, tier int, repository string")
+    searches = ("composite", "all_named", "paths", "closest", "rescored", "graph", "hybrid", "reranked")
+    everything = lambda q, *_: q.asked.select("qid", F.lit(1).alias("rank")).crossJoin(entries.select("id"))
+    for name in searches:
+        monkeypatch.setattr(registry._Search, name, property(everything))
+    monkeypatch.setattr(registry._Search, "lexical", everything)
+    monkeypatch.setattr(registry._Search, "entries", property(lambda q: entries))
+    monkeypatch.setattr(registry, "BATCH", 2)
+    found = registry.access_violations(spark, str(tmp_path)).collect()
+    # requests 1 and 50 may not see "high", request 50 neither of the two
+    assert len(found) == 9 and {(r.above_tier, r.out_of_scope) for r in found} == {(2, 2)}
+
+
+def test_passing_tables_are_deleted_and_stored_ones_stay(spark, tmp_path):
+    key, folder = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", str(tmp_path)
+    before = spark.conf.get(key, None)
+    with session.passing(spark):
+        gone = session.write_table(spark.range(3), "gone")
+        kept = session.stored(spark, folder, "kept", lambda: session.write_table(spark.range(4), "inner"))
+        files_of = [f.removeprefix("file:") for f in gone.inputFiles()]
+        assert gone.count() == 3 and all("/passing-" in f for f in files_of)
+    assert kept.count() == 4 and spark.conf.get(key, None) == before
+    assert not any(os.path.exists(f.replace("//", "/")) for f in files_of)
